@@ -99,7 +99,7 @@ SELECT c.doc_id, c.class_id, coalesce(n.n, 0) AS n_links FROM c LEFT JOIN n ON c
 """
 
 OP7 = """
-WITH t AS (SELECT doc_id, hex(coalesce(text, '')::BLOB) AS h FROM documents),
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT doc_id, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i, h FROM t),
 w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, (2 * i + 1)::INT, 200)) ORDER BY doc_id, i) AS k FROM p),
 r AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS gap FROM w WHERE k > 1),
