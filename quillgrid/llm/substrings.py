@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 GRAM = 32
-CHUNK = 8 << 20
+CHUNK = 3 << 20
+#: Anchor buckets of more rows than this, as a sample has it, don't come to one task.
+LARGE = 50_000
 
 
 def refine(a: np.ndarray, offset: int, salt: int) -> np.ndarray:
@@ -165,7 +167,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
     fs, path = C.open_fs(folder)
     fs.create_dir(path, recursive=True)
 
-    # How often anchor buckets occur in a sample of texts; those of many documents are refined to strings at once.
+    # How often anchor buckets occur in a sample of texts; large ones are refined to strings at once.
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Blocks([t.encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()], length)
@@ -174,9 +176,8 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(n)], names=["anchor", "n"])
 
     sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", F.substring("text", 1, 64)), F.lit(sample)) == 0)
-    n_sampled = sampled.count()
-    frequent = sampled.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(12, n_sampled // 200)).select("anchor").collect()
-    hot = np.sort(np.array([r["anchor"] for r in frequent], np.int64).view(C.U64))  # at most 200 times the anchors of a mean text
+    frequent = sampled.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample >= LARGE).select("anchor").collect()
+    hot = np.sort(np.array([r["anchor"] for r in frequent], np.int64).view(C.U64))  # at most a LARGE-th of all positions
     sent = spark.sparkContext.broadcast(hot)
 
     row = pa.schema([("chunk", pa.string()), ("anchor", pa.int64()), ("name", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
