@@ -5,7 +5,7 @@ often). For each term and each of the samples, hashing gives r and c of the gamm
 a uniform b; with t = floor(ln(weight) / r + b) the term's value is ln(c) - r * (t - b + 1), and the
 sample is the term of the least value, with its t. Two texts agree in a sample with the probability of
 their generalised Jaccard similarity, sum(min) / sum(max) of the weights. r and ln(c) come from tables
-of 65,536 quantiles, b has 32 bits; each from other bits of one product.
+of 65,536 quantiles, b has 31 bits; each from other bits of products of the term's hash.
 """
 
 from collections.abc import Iterator
@@ -37,21 +37,33 @@ class Sampler:
     def __init__(self, samples: int):
         q = gamma_quantiles()
         self.k, self.r, self.lnc = samples, q.astype(np.float32), np.log(q).astype(np.float32)
-        seeds = C.mix(np.arange(1, 2 * samples + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
-        self.odd, self.xor = (seeds[:samples] | C.U64(1))[:, None], seeds[samples:][:, None]
+        seeds = C.mix(np.arange(1, 2 * samples + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15)).view(np.uint32).reshape(4, samples, 1)
+        self.odd = [x | np.uint32(1) for x in seeds]
+        self.ints = [np.empty(samples * self.BLOCK, np.uint32) for _ in "abc"]
+        self.floats = [np.empty(samples * self.BLOCK, np.float32) for _ in "abc"]
 
     def values(self, h: np.ndarray, lnw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """(value, t) of each sample and term; t is None where all weights are 1, as it is 0 then."""
-        with np.errstate(over="ignore"):
-            x = (h[None, :] ^ self.xor) * self.odd
-        x ^= x >> C.U64(29)
-        r = self.r.take((x >> C.U64(48)).astype(np.int32))
-        lnc = self.lnc.take(((x >> C.U64(32)) & C.U64(0xFFFF)).astype(np.int32))
-        b = x.astype(np.uint32).astype(np.float32)
-        b *= np.float32(2.0**-32)
-        np.minimum(b, np.float32(1 - 2.0**-24), out=b)
+        size = self.k * len(h)
+        x, y, z = (buf[:size].reshape(self.k, -1) for buf in self.ints)
+        r, lnc, b = (buf[:size].reshape(self.k, -1) for buf in self.floats)
+        low, high = h.astype(np.uint32), (h >> C.U64(32)).astype(np.uint32)
+        for out, one, two in ((x, 0, 1), (z, 2, 3)):
+            np.multiply(low, self.odd[one], out=out)
+            np.multiply(high, self.odd[two], out=y)
+            out += y
+            np.right_shift(out, np.uint32(15), out=y)
+            out ^= y
+            out *= np.uint32(0x2C1B3C6D)
+        np.right_shift(x, np.uint32(16), out=y)
+        self.r.take(y.view(np.int32), mode="clip", out=r)
+        x &= np.uint32(0xFFFF)
+        self.lnc.take(x.view(np.int32), mode="clip", out=lnc)
+        z >>= np.uint32(1)
+        np.multiply(z.view(np.int32), np.float32(2.0**-31), out=b, casting="unsafe", dtype=np.float32)
         t = None
         if lnw.any():
+            np.minimum(b, np.float32(1 - 2.0**-24), out=b)
             t = np.floor(lnw.astype(np.float32)[None, :] / r + b)
             b -= t
         b -= 1
@@ -59,52 +71,56 @@ class Sampler:
         lnc += r
         return lnc, t
 
-    def two(self, h: np.ndarray, lnw: np.ndarray, both: int, end: int) -> list[np.ndarray]:
-        """Samples of the terms [0, end) and of [both, all): each a row of 16-bit numbers."""
+    def two(self, groups: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[np.ndarray]:
+        """Samples of two texts, each a row of 16-bit numbers. Groups of terms: (hashes, log weights, both, end);
+        [0, end) are the first text's, [both, all) the second's. Weights of 1, which need no t, are a group apart."""
         best = [np.full(self.k, np.inf, np.float32) for _ in "ab"]
         ids = [np.zeros(self.k, C.U64) for _ in "ab"]
-        edges = sorted({0, both, end, len(h), *range(0, len(h), self.BLOCK)})
         rows = np.arange(self.k)
-        for a, z in zip(edges, edges[1:], strict=False):
-            v, t = self.values(h[a:z], lnw[a:z])
-            at = v.argmin(1)
-            least, of = v[rows, at], h[a:z][at]
-            if t is not None:
-                with np.errstate(over="ignore"):
-                    of = of + t[rows, at].astype(np.int64).astype(C.U64) * C.U64(0xD6E8FEB86659FD93)
-            for side, here in enumerate((a < end, a >= both)):
-                if here:
-                    less = least < best[side]
-                    best[side][less], ids[side][less] = least[less], of[less]
+        for h, lnw, both, end in groups:
+            for a in range(0, len(h), self.BLOCK):
+                part = h[a : a + self.BLOCK]
+                v, t = self.values(part, lnw[a : a + self.BLOCK])
+                for side, (i, j) in enumerate(((0, min(end - a, len(part))), (max(both - a, 0), len(part)))):
+                    if i < j:
+                        at = v[:, i:j].argmin(1) + i
+                        least, of = v[rows, at], part[at]
+                        if t is not None:
+                            with np.errstate(over="ignore"):
+                                of = of + t[rows, at].astype(np.int64).astype(C.U64) * C.U64(0xD6E8FEB86659FD93)
+                        less = least < best[side]
+                        best[side][less], ids[side][less] = least[less], of[less]
         with np.errstate(over="ignore"):
             return [(C.mix(x + np.arange(1, self.k + 1, dtype=C.U64)) >> C.U64(48)).astype(np.uint16) for x in ids]
 
 
-def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, weights) of a text's terms, hashes ascending."""
-    h = C.word_hashes(text.split())
+def terms(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weights) of the terms of a text whose words have the hashes h; each kind's hashes ascending."""
     s, sn = np.unique(C.shingle_hashes(h), return_counts=True)
     w, wn = np.unique(h ^ C.U64(0xA5A5A5A5A5A5A5A5), return_counts=True)
     return np.concatenate([s, w]), np.concatenate([sn, wn * WORD_WEIGHT])
 
 
-def pair(sampler: Sampler, one: str, other: str) -> list[np.ndarray]:
-    """The samples of two texts; terms that both have with one weight are valued once. No terms: empty."""
+def pair(sampler: Sampler, one: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+    """The samples of two texts, given as word hashes; terms that both have with one weight are valued once. No terms: empty."""
     (ha, wa), (hb, wb) = terms(one), terms(other)
-    if not len(ha) or not len(hb):
-        alone = lambda h, w: sampler.two(h, np.log(w), 0, len(h))[0] if len(h) else np.zeros(0, np.uint16)
-        return [alone(ha, wa), alone(hb, wb)]
-    h = np.concatenate([ha, hb])
-    w = np.concatenate([wa, wb])
+    if not len(ha) and not len(hb):
+        return [np.zeros(0, np.uint16)] * 2
+    h, w = np.concatenate([ha, hb]), np.concatenate([wa, wb])
     order = np.lexsort((w, h))
-    hs, ws = h[order], w[order]
-    same = (hs[1:] == hs[:-1]) & (ws[1:] == ws[:-1])
+    same = (h[order][1:] == h[order][:-1]) & (w[order][1:] == w[order][:-1])
     in_both = np.zeros(len(h), bool)
     in_both[order[:-1][same]] = in_both[order[1:][same]] = True
-    only_a, shared, only_b = ~in_both[: len(ha)], in_both[: len(ha)], ~in_both[len(ha) :]
-    h = np.concatenate([ha[only_a], ha[shared], hb[only_b]])
-    w = np.concatenate([wa[only_a], wa[shared], wb[only_b]])
-    return sampler.two(h, np.log(w), int(only_a.sum()), len(ha))
+    place = np.where(in_both, 1, np.where(np.arange(len(h)) < len(ha), 0, 2))
+    take = ~in_both | (np.arange(len(h)) < len(ha))
+    groups = []
+    for unit in (w == 1) & take, (w != 1) & take:
+        at = np.flatnonzero(unit)
+        at = at[np.argsort(place[at], kind="stable")]
+        n = np.bincount(place[at], minlength=3)
+        groups.append((h[at], np.log(w[at]), int(n[0]), int(n[0] + n[1])))
+    out = sampler.two(groups)
+    return [x if len(of) else np.zeros(0, np.uint16) for x, of in zip(out, (ha, hb), strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -120,6 +136,15 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def edited_hashes(text: str, following: str, h: np.ndarray) -> np.ndarray:
+    """Word hashes of the edited text; those of the words before the edit are taken from the text's own, h."""
+    cut = len(text) // 4
+    head = text[: len(text) - cut]
+    words = head.split()
+    last = words.pop() if words and not head[-1].isspace() else ""  # the edit may lengthen it
+    return np.concatenate([h[: len(words)], C.word_hashes((last + following[:cut]).split())])
+
+
 def fingerprint(docs: DataFrame, *, samples: int = 64, parts: int | None = None) -> DataFrame:
     """Per document: fingerprint, that of its text edited with the next one's head, and likenesses.
 
@@ -156,7 +181,8 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, parts: int | None = None)
         def finish(row: tuple, following: str) -> tuple[tuple, np.ndarray]:
             doc_id, text = row
             edited = edited_text(text, following)
-            mine, theirs = pair(sampler, text, edited)
+            h = C.word_hashes(text.split())
+            mine, theirs = pair(sampler, h, edited_hashes(text, following, h))
             return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine.astype(">u2").tobytes().hex(), theirs.astype(">u2").tobytes().hex(), likeness(mine, theirs)), mine
 
         held = None  # a finished row that lacks only its likeness to the next document
@@ -169,7 +195,7 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, parts: int | None = None)
                     held = row, mine
                 if guest:
                     if waiting is not None and held is not None:
-                        out.append((*held[0], likeness(held[1], pair(sampler, text, "")[0])))
+                        out.append((*held[0], likeness(held[1], pair(sampler, C.word_hashes(text.split()), np.zeros(0, C.U64))[0])))
                     held = waiting = None
                 else:
                     waiting = (r, doc_id, text)
