@@ -73,27 +73,30 @@ class Index:
 
     def candidates(self, w: list[str], threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(item, from, to, share) of windows of the words w whose BM25 share of the item reaches the threshold."""
-        size = max(64, self.longest)
-        unknown = len(self.vocab)
+        size, unknown = max(64, self.longest), len(self.vocab)
         at = np.fromiter(map(self.vocab.get, w, repeat(unknown)), np.int64, len(w))
-        starts = np.arange(0, max(1, len(w) - size), size)  # windows of two sizes, every one begins in the middle of the last
-        ends = np.minimum(starts + 2 * size, len(w))
-        sums = np.concatenate([[0], np.cumsum(self.top[at], dtype=np.float64)])
-        live = np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-5)
-        if not len(live):
+        known = np.flatnonzero(at != unknown)
+        if not len(known):
             return
-        # Pivot test of every block at once; repeated words only loosen the bound.
-        a, z = starts[live[0]], ends[live[-1]]
-        by_block = np.zeros((z - a + 1, self.most.shape[1]))
-        np.cumsum(self.most[at[a:z]], axis=0, out=by_block[1:])
-        hit, block = np.nonzero(by_block[ends[live] - a] - by_block[starts[live] - a] >= threshold - 1e-5)
-        last, terms = -1, None
-        for k, b in zip(live[hit], block, strict=True):
-            if k != last:
-                last, terms = k, np.unique(at[starts[k] : ends[k]])
-            scores = self.weight[terms, b].sum(0)
-            for i in np.flatnonzero(scores >= threshold - 1e-5):
-                yield int(b * BLOCK + i), int(starts[k]), int(ends[k]), float(scores[i])
+        # A window is two segments of `size` words, and begins where the last one's second segment does.
+        # A term counts once in each segment, which bounds its weight in the window.
+        pairs = np.unique(known // size * unknown + at[known])
+        segment, term = pairs // unknown, pairs % unknown
+        n = max(1, -(-len(w) // size) - 1)
+        sums = np.bincount(segment, self.top[term], minlength=n + 1)
+        if not (sums[:n] + sums[1 : n + 1] >= threshold - 1e-5).any():
+            return
+        # Pivot test of all windows and blocks at once.
+        heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        by_block = np.zeros((n + 1, self.most.shape[1]), np.float32)
+        by_block[segment[heads]] = np.add.reduceat(self.most[term], heads, axis=0)
+        hits = by_block[:n] + by_block[1 : n + 1] >= threshold - 1e-5
+        for k in np.flatnonzero(hits.any(1)):
+            blocks = np.flatnonzero(hits[k])
+            terms = np.unique(term[np.searchsorted(segment, k) : np.searchsorted(segment, k + 2)])
+            scores = self.weight[terms[:, None], blocks].sum(0)
+            for i, j in zip(*np.nonzero(scores >= threshold - 1e-5), strict=True):
+                yield int(blocks[i] * BLOCK + j), int(k * size), min(len(w), int((k + 2) * size)), float(scores[i, j])
 
     def verify(self, item: int, window: list[str], least: float) -> tuple[float, float] | None:
         """(share of the question's word runs in the window, of the answer's) if both reach `least`."""
