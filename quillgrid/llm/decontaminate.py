@@ -157,7 +157,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, lea
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "question", "answer"])
 
-        part = docs.mapInArrow(work, schema)
+        part = docs.mapInArrow(C.tidied(work), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -173,5 +173,5 @@ def remove_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, l
                 clean = [not (w := words(text) if text else []) or not any(index.leaks(w, threshold, least) for index in sent.value) for text in batch["text"].to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(C.tidied(work), docs.schema)
     return docs

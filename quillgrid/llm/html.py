@@ -177,4 +177,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) if x else "" for x in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(work, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(C.tidied(work), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

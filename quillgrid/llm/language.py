@@ -127,7 +127,7 @@ def learn(docs: DataFrame, *, per_lang: int = 600) -> Model:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"c": pa.array([*at, D], pa.int32()), "n": pa.array([*df[at], n], pa.int64())})
 
-    counts = docs.select("text").mapInArrow(document_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()  # at most 65,537 rows
+    counts = docs.select("text").mapInArrow(C.tidied(document_counts, "letters"), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()  # at most 65,537 rows
     df = np.zeros(D + 1)
     for r in counts:
         df[r["c"]] = r["n"]
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, *, per_lang: int = 600) -> Model:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1][0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1][1].astype(np.float32) for g in got], pa.list_(pa.float32()))], names=["lang", "at", "tf"])
 
-    rows = picked.mapInArrow(featurise, "lang string, at array<int>, tf array<float>").toArrow()
+    rows = picked.mapInArrow(C.tidied(featurise, "letters"), "lang string, at array<int>, tf array<float>").toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     model, seen, examples, every = Model(langs, idf), dict.fromkeys(langs, 0), [], []
     for batch in rows.to_batches():
@@ -189,4 +189,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select("text", *keep).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select("text", *keep).mapInArrow(C.tidied(work, "letters"), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))

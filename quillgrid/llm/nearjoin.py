@@ -81,7 +81,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                         bands.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch["row_key"], batch["doc_id"], pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["row_key", "doc_id", "set_key", "bands"])
 
-    return docs.mapInArrow(work, "row_key long, doc_id long, set_key long, bands array<long>")
+    return docs.mapInArrow(C.tidied(work, "words"), "row_key long, doc_id long, set_key long, bands array<long>")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -186,7 +186,7 @@ def near_join(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["row_key"], pa.array([run_set(x).astype(np.int64) for x in batch["text"].to_pylist()], pa.list_(pa.int64()))], names=["row_key", "runs"])
 
-    runs = texts.mapInArrow(sets, "row_key long, runs array<long>")
+    runs = texts.mapInArrow(C.tidied(sets, "words"), "row_key long, runs array<long>")
     full = runs.join(C.broadcast_if_small(members, members.count()), "row_key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
@@ -214,7 +214,7 @@ def near_join(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(one)), pa.array(np.array(two)), pa.array(np.full(len(one), -1))], names=["a", "b", "links"])
 
-    found = C.cut(dealt.mapInArrow(verify, "a long, b long, links long"), "verified")
+    found = C.cut(dealt.mapInArrow(C.tidied(verify), "a long, b long, links long"), "verified")
     counts = found.where("links > 0").groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"))
     labels = components(found.where("links < 0").select("a", "b"))
     of = classes.select("set_key", "mult", "first_id").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))

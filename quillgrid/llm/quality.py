@@ -57,7 +57,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.select("lang", "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(C.tidied(work), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), batch["lang"], pa.array(n), pa.array(out, mask=np.isnan(out))], names=[*keep, "lang", "n", "perplexity"])
 
     columns = ["text", "lang", *[c for c in keep if c not in ("text", "lang")]]
-    return docs.select(*columns).mapInArrow(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang string, n long, perplexity double"]))
+    return docs.select(*columns).mapInArrow(C.tidied(work), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang string, n long, perplexity double"]))
 
 
 BAND = "CAST(floor(log2(greatest(n, 1))) AS INT)"

@@ -176,7 +176,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(n)], names=["anchor", "n"])
 
     sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", F.substring("text", 1, 64)), F.lit(sample)) == 0)
-    frequent = sampled.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample >= LARGE).select("anchor").collect()
+    frequent = sampled.mapInArrow(C.tidied(anchors), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample >= LARGE).select("anchor").collect()
     hot = np.sort(np.array([r["anchor"] for r in frequent], np.int64).view(C.U64))  # at most a LARGE-th of all positions
     sent = spark.sparkContext.broadcast(hot)
 
@@ -238,7 +238,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
 
     spec = "chunk string, anchor long, name long, side int, doc_id long, tie long, start int, block int"
     parts = C.n_parts(spark)
-    dealt = docs.mapInArrow(cut_up, spec).repartition(2 * parts, "anchor").sortWithinPartitions("anchor")
+    dealt = docs.mapInArrow(C.tidied(cut_up), spec).repartition(2 * parts, "anchor").sortWithinPartitions("anchor")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_anchors(batches):
@@ -262,7 +262,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
                     yield pa.RecordBatch.from_arrays([chunk.take(pa.array(k)).dictionary_decode(), pa.array(np.full(len(k), kind, np.int8)), pa.array(block[k])], names=["chunk", "kind", "block"])
 
     marks_dir = f"{folder}/marks"
-    marked = dealt.mapInArrow(meet, "chunk string, kind byte, block int")
+    marked = dealt.mapInArrow(C.tidied(meet), "chunk string, kind byte, block int")
     grouped = marked.groupBy("chunk").agg(F.collect_list(F.when(F.col("kind") == 1, F.col("block"))).alias("repeats"), F.collect_list(F.when(F.col("kind") == 2, F.col("block"))).alias("undecided"))
     grouped.write.parquet(marks_dir)  # a row a chunk: at most as many numbers as the chunk has blocks
     names = [f.path.rsplit("/", 1)[1] for f in _list(fs, path) if f.path.endswith(".arrow")]
@@ -307,7 +307,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
                     n = len(starts[z])
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(full[z].view(np.int64)), pa.array(ids[doc[z]]), pa.array(ties[doc[z]]), pa.array(at[z].astype(np.int32)), pa.array(starts[z].astype(np.int32))], names=["chunk", "name", "doc_id", "tie", "start", "place"])
 
-    strings = marks.mapInArrow(to_strings, "chunk string, name long, doc_id long, tie long, start int, place int").repartition(2 * parts, "name").sortWithinPartitions("name")
+    strings = marks.mapInArrow(C.tidied(to_strings), "chunk string, name long, doc_id long, tie long, start int, place int").repartition(2 * parts, "name").sortWithinPartitions("name")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_anchors(batches, "name"):
@@ -317,7 +317,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
                 yield from t.combine_chunks().to_batches()
 
     later_dir = f"{folder}/later"
-    strings.mapInArrow(settle, "chunk string, place int").groupBy("chunk").agg(F.collect_list("place").alias("places")).write.parquet(later_dir)
+    strings.mapInArrow(C.tidied(settle), "chunk string, place int").groupBy("chunk").agg(F.collect_list("place").alias("places")).write.parquet(later_dir)
     final = chunks.join(spark.read.parquet(later_dir), "chunk", "left").repartition(min(len(names), 4 * parts))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +348,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
                 out = pa.Table.from_arrays([t["doc_id"].combine_chunks(), *cols[: 5 if keep_text else 4]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_text else 5])
                 yield from out.combine_chunks().to_batches(max_chunksize=1000)
 
-    return final.mapInArrow(finish, schema)
+    return final.mapInArrow(C.tidied(finish), schema)
 
 
 def whole_anchors(batches: Iterator[pa.RecordBatch], key: str = "anchor", size: int = 200_000) -> Iterator[pa.Table]:

@@ -49,7 +49,7 @@ class Encoder:
     those of its words in order. Words that the memory doesn't hold are encoded together.
     """
 
-    MOST = 500_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,9 +113,9 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     state = C.worker_state()
-    if ("encoder", path) not in state:
-        state[("encoder", path)] = Encoder(path)
-    return state[("encoder", path)]
+    if f"encoder {path}" not in state:
+        state[f"encoder {path}"] = Encoder(path)
+    return state[f"encoder {path}"]
 
 
 class SequenceWriter:
@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
 
     fs, path = C.open_fs(out)
     fs.create_dir(path, recursive=True)
-    rows = dealt.mapInArrow(write, "r int, name string, n_docs long, n_tokens long").collect()  # one row a file
+    rows = dealt.mapInArrow(C.tidied(write, f"encoder {tokenizer}"), "r int, name string, n_docs long, n_tokens long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["r"]):
         files.append({"name": r["name"], "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
@@ -275,7 +275,7 @@ def read_tokens(spark, out: str, manifest: dict | None = None) -> DataFrame:
                     z = slice(a, a + 10_000)
                     yield pa.RecordBatch.from_arrays([index["doc_id"][z].combine_chunks(), pa.array(starts[z]), pa.array(sizes[z]), pa.array(crcs[z])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(files, "uri string, start long").repartition(min(len(files), 4 * C.n_parts(spark))).mapInArrow(read, schema)
+    return spark.createDataFrame(files, "uri string, start long").repartition(min(len(files), 4 * C.n_parts(spark))).mapInArrow(C.tidied(read), schema)
 
 
 def token_output(docs: DataFrame, tokenizer: str, out: str | None = None, **how) -> DataFrame:

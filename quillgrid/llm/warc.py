@@ -138,7 +138,7 @@ def write_warc(pages: DataFrame, out: str, *, min_dedupe_bytes: int = 0, roll_by
 
     fs, path = C.open_fs(out)
     fs.create_dir(path, recursive=True)
-    files = [r.asDict() for r in dealt.mapInArrow(write, "shard int, number int, name string, records long, bytes long, sha1 string").collect()]  # one row a file
+    files = [r.asDict() for r in dealt.mapInArrow(C.tidied(write), "shard int, number int, name string, records long, bytes long, sha1 string").collect()]  # one row a file
     manifest = {"files": sorted(files, key=lambda f: f["name"]), "records": sum(f["records"] for f in files)}
     with fs.open_output_stream(f"{path}/.MANIFEST.tmp") as f:
         f.write(json.dumps(manifest).encode())
@@ -208,7 +208,7 @@ def read_warc(spark, out: str, manifest: dict | None = None) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return spark.createDataFrame(files, "uri string, name string").repartition(min(len(files), 4 * C.n_parts(spark))).mapInArrow(read, schema)
+    return spark.createDataFrame(files, "uri string, name string").repartition(min(len(files), 4 * C.n_parts(spark))).mapInArrow(C.tidied(read), schema)
 
 
 def warc_round_trip(pages: DataFrame, out: str | None = None, **how) -> DataFrame:
