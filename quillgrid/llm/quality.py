@@ -231,7 +231,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: fl
     scored = scored.join(ids, scored["doc_id"] == ids["label_id"], "left").withColumn("trusted", F.col("label_id").isNotNull()).drop("label_id").withColumn("band", F.expr(BAND))
     scored = C.cut(scored, "perplexity")
     known = scored.where("trusted AND perplexity IS NOT NULL")
-    limits = [F.percentile_approx("perplexity", q, 10_000) for q in (low, high)]
+    # Exact quantiles of rounded logarithms: few distinct values, and the same limits in every run.
+    limits = [F.exp(F.percentile(F.round(F.log("perplexity"), 4), q)) for q in (low, high)]
     by_lang = known.groupBy(F.col("lang").alias("l1")).agg(limits[0].alias("low1"), limits[1].alias("high1"))
     by_band = known.groupBy(F.col("lang").alias("l2"), F.col("band").alias("b2")).agg(F.count("*").alias("rows"), limits[0].alias("low2"), limits[1].alias("high2"))
     all_ = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(by_band), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("band") == F.col("b2")), "left")  # a few rows a language
