@@ -107,8 +107,9 @@ def pair(sampler: Sampler, one: np.ndarray, other: np.ndarray) -> list[np.ndarra
     if not len(ha) and not len(hb):
         return [np.zeros(0, np.uint16)] * 2
     h, w = np.concatenate([ha, hb]), np.concatenate([wa, wb])
-    order = np.lexsort((w, h))
-    same = (h[order][1:] == h[order][:-1]) & (w[order][1:] == w[order][:-1])
+    order = np.argsort(h, kind="stable")  # a hash stands at most once on each side
+    hs, ws = h[order], w[order]
+    same = (hs[1:] == hs[:-1]) & (ws[1:] == ws[:-1])
     in_both = np.zeros(len(h), bool)
     in_both[order[:-1][same]] = in_both[order[1:][same]] = True
     place = np.where(in_both, 1, np.where(np.arange(len(h)) < len(ha), 0, 2))
