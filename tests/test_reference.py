@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +11,17 @@ from quillgrid.plans.queries import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 
 
+def plain(v):
+    if pd.isna(v):
+        return None
+    try:
+        return round(float(v), 6)
+    except ValueError:
+        return str(v)
+
+
 def rows(frame):
-    return sorted([tuple(None if v != v else round(float(v), 6) if isinstance(v, float) else str(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)], key=str)
+    return sorted((tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
