@@ -110,13 +110,15 @@ def tidy(*names: str) -> None:
         pass
 
 
-def tidied(work, *names: str):
-    """The function of batches `work`, between calls of tidy(*names)."""
+def tidied(work, *names: str, after: bool = True):
+    """The function of batches `work`, between calls of tidy(*names); without the second if not `after`."""
 
     def run(batches):
-        tidy(*names)
+        if after or any(not k.startswith("__") and k not in names for k in worker_state()):
+            tidy(*names)
         yield from work(batches)
-        tidy(*names)
+        if after:
+            tidy(*names)
 
     return run
 

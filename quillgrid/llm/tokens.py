@@ -49,7 +49,7 @@ class Encoder:
     those of its words in order. Words that the memory doesn't hold are encoded together.
     """
 
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
 
     fs, path = C.open_fs(out)
     fs.create_dir(path, recursive=True)
-    rows = dealt.mapInArrow(C.tidied(write, f"encoder {tokenizer}"), "r int, name string, n_docs long, n_tokens long").collect()  # one row a file
+    rows = dealt.mapInArrow(C.tidied(write, f"encoder {tokenizer}", after=False), "r int, name string, n_docs long, n_tokens long").collect()  # one row a file
     files, start = [], 0
     for r in sorted(rows, key=lambda r: r["r"]):
         files.append({"name": r["name"], "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
