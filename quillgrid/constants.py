@@ -14,3 +14,21 @@ MIN_MEDIAN_SAMPLES = 3
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Vulgar fractions.
 FRACTIONS = {"½": 1 / 2, "⅓": 1 / 3, "⅔": 2 / 3, "¼": 1 / 4, "¾": 3 / 4, "⅕": 1 / 5, "⅖": 2 / 5, "⅗": 3 / 5, "⅘": 4 / 5, "⅙": 1 / 6, "⅚": 5 / 6, "⅛": 1 / 8, "⅜": 3 / 8, "⅝": 5 / 8, "⅞": 7 / 8}
+
+# Lines, columns and blocks of a page; points unless a ratio.
+SPANNING_WIDTH_RATIO = 0.7
+HEADER_BAND = 0.93
+FOOTER_BAND = 0.07
+COLUMN_BIN = 2
+MIN_VALLEY_WIDTH = 10
+MAX_VALLEY_DENSITY = 0.05
+MIN_VERTICAL_EMPTY = 0.7
+MIN_COLUMN_SPAN = 0.5
+BASELINE_RATIO = 0.3
+LINE_GAP_BREAK = 1.8
+INDENT_BREAK = 8
+ISOLATION_GAP = 1.5
+NEAR_IMAGE_MARGIN = 20
+MAX_TABLE_LINE = 40
+ROW_GAP_MEDIANS = 4
+ROW_GAP_LEAST = 24

@@ -1,0 +1,3 @@
+"""Named queries; importing the package fills the registry."""
+
+from . import queries, pages  # noqa: F401, I001  (pages adds to what queries begins)
