@@ -60,14 +60,13 @@ def columns(lines: DataFrame, page: list[str]) -> DataFrame:
     g = F.coalesce(F.col("g"), F.expr("CAST(array() AS array<struct<gutter_min:double,gutter_max:double>>)"))
     both = F.arrays_zip(F.concat(F.array("x0"), F.transform(g, lambda c: c["gutter_max"].cast("double"))).alias("minX"), F.concat(F.transform(g, lambda c: c["gutter_min"].cast("double")), F.array("x1")).alias("maxX"))
     box = box.withColumn("x0", F.col("x0").cast("double")).withColumn("x1", F.col("x1").cast("double"))
-    named = F.transform(both, lambda c: F.struct(c["0"].alias("minX"), c["1"].alias("maxX")))
-    return box.join(cuts, page, "left").select(*page, named.alias("columns"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return box.join(cuts, page, "left").select(*page, both.alias("columns"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
 def drop_sparse(cols: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
     """cols without those whose lines reach over less than half of the page's height: the first such column goes, lines are dealt
     anew, and so on while there are two. A step depends on the one before, so a page is one Pandas group."""
-    slim = lines.select(*page, *[F.col(c).cast("double").alias(c) for c in ("minX", "minY", "maxX", "maxY")])
+    slim = lines.select(*[F.col(c).alias(f"_{c}") for c in page], *[F.col(c).cast("double").alias(c) for c in ("minX", "minY", "maxX", "maxY")])
     least = K.MIN_COLUMN_SPAN
 
     def shrink(c, rows):
@@ -89,7 +88,7 @@ def drop_sparse(cols: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame
         out["columns"] = [[{"minX": a, "maxX": b} for a, b in kept]]
         return out
 
-    return cols.groupBy(*page).cogroup(slim.groupBy(*page)).applyInPandas(shrink, cols.schema)
+    return cols.groupBy(*page).cogroup(slim.groupBy(*[f"_{c}" for c in page])).applyInPandas(shrink, cols.schema)
 
 
 def assign_columns(lines: DataFrame, cols: DataFrame, page: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def coverage(boxes: DataFrame, texts: DataFrame, page: str, key: str) -> DataFra
 
 def nearest(regions: DataFrame, images: DataFrame, page: str, key: str, image: str) -> DataFrame:
     """page, key, nearest, gap: the page's image of least distance between edges; of equal ones the first; null without any."""
-    x = regions.select(page, key, F.col("r").alias("_a")).join(images.select(page, image, F.col("r").alias("_b")), page, "left")
+    x = regions.select(page, key, F.col("r").alias("_a")).join(images.select(page, F.col(image).alias("_n"), F.col("r").alias("_b")), page, "left")
     gap = F.when(F.col("_b").isNotNull(), G.gap_distance(F.col("_a"), F.col("_b")))
-    best = F.min(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), F.col(image).alias("nearest"))))
+    best = F.min(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), F.col("_n").alias("nearest"))))
     return x.groupBy(page, key).agg(best.alias("b")).select(page, key, "b.nearest", "b.gap")

@@ -48,8 +48,11 @@ def merge_words(items: DataFrame, page: list[str], profiles: DataFrame) -> DataF
 
 
 def row_segments(rows: DataFrame, row: list[str], x: str, width: str, key: str) -> DataFrame:
-    """rows with gap and segment (from 1): a row is split where the gap is above 4 medians of its positive gaps and above 24 points; with fewer than two such gaps, above 24."""
-    w = Window.partitionBy(*row).orderBy(x, key)
+    """rows with gap and segment (from 1): a row is split where the gap is above 4 medians of its positive gaps and above 24 points; with fewer than two such gaps, above 24.
+
+    Rows are ordered by x, key and width; rows equal in all three are alike.
+    """
+    w = Window.partitionBy(*row).orderBy(x, key, width)
     rows = rows.withColumn("gap", F.col(x) - F.lag(F.col(x) + F.col(width)).over(w))
     positive = F.when(F.col("gap") > 0, F.col("gap"))
     whole = Window.partitionBy(*row)

@@ -46,9 +46,9 @@ def merged_words(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 300 AS x, l_quantity AS w FROM lineitem),
-g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY l_orderkey ORDER BY x, l_linenumber) AS gap FROM r),
+g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY l_orderkey ORDER BY x, l_linenumber, w) AS gap FROM r),
 m AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE gap > 0) >= 2 THEN greatest(4 * median(gap) FILTER (WHERE gap > 0), 24) ELSE 24 END AS most FROM g GROUP BY l_orderkey)
-SELECT g.l_orderkey, l_linenumber, (sum((coalesce(gap > most, true))::INT) OVER (PARTITION BY g.l_orderkey ORDER BY x, l_linenumber))::BIGINT AS segment FROM g JOIN m ON g.l_orderkey = m.l_orderkey"""
+SELECT g.l_orderkey, l_linenumber, (sum((coalesce(gap > most, true))::INT) OVER (PARTITION BY g.l_orderkey ORDER BY x, l_linenumber, w ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM g JOIN m ON g.l_orderkey = m.l_orderkey"""
 )
 def row_segments(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 300).alias("x"), F.col("l_quantity").alias("w"))
@@ -186,16 +186,18 @@ def ordinal_keys(spark, sf_dir):
     return regions.ordinal_keys(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id").select("event_id", "key")
 
 
-BOXES = """r AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 10 AS x1, l_discount * 100 + l_tax * 100 + 1 AS y1 FROM lineitem)"""
+# Line numbers repeat within an order: a box is the union of the rows that share one.
+BOXES = """r AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS x0, min(l_discount * 100) AS y0, max(l_quantity + 10) AS x1, max(l_discount * 100 + l_tax * 100 + 1) AS y1 FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 def boxes(spark, sf_dir):
     x, y = F.col("l_quantity"), F.col("l_discount") * 100
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.rect(x, y, x + 10, y + F.col("l_tax") * 100 + 1).alias("r"))
+    r = G.rect(F.min(x), F.min(y), F.max(x + 10), F.max(y + F.col("l_tax") * 100 + 1))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(r.alias("r"))
 
 
 @query(
-    f"""WITH {BOXES} SELECT a.l_orderkey, a.l_linenumber, round(least(1.0, sum(coalesce(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)), 0)) / any_value((a.x1 - a.x0) * (a.y1 - a.y0))), 6) AS coverage
+    f"""WITH {BOXES} SELECT a.l_orderkey, a.l_linenumber, round(least(1.0, sum(CASE WHEN b.l_linenumber IS NULL THEN 0 ELSE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) END) / any_value((a.x1 - a.x0) * (a.y1 - a.y0))), 6) AS coverage
 FROM r a LEFT JOIN r b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > 2 WHERE a.l_linenumber <= 2 GROUP BY a.l_orderkey, a.l_linenumber"""
 )
 def text_coverage(spark, sf_dir):
@@ -204,7 +206,7 @@ def text_coverage(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOXES}, d AS (SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other, sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) AS gap
+    f"""WITH {BOXES}, d AS (SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other, CASE WHEN b.l_linenumber IS NOT NULL THEN sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) END AS gap
   FROM r a LEFT JOIN r b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > 2 WHERE a.l_linenumber <= 2)
 SELECT l_orderkey, l_linenumber, round(min(gap), 6) AS gap, (max(other) IS NOT NULL) AS found FROM d GROUP BY l_orderkey, l_linenumber"""
 )
