@@ -24,18 +24,26 @@ from . import common as C
 
 BATCH = 64
 
+# The splitter that words_of is made for (a fixed value of the vocabulary file), behind a normaliser that makes small letters.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: A full stop or comma after a mark: it is part of a longer piece, so it can't be parted from what precedes it.
-MARKS = re.compile(r"(?:[^\w\s]|_)[.,]")
+
+#: A full stop or comma that may not be the start of a piece: what precedes it isn't among the letters, digits and blanks
+#: that stay what they are when normalised (a mark, or a letter such as U+0130 that becomes letter and mark).
+MARKS = re.compile(r"(?<=[^A-Za-z0-9À-ÖØ-öø-įı-žΑ-ΡΣ-Ωα-ωА-яЁё一-鿿ぁ-ゖァ-ヺ \n\t\r])[.,]")
 
 
 def words_of(text: str) -> list[str]:
-    """The text in parts that no piece of the vocabulary's splitter crosses, small letters where that is sure to change no id."""
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
+    """The text in parts that no piece of the vocabulary's splitter crosses, small letters where that is sure to change no id.
+
+    Special tokens are matched with their case, so texts that may hold something like them keep theirs.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
     text = text.replace("\n", " ")
     if not MARKS.search(text):
         text = (text + " ").replace(". ", " . ").replace(", ", " , ")
@@ -46,7 +54,8 @@ class Encoder:
     """Ids of whole texts. Words are encoded once and remembered, up to a bounded number.
 
     The vocabulary's splitter removes white space and parts letters from marks, so a text's ids are
-    those of its words in order. Words that the memory doesn't hold are encoded together.
+    those of its words in order. Words that the memory doesn't hold are encoded together. A vocabulary
+    with another splitter gets whole texts.
     """
 
     MOST = 500_000
@@ -58,6 +67,10 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        how = json.loads(self.tok.to_str())
+        kinds = [x["type"] for x in (how["normalizer"] or {}).get("normalizers", [])]
+        steps = (how["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.parted = kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": SPLITTER} and steps[0].get("behavior") == "Removed"
         self.width = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.known: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 20, self.width)
@@ -72,6 +85,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
+        if not self.parted:
+            got = [np.array(x.ids, self.width) for x in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.width), *got]), np.fromiter(map(len, got), np.int64, len(got))
         lists = [words_of(t) for t in texts]
         per_text = np.fromiter(map(len, lists), np.int64, len(lists))
         words = list(itertools.chain.from_iterable(lists))

@@ -223,3 +223,25 @@ def test_pipeline(spark):
     starts = sorted((r["start"], r["n_tokens"]) for r in out)
     assert out and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
     assert "pipeline" in queries() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_words_keep_the_ids_of_whole_texts(tmp_path):
+    """Marks, rare blanks, letters that become letter and mark, and special tokens in any case, next to full stops and commas."""
+    enc = tokens.Encoder(tokenizer_path())
+    assert enc.parted
+    atoms = "a Z é É ß İ ı µ Å ÿ Ÿ 0 7 . , ! ? _ - ' ’ 漢 あ 😀 ﬁ ½ ² Σ ς क़ the Hello WORLD 's <|endoftext|> <|ENDOFTEXT|> <|startoftext|> [UNK] a.b 1,000 ., _.".split(" ")
+    atoms += [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "\ufeff", "\xad", "\u0301", "\x00", ". ", ", "]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(atoms, k=rng.randint(0, 14))) for _ in range(4000)]
+    ids, sizes = enc(texts)
+    got = [list(map(int, x)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"A": 0, "a": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "cased.json"))
+    plain = tokens.Encoder(str(tmp_path / "cased.json"))
+    ids, sizes = plain(["A a", "", "a b"])
+    assert not plain.parted and ids.tolist() == [0, 1, 1, 2] and sizes.tolist() == [2, 0, 2]
