@@ -1,10 +1,11 @@
-"""Operator 8: quality classifier by an interpolated modified Kneser-Ney model of characters.
+"""Operator 8: quality classifier by interpolated modified Kneser-Ney models of words (wordmodel.py) and characters.
 
 Counts of character 4-grams in all trusted text (by language) are summed in Spark. Continuation counts,
 discounts, context totals and interpolated probabilities come from joins of the count tables, sharded
 by language and n-gram. The model is written as shards; a scoring task loads shards one at a time and
 joins its n-grams with them in place, so neither broadcast nor shuffle grows with text or model. A document
-is kept if its perplexity lies between quantiles of the trusted documents of its language and length.
+is kept if its perplexity a word and that a character lie between quantiles of the trusted documents of
+its language and length: words tell odd prose, and their model grows with the text; characters tell odd words.
 
 An n-gram is four 16-bit numbers in a long: code points, those above 0xFFFF folded into the private area;
 three blanks marked 2 stand before a text.
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import wordmodel
 
 ORDER = 4
 SHARD_ROWS = 4_000_000
@@ -208,11 +210,12 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     return docs.select(*columns).mapInArrow(C.tidied(work), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang string, n long, perplexity double"]))
 
 
+MEASURES = ("perplexity", "word_perplexity")
 BAND = "CAST(floor(log2(greatest(n, 1))) AS INT)"
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: float = 0.995, margin: float = 1.02, least: int = 100) -> DataFrame:
-    """doc_id, row_key, lang, n, perplexity, trusted, low, high, keep of every row of docs (doc_id, text, lang).
+    """doc_id, row_key, lang, n, perplexity (a character), trusted, low, high, word_perplexity, word_low, word_high, keep of every row of docs (doc_id, text, lang).
 
     Trusted rows have a label of quality 1, none of quality 0 and none of toxic 1. The limits are the
     quantiles `low` and `high` of the trusted rows' perplexity in the row's language and length band (powers
@@ -225,22 +228,25 @@ def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: fl
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("label_id IS NOT NULL AND q = 1 AND t = 0").select("label_id")
     good = C.cut(good, "trusted")
     ids = C.broadcast_if_small(good, good.count())
-    docs = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row_key"))
-    model = train(docs.join(ids, docs["doc_id"] == ids["label_id"], "left_semi"))
-    scored = score(docs.select("doc_id", "row_key", "text", "lang"), model, ["doc_id", "row_key"])
+    docs = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row_key"), F.xxhash64("text", "lang").alias("text_key"))
+    trusted = docs.join(ids, docs["doc_id"] == ids["label_id"], "left_semi")
+    scored = score(docs.select("doc_id", "row_key", "text_key", "text", "lang"), train(trusted), ["doc_id", "row_key", "text_key"])
+    by_words = wordmodel.perplexities(docs.select("text_key", "lang", "text"), wordmodel.train(trusted))
+    scored = scored.join(by_words, "text_key", "left").drop("text_key")
     scored = scored.join(ids, scored["doc_id"] == ids["label_id"], "left").withColumn("trusted", F.col("label_id").isNotNull()).drop("label_id").withColumn("band", F.expr(BAND))
     scored = C.cut(scored, "perplexity")
     known = scored.where("trusted AND perplexity IS NOT NULL")
     # Exact quantiles of rounded logarithms: few distinct values, and the same limits in every run.
-    limits = [F.exp(F.percentile(F.round(F.log("perplexity"), 4), q)) for q in (low, high)]
-    by_lang = known.groupBy(F.col("lang").alias("l1")).agg(limits[0].alias("low1"), limits[1].alias("high1"))
-    by_band = known.groupBy(F.col("lang").alias("l2"), F.col("band").alias("b2")).agg(F.count("*").alias("rows"), limits[0].alias("low2"), limits[1].alias("high2"))
+    limits = {c: [F.exp(F.percentile(F.round(F.log(c), 4), q)) for q in (low, high)] for c in MEASURES}
+    by_lang = known.groupBy(F.col("lang").alias("l1")).agg(*[x[i].alias(f"{c}_{end}1") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
+    by_band = known.groupBy(F.col("lang").alias("l2"), F.col("band").alias("b2")).agg(F.count("*").alias("rows"), *[x[i].alias(f"{c}_{end}2") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
     all_ = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(by_band), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("band") == F.col("b2")), "left")  # a few rows a language
     few = F.coalesce(F.col("rows"), F.lit(0)) < least
-    lo = F.when(few, F.least("low1", "low2")).otherwise(F.col("low2")) / margin
-    hi = F.when(few, F.greatest("high1", "high2")).otherwise(F.col("high2")) * margin
-    keep = F.coalesce((F.col("perplexity") >= lo) & (F.col("perplexity") <= hi), F.lit(True))
-    return all_.select("doc_id", "row_key", "lang", "n", "perplexity", "trusted", lo.alias("low"), hi.alias("high"), keep.alias("keep"))
+    lo = {c: F.when(few, F.least(f"{c}_low1", f"{c}_low2")).otherwise(F.col(f"{c}_low2")) / margin for c in MEASURES}
+    hi = {c: F.when(few, F.greatest(f"{c}_high1", f"{c}_high2")).otherwise(F.col(f"{c}_high2")) * margin for c in MEASURES}
+    fits = [F.coalesce((F.col(c) >= lo[c]) & (F.col(c) <= hi[c]), F.lit(True)) for c in MEASURES]
+    words, characters = "word_perplexity", "perplexity"
+    return all_.select("doc_id", "row_key", "lang", "n", "perplexity", "trusted", lo[characters].alias("low"), hi[characters].alias("high"), words, lo[words].alias("word_low"), hi[words].alias("word_high"), (fits[0] & fits[1]).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

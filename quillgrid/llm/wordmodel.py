@@ -1,0 +1,146 @@
+"""Operator 8's model of words: interpolated modified Kneser-Ney over word trigrams.
+
+Word trigrams of all trusted text are counted by language. Counts, continuation counts, discounts, context
+totals, interpolated probabilities and the look-up of every word of every document are joins that Spark
+shards by n-gram, so no task and no driver holds a model, and each grows with the text. Trusted text falls
+into two halves by a hash of the text, each with its model; every text, trusted or not, is scored by the
+model of the half it isn't in. A trusted text would else meet its own words again, and its perplexity
+would say nothing about others (most word trigrams come once).
+
+A word is a run of letters and digits in small form, or a run of other marks; two starts stand before a
+text. Words are 64-bit hashes, mixed with the hash of their model (language and half).
+"""
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+
+ORDER = 3
+WORDS = ("a", "b", "c")
+WORD = re.compile(r"\w+|[^\w\s]+")
+HELD_WORDS = 1_000_000
+FIXED = 1 << 24  # log probabilities are summed as whole numbers: the same sum in any order
+
+
+def model_of(other: bool = False):
+    """The model a text (columns lang and text) helps to build, or the other one, which scores it."""
+    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))
+    return F.xxhash64("lang", (1 - half if other else half).cast("int"))
+
+
+def codes(text: str, model: int) -> np.ndarray:
+    """The text's words as signed hashes of the model, after two starts."""
+    w = C.word_hashes(["\2", "\2", *WORD.findall(text.lower())])
+    return C.mix(w ^ np.uint64(model & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """m, a, b, c, n over all rows of docs (lang, text); tasks send each trigram once for some MB of text. Texts without a language are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for m, parts in held.items():
+                w = np.concatenate(parts)
+                order = np.lexsort(w.T)
+                w = w[order]
+                first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]).any(1)]))
+                n, w = np.diff(np.append(first, len(w))), w[first]
+                for k in range(0, len(w), 100_000):
+                    x = w[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), m)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(ORDER)), pa.array(n[k : k + 100_000])], names=["m", *WORDS, "n"])
+            held.clear()
+
+        for batch in batches:
+            for m, text in zip(batch["m"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                w = codes(text, m)
+                if len(w) >= ORDER:
+                    held.setdefault(m, []).append(np.lib.stride_tricks.sliding_window_view(w, ORDER))
+                    size += len(w)
+                if size > HELD_WORDS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", model_of().alias("m"))
+    return docs.mapInArrow(C.tidied(work), "m long, a long, b long, c long, n long").groupBy("m", *WORDS).agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame) -> dict[str, DataFrame]:
+    """From trigram counts, tables of logs by n-gram (the last words of a, b, c): p1 to p3 have the probability of
+    the n-gram's last word, g2 and g3 the weight of the next lower order after a context. p0: m and the log
+    probability of any word not seen."""
+    counted = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many words precede the n-gram
+        counted[k] = C.cut(counted[k + 1].groupBy("m", *WORDS[-k:]).agg(F.count("*").alias("n")), f"kn-counts{k}")
+    out: dict[str, DataFrame] = {}
+    for k in range(1, ORDER + 1):
+        gram, context = list(WORDS[-k:]), list(WORDS[-k:-1])
+        t = counted[k]
+        c = t.groupBy("m").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"t{i}") for i in range(1, 5)], F.count("*").alias("grams"))
+        y = F.expr("IF(t1 + t2 > 0, t1 / (t1 + 2 * t2), 0.5D)")
+        c = c.select("m", "grams", *[
+            F.greatest(F.lit(0.05), F.least(F.lit(float(i)), F.coalesce(F.when((F.col(f"t{i}") > 0) & (F.col("t1") > 0), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")), F.lit(0.5 * i)))).alias(f"d{i}")
+            for i in (1, 2, 3)
+        ])
+        t = t.join(F.broadcast(c), "m")  # c: two rows a language
+        t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        ctx = t.groupBy("m", *context).agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
+        own, weight = (F.col("n") - F.col("d")) / F.col("total"), F.col("held") / F.col("total")
+        if k == 1:
+            t = t.join(F.broadcast(ctx), "m")
+            p = t.select(*gram, F.log(own + weight / (F.col("grams") + 1)).alias("p1"))
+            out["p0"] = t.groupBy("m").agg(F.log(F.max(weight / (F.col("grams") + 1))).alias("p0"))
+        else:
+            out[f"g{k}"] = C.cut(ctx.select(*context, F.log(weight).alias(f"g{k}")), f"kn-g{k}")
+            t = t.join(out[f"g{k}"], context).join(ctx.drop("m", "held"), context)
+            p = t.join(out[f"p{k - 1}"], gram[1:]).select(*gram, F.log(own + F.exp(F.col(f"g{k}") + F.col(f"p{k - 1}"))).alias(f"p{k}"))
+        out[f"p{k}"] = C.cut(p, f"kn-p{k}")
+    return out
+
+
+def train(docs: DataFrame) -> dict[str, DataFrame]:
+    """The model tables of all rows of docs (lang, text), written to the shared folder."""
+    C.small_batches(docs.sparkSession)
+    return kneser_ney(C.cut(count_grams(docs), "kn-counts"))
+
+
+def perplexities(docs: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """text_key and word_perplexity of every text of docs (text_key, lang, text): one row a key, as copies share one.
+
+    No row: text that is null or without a word, or a language of which there was no trusted text.
+    """
+    C.small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[np.ndarray] = []
+            keys, lows = [], []
+            for key, p0, m, text in zip(*(batch[c].to_pylist() for c in ("text_key", "p0", "m", "text")), strict=True):
+                w = codes(text, m)
+                if len(w) >= ORDER:
+                    parts.append(np.lib.stride_tricks.sliding_window_view(w, ORDER))
+                    keys.append(np.full(len(w) - ORDER + 1, key))
+                    lows.append(np.full(len(w) - ORDER + 1, p0))
+            if parts:
+                w, key, low = np.concatenate(parts), np.concatenate(keys), np.concatenate(lows)
+                for k in range(0, len(w), 100_000):
+                    x = w[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(low[k : k + 100_000]), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(ORDER))], names=["text_key", "p0", *WORDS])
+
+    unseen_p = F.broadcast(model["p0"])  # two rows a language
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text_key", "text", model_of(other=True).alias("m")).join(unseen_p, "m")
+    t = known.mapInArrow(C.tidied(work), "text_key long, p0 double, a long, b long, c long")
+    t = t.join(model["p3"], list(WORDS), "left").join(model["p2"], ["b", "c"], "left").join(model["g3"], ["a", "b"], "left").join(model["g2"], "b", "left").join(model["p1"], "c", "left")
+    weigh = F.coalesce("g3", F.lit(0.0))
+    value = F.coalesce("p3", weigh + F.col("p2"), weigh + F.coalesce("g2", F.lit(0.0)) + F.coalesce("p1", "p0"))
+    mean = F.sum((value * FIXED).cast("long")) / F.count("*") / FIXED  # of equal rows, where texts have copies
+    return t.groupBy("text_key").agg(F.exp(-mean).alias("word_perplexity"))

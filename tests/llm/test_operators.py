@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillgrid.llm import decontaminate, fingerprints, html, language, mixing, nearjoin, quality, substrings, tokens, warc
+from quillgrid.llm import decontaminate, fingerprints, html, language, mixing, nearjoin, quality, substrings, tokens, warc, wordmodel
 from quillgrid.llm.queries import queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -183,6 +183,49 @@ def test_quality(spark, docs, empty):
     assert kept.columns == docs.columns and {3, 4} <= {r["doc_id"] for r in kept.collect()}
 
 
+def brute_kneser_ney(texts):
+    """The log probability of c after a, b by interpolated modified Kneser-Ney over the texts' words."""
+    split = lambda t: ["\2", "\2", *wordmodel.WORD.findall(t.lower())]
+    grams = lambda t: [tuple(w[k : k + 3]) for w in [split(t)] for k in range(len(w) - 2)]
+    n = {3: collections.Counter(g for t in texts for g in grams(t))}
+    for k in (2, 1):
+        n[k] = collections.Counter(g[1:] for g in n[k + 1])
+    d, total, held = {}, {k: collections.Counter() for k in n}, {k: collections.Counter() for k in n}
+    for k, c in n.items():
+        t = [sum(x == i for x in c.values()) for i in range(5)]
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + t[2] else 0.5
+        d[k] = [0, *(max(0.05, min(i, i - (i + 1) * y * t[i + 1] / t[i] if t[i] and t[1] else 0.5 * i)) for i in (1, 2, 3))]
+        for g, x in c.items():
+            total[k][g[:-1]] += x
+            held[k][g[:-1]] += d[k][min(x, 3)]
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (len(n[1]) + 1)
+        if g[:-1] not in total[k]:
+            return lower
+        return (max(0, n[k][g] - d[k][min(n[k][g], 3)]) + held[k][g[:-1]] * lower) / total[k][g[:-1]]
+
+    return lambda t: np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), n
+
+
+def test_word_model(spark):
+    """Perplexities are those of word trigrams of the half of the trusted text that a text is not in."""
+    rng = random.Random(9)
+    texts = [text_of(rng, rng.randint(1, 60)) for _ in range(40)]
+    d = spark.createDataFrame([(k, "en", t) for k, t in enumerate([*texts, texts[0], None, "", "zebra " + texts[1]])], "text_key long, lang string, text string")
+    trusted = d.where("text_key < 40")
+    of = {r["text_key"]: (r["own"], r["other"]) for r in d.select("text_key", wordmodel.model_of().alias("own"), wordmodel.model_of(other=True).alias("other")).collect()}
+    brute = {m: brute_kneser_ney([t for k, t in enumerate(texts) if of[k][0] == m]) for m in {of[k][0] for k in range(40)}}
+    assert len(brute) == 2
+    counts = wordmodel.count_grams(trusted)
+    assert counts.count() == sum(len(n[3]) for _, n in brute.values()) and counts.agg({"n": "sum"}).first()[0] == sum(len(wordmodel.WORD.findall(t)) for t in texts)
+    got = {r["text_key"]: r["word_perplexity"] for r in wordmodel.perplexities(d, wordmodel.train(trusted)).collect()}
+    assert set(got) == set(range(41)) | {43} and got[0] == got[40]
+    for k, x in got.items():
+        assert x == pytest.approx(brute[of[k][1]][0]([*texts, texts[0], "", "", "zebra " + texts[1]][k]), rel=1e-5)
+
+
 def test_near_join(docs, empty):
     rows = nearjoin.near_join(docs).collect()
     sets = [(i, frozenset(nearjoin.run_set(t).tolist())) for i, t in ordered(docs)]
