@@ -1,11 +1,16 @@
 """Operator 10: main text of web pages by block rules in two passes.
 
 Markup is scanned once into blocks of text, each with its length, share of stop words, share of text in
-links, and what the elements around it say. First pass: blocks in menus, headers, footers, sidebars,
-notices, adverts, forms and comments are boilerplate; where the page marks an article (or main part),
-the blocks in it are content and those outside are not; other blocks are classed by link density, length
-and stop-word density, or stay undecided if short. Second pass: undecided blocks take the label of the
-nearest decided neighbours: content if either nearest one is, unless the block reads like boilerplate.
+links, and what the elements around it say: "bad" in menus, headers, footers, sidebars, notices, adverts,
+forms and comments, "main" in an article or main part. An article in a bad part (a teaser in a sidebar) is no
+main part; it counts as one only where a page has no other content.
+
+Both passes run on every page. First pass: blocks that are bad or mostly links are boilerplate (but a linked
+heading in a main part is undecided); others are content by length and stop-word density, where a main part
+asks for fewer stop words, or stay undecided. If the main parts hold more letters than the content outside
+them, blocks outside must be long, dense in stop words and without links. Second pass: undecided blocks take the label of the nearest decided
+neighbours: content if either nearest one is, unless the block reads like boilerplate; headings follow what
+comes after. In a main part only its blocks are neighbours, and with none decided a block is content.
 """
 
 import html as entities
@@ -60,9 +65,9 @@ def names_of(attributes: str) -> tuple[str, str, bool]:
 
 
 def blocks_of(page: str) -> list[dict]:
-    """Blocks in page order: text, letters in links, where ("bad", "main" or "")."""
+    """Blocks in page order: text, letters in links, where ("bad", "main", "teaser": an article in a bad part, or "")."""
     blocks: list[dict] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, where, in a main part, in comments
+    stack: list[tuple[str, str, bool, bool]] = []  # element, where, in a main part, in comments or hidden
     parts: list[tuple[str, bool]] = []
     links = at = 0
 
@@ -108,13 +113,19 @@ def blocks_of(page: str) -> list[dict]:
             continue
         _, where, in_main, in_comments = stack[-1] if stack else ("", "", False, False)
         named, role, hidden = names_of(attributes) if attributes.strip() else ("", "", False)
-        in_comments = in_comments or bool(COMMENTS.search(named))
+        in_comments = in_comments or hidden or bool(COMMENTS.search(named))
         bad = tag in DROPPED or hidden or role in BAD_ROLE or (BAD_NAME.search(named) is not None and tag not in ("body", "html") and not (tag in MAIN and not in_comments))
         if tag == "header" and not in_main:
             bad = True
         if tag in MAIN or role in ("main", "article"):
-            where = "bad" if in_comments or hidden or (in_main and tag == "article" and where == "bad") else "main"
-            in_main = True
+            whole = tag == "main" or role == "main"
+            if in_comments:
+                where = "bad"
+            elif whole or where in ("", "main"):
+                where = "main"
+            elif not in_main:
+                where = "teaser"
+            in_main = in_main or where == "main"
         elif tag == "body":
             where = ""
         elif bad:
@@ -138,32 +149,44 @@ def stop_share(words: list[str], stop: frozenset) -> float:
 STOP_SETS = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 
 
+def labels_of(blocks: list[dict], main: tuple[str, ...] = ("main",)) -> list[bool]:
+    """Whether each block is content, by both passes; blocks with a `where` of `main` are in a main part."""
+    words = [re.findall(r"\w+", b["text"].lower()) for b in blocks]
+    inside = [b["where"] in main for b in blocks]
+    bad = [b["where"] != "" and not i for b, i in zip(blocks, inside, strict=True)]
+    heading = [re.fullmatch(r"h[1-6]", b["tag"]) is not None for b in blocks]
+    every = [w for ws, x in zip(words, bad, strict=True) if not x for w in ws]
+    stop = max(STOP_SETS.values(), key=lambda s: stop_share(every, s))
+    sizes, shares, links = [len(b["text"]) for b in blocks], [stop_share(ws, stop) for ws in words], [b["linked"] / len(b["text"]) for b in blocks]
+    first: list[bool | None] = []
+    for k, b in enumerate(blocks):
+        n, share = sizes[k], shares[k]
+        if bad[k] or (links[k] > MAX_LINKS and not (inside[k] and heading[k])) or ("©" in b["text"][:200] and not (inside[k] and n >= LONG)):
+            first.append(False)
+        elif links[k] <= MAX_LINKS and (n >= SHORT and share >= (STOP_LOW if inside[k] else STOP_HIGH) or n >= LONG and (share >= STOP_LOW or links[k] == 0)):
+            first.append(True)
+        else:
+            first.append(None)
+    if sum(n for n, i, x in zip(sizes, inside, first, strict=True) if i and x is not False) > sum(n for n, i, x in zip(sizes, inside, first, strict=True) if not i and x):
+        first = [x if i else bool(x and n >= LONG and share >= STOP_HIGH and l == 0) for x, i, n, share, l in zip(first, inside, sizes, shares, links, strict=True)]
+    labels = list(first)
+    in_parts = [x if i else None for x, i in zip(first, inside, strict=True)]
+    for k, label in enumerate(first):
+        if label is None:
+            near = in_parts if inside[k] else first
+            before = next((x for x in reversed(near[:k]) if x is not None), None)
+            after = next((x for x in near[k + 1 :] if x is not None), None)
+            alone = before is None and after is None
+            labels[k] = bool(after if heading[k] and after is not None else alone or (before and after) or ((before or after) and blocks[k]["linked"] == 0))
+    return labels
+
+
 def main_text(page: str) -> str:
     """The blocks of the main text, joined by one line end; empty if there is none."""
     blocks = blocks_of(page)
-    if any(b["where"] == "main" for b in blocks):
-        labels = [b["where"] == "main" for b in blocks]
-    else:
-        words = [re.findall(r"\w+", b["text"].lower()) for b in blocks]
-        every = [w for ws, b in zip(words, blocks, strict=True) if b["where"] != "bad" for w in ws]
-        stop = max(STOP_SETS.values(), key=lambda s: stop_share(every, s))
-        labels = []
-        for b, ws in zip(blocks, words, strict=True):
-            n, share, links = len(b["text"]), stop_share(ws, stop), b["linked"] / len(b["text"])
-            if b["where"] == "bad" or links > MAX_LINKS or "©" in b["text"][:200]:
-                labels.append(False)
-            elif n >= SHORT and share >= STOP_HIGH or n >= LONG and (share >= STOP_LOW or links == 0):
-                labels.append(True)
-            else:
-                labels.append(None)
-        first = list(labels)
-        for k, label in enumerate(first):
-            if label is None:
-                before = next((x for x in reversed(first[:k]) if x is not None), None)
-                after = next((x for x in first[k + 1 :] if x is not None), None)
-                heading = re.fullmatch(r"h[1-6]", blocks[k]["tag"]) is not None
-                alone = before is None and after is None
-                labels[k] = bool(after if heading and after is not None else alone or (before and after) or ((before or after) and blocks[k]["linked"] == 0))
+    labels = labels_of(blocks)
+    if not any(labels) and any(b["where"] == "teaser" for b in blocks):
+        labels = labels_of(blocks, ("main", "teaser"))
     return "\n".join(b["text"] for b, label in zip(blocks, labels, strict=True) if label)
 
 

@@ -254,6 +254,24 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+BODY = "This is the text of the page, and it has the words that all of it needs to be more than a list of links in the page."
+BODY_2 = "It is not in an article, but the words of it say that they are what the page was made for, and so they have to be kept."
+LINKS = "<ul><li><a href=1>one more page</a></li><li><a href=2>another page</a></li></ul>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p>{BODY}</p><p>{BODY_2}</p></div><aside><article><h3>Teaser</h3><p>{BODY[:60]}</p></article></aside>", f"{BODY}\n{BODY_2}"),
+    (f"<div class='related'><article><p>{BODY}</p></article></div><div><p>{BODY_2}</p></div>", BODY_2),
+    (f"<div><p>{BODY}</p><p>{BODY_2}</p></div><div><article><p><a href=1>A teaser</a></p></article><article><p><a href=2>And one more</a></p></article></div>", f"{BODY}\n{BODY_2}"),
+    (f"<main><h1><a href=0>Head</a></h1><p>{BODY}</p><h2>More</h2>{LINKS}</main>", f"Head\n{BODY}"),
+    (f"<div>{BODY[:75]}</div><article><p>{BODY}</p><p>Short.</p></article>", f"{BODY}\nShort."),
+    (f"<form><article><p>{BODY}</p></article></form>", BODY),
+    (f"<div hidden><article><p>{BODY}</p></article></div>", ""),
+])
+def test_main_parts_are_one_feature(page, want):
+    assert html.main_text(page) == want
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (None, None, "<article><p>x", 2)], "page_id long, url string, html string, text int")
     assert {tuple(r) for r in html.extract(pages).collect()} == {(1, "u", "", 0), (None, None, "x", 1)}
