@@ -210,6 +210,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     return docs.select(*columns).mapInArrow(C.tidied(work), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang string, n long, perplexity double"]))
 
 
+NO_LANG = "\0"  # stands for null, which joins by equality would drop
 MEASURES = ("perplexity", "word_perplexity")
 BAND = "CAST(floor(log2(greatest(n, 1))) AS INT)"
 
@@ -221,14 +222,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: fl
     quantiles `low` and `high` of the trusted rows' perplexity in the row's language and length band (powers
     of two), widened by `margin`; a band of under `least` trusted rows takes the widest of the limits of its
     language as a whole and of its own rows. Rows without a perplexity or limits are kept: nothing speaks against them. row_key hashes
-    doc_id, text and lang. No labels: every row is kept.
+    doc_id, text and lang. Rows of null lang are a language of their own. No labels: every row is kept.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("label_id IS NOT NULL AND q = 1 AND t = 0").select("label_id")
     good = C.cut(good, "trusted")
     ids = C.broadcast_if_small(good, good.count())
-    docs = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row_key"), F.xxhash64("text", "lang").alias("text_key"))
+    docs = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row_key"), F.xxhash64("text", "lang").alias("text_key")).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
     trusted = docs.join(ids, docs["doc_id"] == ids["label_id"], "left_semi")
     scored = score(docs.select("doc_id", "row_key", "text_key", "text", "lang"), train(trusted), ["doc_id", "row_key", "text_key"])
     by_words = wordmodel.perplexities(docs.select("text_key", "lang", "text"), wordmodel.train(trusted))
@@ -240,13 +241,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: fl
     limits = {c: [F.exp(F.percentile(F.round(F.log(c), 4), q)) for q in (low, high)] for c in MEASURES}
     by_lang = known.groupBy(F.col("lang").alias("l1")).agg(*[x[i].alias(f"{c}_{end}1") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
     by_band = known.groupBy(F.col("lang").alias("l2"), F.col("band").alias("b2")).agg(F.count("*").alias("rows"), *[x[i].alias(f"{c}_{end}2") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
-    all_ = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(by_band), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("band") == F.col("b2")), "left")  # a few rows a language
+    all_ = scored.join(F.broadcast(by_lang), F.col("lang") == F.col("l1"), "left").join(F.broadcast(by_band), (F.col("lang") == F.col("l2")) & (F.col("band") == F.col("b2")), "left")  # a few rows a language
     few = F.coalesce(F.col("rows"), F.lit(0)) < least
     lo = {c: F.when(few, F.least(f"{c}_low1", f"{c}_low2")).otherwise(F.col(f"{c}_low2")) / margin for c in MEASURES}
     hi = {c: F.when(few, F.greatest(f"{c}_high1", f"{c}_high2")).otherwise(F.col(f"{c}_high2")) * margin for c in MEASURES}
     fits = [F.coalesce((F.col(c) >= lo[c]) & (F.col(c) <= hi[c]), F.lit(True)) for c in MEASURES]
     words, characters = "word_perplexity", "perplexity"
-    return all_.select("doc_id", "row_key", "lang", "n", "perplexity", "trusted", lo[characters].alias("low"), hi[characters].alias("high"), words, lo[words].alias("word_low"), hi[words].alias("word_high"), (fits[0] & fits[1]).alias("keep"))
+    return all_.select("doc_id", "row_key", F.nullif(F.col("lang"), F.lit(NO_LANG)).alias("lang"), "n", "perplexity", "trusted", lo[characters].alias("low"), hi[characters].alias("high"), words, lo[words].alias("word_low"), hi[words].alias("word_high"), (fits[0] & fits[1]).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -183,6 +183,16 @@ def test_quality(spark, docs, empty):
     assert kept.columns == docs.columns and {3, 4} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_quality_without_language(spark):
+    rng = random.Random(4)
+    d = spark.createDataFrame([*((k, text_of(rng, 80), None if k % 2 else "en") for k in range(60)), (60, "qzx#kvj@ " * 50, None), (61, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(d, labels).collect()}
+    assert got[1]["lang"] is None and got[0]["lang"] == "en" and all(got[k]["perplexity"] and got[k]["word_perplexity"] for k in range(61))
+    assert not got[60]["keep"] and got[61]["keep"] and got[61]["perplexity"] is None
+    assert 60 not in {r["doc_id"] for r in quality.keep_good(d, labels).collect()}
+
+
 def brute_kneser_ney(texts):
     """The log probability of c after a, b by interpolated modified Kneser-Ney over the texts' words."""
     split = lambda t: ["\2", "\2", *wordmodel.WORD.findall(t.lower())]
