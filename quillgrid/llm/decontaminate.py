@@ -10,6 +10,7 @@ has enough of the word runs of the item's question and of its answer.
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -47,25 +48,23 @@ def runs(w: list[str], n: int = RUN) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """An inverted index of at most ITEMS items."""
+    """An inverted index of at most ITEMS items. over: how many items there are in all, their mean length, and how many have a word; else those of `items`."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], over: tuple[int, float, dict[str, int]] | None = None):
         self.ids = [i for i, _ in items]
         texts = [words(t) for _, t in items]
         self.parts = [tuple(map(runs, question_answer(t))) for _, t in items]
         self.longest = max(map(len, texts), default=0)
         self.short = {k: t for k, t in enumerate(texts) if len(t) < 2 * RUN}  # these must stand word for word
-        n, mean = len(items), max(1.0, sum(map(len, texts)) / max(1, len(texts)))
-        df: dict[str, int] = {}
-        for t in texts:
-            for w in set(t):
-                df[w] = df.get(w, 0) + 1
-        self.vocab = {w: k for k, w in enumerate(sorted(df))}
+        every, mean, df = over or (len(texts), sum(map(len, texts)) / max(1, len(texts)), Counter(chain.from_iterable(map(set, texts))))
+        n, mean = len(items), max(1.0, mean)
+        of = set(chain.from_iterable(texts))
+        self.vocab = {w: k for k, w in enumerate(sorted(of))}
         weight = np.zeros((len(self.vocab) + 1, -(-n // BLOCK) * BLOCK), np.float32)  # last row: unknown words
         for k, t in enumerate(texts):
             for w in set(t):
                 tf = t.count(w)
-                weight[self.vocab[w], k] = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
+                weight[self.vocab[w], k] = math.log(1 + (every - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
         weight /= np.maximum(weight.sum(0), 1e-9)
         self.weight = weight.reshape(len(weight), -1, BLOCK)
         self.most = self.weight.max(2)  # a term's maximum in each block
@@ -121,14 +120,34 @@ class Index:
 
 
 def indexes(items: DataFrame, most_bytes: int = 64 << 20) -> Iterator[list[Index]]:
-    """Indexes over all items (item_id, text; null text: none), in groups of at most most_bytes of text, which bounds what is sent to executors."""
+    """Indexes over all items (item_id, text; null text: none), in groups of at most most_bytes of text, which bounds what is sent to executors.
+
+    Item counts of words, the number of items and their mean length are those of all groups together."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").dropDuplicates()
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-n_bytes // most_bytes)
+    if not n:
+        return
+    items = C.cut(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "items")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, text in zip(batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if t := words(text):
+                    rows += [(part, None, len(t)), *((part, w, 1) for w in set(t))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.string(), pa.int64()], strict=True)], names=["part", "word", "n"])
+
+    found = C.cut(items.select("part", "text").mapInArrow(C.tidied(work), "part int, word string, n long").groupBy("part", "word").agg(F.sum("n").alias("n"), F.count("*").alias("items")), "item-words")
+    lengths = found.where("word IS NULL").agg(F.sum("items").alias("items"), F.sum("n").alias("n")).first()
+    every = lengths["items"] or 0
+    counts = C.cut(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("items").alias("items")), "item-counts")
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # within most_bytes, about
+        rows = items.where(F.col("part") == k).collect()  # within most_bytes, about
         rows = sorted(((r["item_id"], r["text"]) for r in rows if words(r["text"])), key=lambda r: (r[0] is None, r))
-        yield [Index(rows[a : a + ITEMS]) for a in range(0, len(rows), ITEMS)]
+        df = {r["word"]: r["items"] for r in counts.join(found.where(F.col("part") == k).select("word"), "word", "left_semi").collect()}  # the words of these rows
+        yield [Index(rows[a : a + ITEMS], (every, lengths["n"] / every, df)) for a in range(0, len(rows), ITEMS)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, least: float = 0.5) -> DataFrame:

@@ -102,6 +102,21 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.remove_leaks(docs, items).columns == docs.columns
 
 
+def test_item_weights_do_not_depend_on_slices(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [text_of(rng, 30) + f" zebra{k % 4} quartz{k}" for k in range(10)]
+    d = spark.createDataFrame([(k, "One more. " + t.replace("quartz", "x")) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    score = lambda groups: {(i, t): round(w[index.vocab[t]][i // 8][i % 8], 6) for g in groups for index in g for w in [index.weight.tolist()] for i in range(len(index.ids)) for t in index.vocab}
+    want = {r["doc_id"]: r["score"] for r in decontaminate.find_leaks(d, items).collect() if r["doc_id"] == r["item_id"]}
+    assert len(want) == 10 and score(decontaminate.indexes(items)) == score([[decontaminate.Index(list(enumerate(texts)))]])
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    assert {r["doc_id"]: r["score"] for r in decontaminate.find_leaks(d, items).collect() if r["doc_id"] == r["item_id"]} == pytest.approx(want)
+    parts = {i: w for g in decontaminate.indexes(items, 500) for index in g for k, i in enumerate(index.ids) for w in [index.weight[index.vocab[f"quartz{i}"], 0, k]]}
+    whole = decontaminate.Index(list(enumerate(texts)))
+    assert parts == pytest.approx({i: whole.weight[whole.vocab[f"quartz{i}"], i // 8, i % 8] for i in range(10)})
+
+
 def test_block_bounds_lose_nothing(spark):
     """Every item that plain BM25 over the same windows finds is found."""
     import duckdb
