@@ -26,6 +26,7 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 ITEMS = 1024
 RUN = 3
+ANSWER = RUN + 1  # so many words, for half the runs of a shorter answer are gone with its last word
 
 
 def words(text: str) -> list[str]:
@@ -33,12 +34,14 @@ def words(text: str) -> list[str]:
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
-    """An item's words: all but its last sentence or line, and that; the last third of the words if there is only one."""
+    """An item's words, parted before its last sentence or line, or before as many of these as hold ANSWER words; the last third of the words
+    (ANSWER at least, and three at least before them) if that leaves no question."""
     parts = [w for p in re.split(r"(?<=[.?!])\s+|\n+", text) if (w := words(p))]
-    if len(parts) > 1:
-        return list(chain.from_iterable(parts[:-1])), parts[-1]
-    w = parts[0] if parts else []
-    cut = len(w) - len(w) // 3
+    k = len(parts) - 1
+    while k > 0 and sum(map(len, parts[k:])) < ANSWER:
+        k -= 1
+    w = list(chain.from_iterable(parts))
+    cut = sum(map(len, parts[:k])) if k > 0 else len(w) - max(len(w) // 3, min(ANSWER, len(w) - RUN))
     return w[:cut], w[cut:]
 
 

@@ -117,6 +117,18 @@ def test_item_weights_do_not_depend_on_slices(spark, monkeypatch):
     assert parts == pytest.approx({i: whole.weight[whole.vocab[f"quartz{i}"], i // 8, i % 8] for i in range(10)})
 
 
+def test_short_answers(spark):
+    """An item whose last sentence is a word or two is found without its last word."""
+    question = "Which stone did the green lamp hide under the winter paper by the quiet river?"
+    items = spark.createDataFrame([(1, question + " Amber."), (2, question.replace("?", ".") + " Take it. Er."), (3, "Seven green lamps hide under one winter river stone")], "item_id long, text string")
+    texts = [question, question + " Take it", "Seven green lamps hide under one winter river", "Which stone is green?"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, items).collect()} == {(0, 1), (1, 1), (1, 2), (2, 3)}
+    for text in ("", "a", "a b c d e f", "a b c d e f g", "A. B. C. D.", "a b c d e f. g h.", "a b c d. e f g h i."):
+        q, a = decontaminate.question_answer(text)
+        assert q + a == decontaminate.words(text)
+
+
 def test_block_bounds_lose_nothing(spark):
     """Every item that plain BM25 over the same windows finds is found."""
     import duckdb
