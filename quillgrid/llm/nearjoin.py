@@ -158,11 +158,11 @@ def verify_block(ids: np.ndarray, block: np.ndarray, mult: np.ndarray, ends: np.
 
 
 def near_join(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
-    """doc_id, row_key, class_id, class_size, n_links of every row of docs (doc_id, text).
+    """doc_id, row_key, label, class_id, class_size, n_links of every row of docs (doc_id, text).
 
     Two rows are linked if the Jaccard similarity of their sets of five-word runs (a text of fewer words
     is one run) is at least `threshold`; rows with equal sets are, texts without words (or null) among
-    them. n_links counts all linked rows, copies too. class_id is the least doc_id that links lead to,
+    them. n_links counts all linked rows, copies too. label names the class. class_id is the least doc_id that links lead to,
     its own for a row without links; null ids come last. row_key hashes doc_id and text. Other columns
     are ignored.
     """
@@ -219,8 +219,8 @@ def near_join(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-
     labels = components(found.where("links < 0").select("a", "b"))
     of = classes.select("set_key", "mult", "first_id").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     heads = of.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("mult").alias("class_size"))
-    final = C.cut(of.join(heads, "label").join(counts, "set_key", "left").select("set_key", "class_id", "class_size", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    return rows.select("doc_id", "row_key", "set_key").join(final, "set_key").select("doc_id", "row_key", "class_id", "class_size", "n_links")
+    final = C.cut(of.join(heads, "label").join(counts, "set_key", "left").select("set_key", "label", "class_id", "class_size", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    return rows.select("doc_id", "row_key", "set_key").join(final, "set_key").select("doc_id", "row_key", "label", "class_id", "class_size", "n_links")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
@@ -229,8 +229,8 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     Rows with that doc_id in the class: the one of the least row_key; of wholly equal (doc_id, text), one.
     """
     joined = C.cut(near_join(docs, **how), "near")
-    one = joined.where("class_size > 1").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("class_id", F.col("m.row_key").alias("first"))
-    gone = C.cut(joined.where("class_size > 1").join(one, joined["class_id"].eqNullSafe(one["class_id"])).where("row_key <> first").select(F.col("row_key").alias("_gone")).distinct(), "gone")
+    one = joined.where("class_size > 1").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("label", F.col("m.row_key").alias("first"))
+    gone = C.cut(joined.where("class_size > 1").join(one, "label").where("row_key <> first").select(F.col("row_key").alias("_gone")).distinct(), "gone")
     keyed = docs.withColumn("_near_key", F.xxhash64(F.col("doc_id"), F.col("text")))
     left = keyed.join(C.broadcast_if_small(gone, gone.count()), F.col("_near_key") == F.col("_gone"), "left_anti")
     twice = C.cut(joined.where("class_size > 1").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("_twice")), "twice")

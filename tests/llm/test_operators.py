@@ -277,6 +277,14 @@ def test_near_join(docs, empty):
     assert nearjoin.near_join(empty).count() == 0 and nearjoin.keep_first(empty).count() == 0
 
 
+def test_keep_first_of_classes_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, e = (text_of(rng, 200) for _ in range(4))
+    d = spark.createDataFrame([(1, a), (2, a), (1, b), (3, b + " plus"), (None, c), (None, c + " plus"), (None, e), (None, e)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in nearjoin.keep_first(d).collect()]
+    assert len(kept) == 4 and {(1, a), (1, b), (None, e)} < set(kept) and {t[:50] for _, t in kept} == {x[:50] for x in (a, b, c, e)}
+
+
 PAGES = [
     ("<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><header><h1>A &amp; B</h1></header><p>One<br>two <b>three</b></p><p>&lt;x&gt;&nbsp; y<script>var a='</p>'</script></p><aside>no</aside></article><footer>f</footer>", "A & B\nOne two three\n<x> y"),
     ("<div class='cookie-notice'>We use cookies and you agree to it all.</div><main><p>Short.</p><form><label>Name</label></form><section id='comments'><article class='comment'><p>First!</p></article></section></main>", "Short."),
