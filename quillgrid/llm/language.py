@@ -3,8 +3,8 @@
 Features are TF-IDF weights of character runs of 1 to 3 (letters in small form, all else one blank),
 hashed into 65,536 columns: 1 + ln(count) times ln((1 + documents) / (1 + documents with it)) + 1, scaled
 to length 1. Document counts cover all learning rows. Weights are fitted by follow-the-regularised-leader
-with elastic-net penalties on at most `per_lang` rows a language, and a temperature is fitted on rows of
-that sample which the weights have not seen.
+with elastic-net penalties on at most `per_lang` different texts a language, and a temperature is fitted on
+those of that sample which the weights have not seen.
 """
 
 import math
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -112,7 +112,7 @@ class Model:
 
 
 def learn(docs: DataFrame, *, per_lang: int = 600) -> Model:
-    """A model of the rows of docs (text, lang; lang not null), at most per_lang sampled rows of each language, picked by a hash of the text."""
+    """A model of the rows of docs (text, lang; lang not null), at most per_lang sampled texts of each language, picked by a hash; copies of a text are one."""
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
@@ -132,10 +132,14 @@ def learn(docs: DataFrame, *, per_lang: int = 600) -> Model:
     for r in counts:
         df[r["c"]] = r["n"]
     idf = np.log((1 + df[D]) / (1 + df[:D])) + 1
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Copies of a text count once: its hash is picked, and then one of its rows.
+    docs = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64("text"))
+    keys = C.cut(docs.select("lang", "mark").distinct(), "language-texts")
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = spark.createDataFrame([(k, min(1.0, 1.5 * per_lang / v + 20 / v)) for k, v in sizes.items()], "lang string, share double")
-    mark = F.xxhash64("text")
-    picked = docs.join(F.broadcast(share), "lang").where(F.pmod(mark, F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "text")
+    some = keys.join(F.broadcast(share), "lang").where(F.pmod("mark", F.lit(1 << 30)) <= F.col("share") * (1 << 30))  # about 1.5 times per_lang a language
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("mark"), "mark"))).where(F.col("place") <= per_lang)
+    picked = docs.join(F.broadcast(some.select("lang", "mark")), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,18 +149,14 @@ def learn(docs: DataFrame, *, per_lang: int = 600) -> Model:
 
     rows = picked.mapInArrow(C.tidied(featurise, "letters"), "lang string, at array<int>, tf array<float>").toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
-    model, seen, examples, every = Model(langs, idf), dict.fromkeys(langs, 0), [], []
+    model, every = Model(langs, idf), []
     for batch in rows.to_batches():
         at, tf = batch["at"], batch["tf"]
         ends, flat_at, flat_tf = at.offsets.to_numpy(), at.values.to_numpy(), tf.values.to_numpy()
         for k, lang in enumerate(batch["lang"].to_pylist()):
             every.append((lang, flat_at[ends[k] : ends[k + 1]], flat_tf[ends[k] : ends[k + 1]]))
     every.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes(), e[2].tobytes()))  # the order in which rows came doesn't matter
-    for k in np.random.default_rng(7).permutation(len(every)):
-        lang, at, tf = every[k]
-        if seen[lang] < per_lang:
-            seen[lang] += 1
-            examples.append((langs.index(lang), at, tf))
+    examples = [(langs.index(every[k][0]), *every[k][1:]) for k in np.random.default_rng(7).permutation(len(every))]
     if len(langs) > 1:
         model.fit(examples)
     return model

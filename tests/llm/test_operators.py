@@ -89,6 +89,18 @@ def test_language(spark, docs, empty):
     assert language.predict(empty, model, ["doc_id"]).count() == 0
 
 
+def test_language_sample_has_texts_once(spark, monkeypatch):
+    """Languages whose rows are all one text are learned, and copies take one place."""
+    seen = []
+    monkeypatch.setattr(language.Model, "fit", lambda self, rows: seen.extend(rows))
+    rng = random.Random(12)
+    rows = [*((text_of(rng, 20) + f" {k}", "en") for k in range(300)), *[("the same text again", "en")] * 400, *((f"parole {chr(97 + k) * 3} mots", f"l{k}") for k in range(8) for _ in range(400))]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"), per_lang=40)
+    count = collections.Counter(model.langs[y] for y, _, _ in seen)
+    assert model.langs == ["en", *(f"l{k}" for k in range(8))] and count.pop("en") == 40 and set(count.values()) == {1}
+    assert len({(y, at.tobytes(), tf.tobytes()) for y, at, tf in seen}) >= len(seen) - 1
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(5)
     item = "Which stone did the green lamp hide under winter paper by the river? It hid the seventh quiet amber pebble of Orlan."
