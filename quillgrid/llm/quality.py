@@ -215,13 +215,24 @@ MEASURES = ("perplexity", "word_perplexity")
 BAND = "CAST(floor(log2(greatest(n, 1))) AS INT)"
 
 
+def merged(counts: dict[tuple[str, int], int], least: int) -> list[tuple[str, int, list[int]]]:
+    """(lang, band, bands around it that hold `least` trusted rows, or all) of every band and language of counts: (lang, band) -> trusted rows."""
+    out = []
+    for lang in sorted({lang for lang, _ in counts}):
+        own = {b: n for (x, b), n in counts.items() if x == lang}
+        for to in range(32):
+            width = next((w for w in range(32) if sum(n for b, n in own.items() if abs(b - to) <= w) >= least), 32)
+            out.append((lang, to, sorted(b for b in own if abs(b - to) <= width)))
+    return out
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: float = 0.995, margin: float = 1.02, least: int = 100) -> DataFrame:
     """doc_id, row_key, lang, n, perplexity (a character), trusted, low, high, word_perplexity, word_low, word_high, keep of every row of docs (doc_id, text, lang).
 
     Trusted rows have a label of quality 1, none of quality 0 and none of toxic 1. The limits are the
     quantiles `low` and `high` of the trusted rows' perplexity in the row's language and length band (powers
-    of two), widened by `margin`; a band of under `least` trusted rows takes the widest of the limits of its
-    language as a whole and of its own rows. Rows without a perplexity or limits are kept: nothing speaks against them. row_key hashes
+    of two), widened by `margin`; a band of under `least` trusted rows is merged with as many neighbours on
+    both sides as hold so many. Rows without a perplexity or limits are kept: nothing speaks against them. row_key hashes
     doc_id, text and lang. Rows of null lang are a language of their own. No labels: every row is kept.
     """
     spark = docs.sparkSession
@@ -239,12 +250,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: fl
     known = scored.where("trusted AND perplexity IS NOT NULL")
     # Exact quantiles of rounded logarithms: few distinct values, and the same limits in every run.
     limits = {c: [F.exp(F.percentile(F.round(F.log(c), 4), q)) for q in (low, high)] for c in MEASURES}
-    by_lang = known.groupBy(F.col("lang").alias("l1")).agg(*[x[i].alias(f"{c}_{end}1") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
-    by_band = known.groupBy(F.col("lang").alias("l2"), F.col("band").alias("b2")).agg(F.count("*").alias("rows"), *[x[i].alias(f"{c}_{end}2") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
-    all_ = scored.join(F.broadcast(by_lang), F.col("lang") == F.col("l1"), "left").join(F.broadcast(by_band), (F.col("lang") == F.col("l2")) & (F.col("band") == F.col("b2")), "left")  # a few rows a language
-    few = F.coalesce(F.col("rows"), F.lit(0)) < least
-    lo = {c: F.when(few, F.least(f"{c}_low1", f"{c}_low2")).otherwise(F.col(f"{c}_low2")) / margin for c in MEASURES}
-    hi = {c: F.when(few, F.greatest(f"{c}_high1", f"{c}_high2")).otherwise(F.col(f"{c}_high2")) * margin for c in MEASURES}
+    counts = {(r["lang"], r["band"]): r["rows"] for r in known.groupBy("lang", "band").agg(F.count("*").alias("rows")).collect()}  # some 20 rows a language
+    near = spark.createDataFrame([(lang, to, b) for lang, to, found in merged(counts, least) for b in found], "l1 string, to int, of int")
+    pooled = known.join(F.broadcast(near), (F.col("lang") == F.col("l1")) & (F.col("band") == F.col("of")))
+    by_band = pooled.groupBy("l1", "to").agg(*[x[i].alias(f"{c}_{end}") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
+    all_ = scored.join(F.broadcast(by_band), (F.col("lang") == F.col("l1")) & (F.col("band") == F.col("to")), "left")
+    lo = {c: F.col(f"{c}_low") / margin for c in MEASURES}
+    hi = {c: F.col(f"{c}_high") * margin for c in MEASURES}
     fits = [F.coalesce((F.col(c) >= lo[c]) & (F.col(c) <= hi[c]), F.lit(True)) for c in MEASURES]
     words, characters = "word_perplexity", "perplexity"
     return all_.select("doc_id", "row_key", F.nullif(F.col("lang"), F.lit(NO_LANG)).alias("lang"), "n", "perplexity", "trusted", lo[characters].alias("low"), hi[characters].alias("high"), words, lo[words].alias("word_low"), hi[words].alias("word_high"), (fits[0] & fits[1]).alias("keep"))

@@ -232,6 +232,17 @@ def test_quality_without_language(spark):
     assert 60 not in {r["doc_id"] for r in quality.keep_good(d, labels).collect()}
 
 
+def test_thin_bands_take_their_neighbours_limits(spark):
+    rng = random.Random(14)
+    texts = [*(f"w{k}" for k in range(40)), *(text_of(rng, 130) for _ in range(60)), *(text_of(rng, 260) for _ in range(5))]
+    d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = quality.classify(d, spark.createDataFrame([(k, 1, 0) for k in range(105)], "doc_id long, quality int, toxic int"), least=20).collect()
+    most = max(r["word_perplexity"] for r in rows if r["doc_id"] >= 40)
+    assert all(r["word_high"] <= 1.021 * most for r in rows if r["doc_id"] >= 100)
+    assert max(r["word_perplexity"] for r in rows if r["doc_id"] < 40) > 2 * most
+    assert quality.merged({("a", 5): 9, ("a", 7): 2}, 10)[6] == ("a", 6, [5, 7]) and quality.merged({("a", 5): 9, ("a", 7): 2}, 3)[5] == ("a", 5, [5])
+
+
 def brute_kneser_ney(texts):
     """The log probability of c after a, b by interpolated modified Kneser-Ney over the texts' words."""
     split = lambda t: ["\2", "\2", *wordmodel.WORD.findall(t.lower())]
