@@ -11,12 +11,12 @@ lie. manifest.json, written last under a temporary name and renamed, lists the f
 import itertools
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +30,22 @@ SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: A full stop or comma that may not be the start of a piece: what precedes it isn't among the letters, digits and blanks
 #: that stay what they are when normalised (a mark, or a letter such as U+0130 that becomes letter and mark).
-MARKS = re.compile(r"(?<=[^A-Za-z0-9À-ÖØ-öø-įı-žΑ-ΡΣ-Ωα-ωА-яЁё一-鿿ぁ-ゖァ-ヺ \n\t\r])[.,]")
+MARKS = r"[^A-Za-z0-9À-ÖØ-öø-įı-žΑ-ΡΣ-Ωα-ωА-яЁё一-鿿ぁ-ゖァ-ヺ \n\t\r][.,]"
 
 
-def words_of(text: str) -> list[str]:
-    """The text in parts that no piece of the vocabulary's splitter crosses, small letters where that is sure to change no id.
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Each text in parts that no piece of the vocabulary's splitter crosses, small letters where that is sure to change no id.
 
     Special tokens are matched with their case, so texts that may hold something like them keep theirs.
     """
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    text = text.replace("\n", " ")
-    if not MARKS.search(text):
-        text = (text + " ").replace(". ", " . ").replace(", ", " , ")
-    return text.split(" ")
+    wide = pc.match_substring_regex(texts, r"[\x{100}-\x{10FFFF}]")
+    texts = pc.if_else(pc.or_(wide, pc.match_substring(texts, "<|")), texts, pc.utf8_lower(texts))
+    texts = pc.replace_substring(texts, "\n", " ")
+    marks = pc.match_substring_regex(texts, MARKS)
+    apart = pc.binary_join_element_wise(texts, "", " ")
+    for mark in (".", ","):
+        apart = pc.replace_substring(apart, f"{mark} ", f" {mark} ")
+    return pc.split_pattern(pc.if_else(marks, texts, apart), " ")
 
 
 class Encoder:
@@ -83,21 +81,21 @@ class Encoder:
         of = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
         return np.array(got.ids, self.width), np.bincount(of[of >= 0], minlength=len(words))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each text)."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text). Texts are split and their words told apart in Arrow; only different words are looked up."""
         if not self.parted:
-            got = [np.array(x.ids, self.width) for x in self.tok.encode_batch(texts, add_special_tokens=False)]
+            got = [np.array(x.ids, self.width) for x in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, self.width), *got]), np.fromiter(map(len, got), np.int64, len(got))
-        lists = [words_of(t) for t in texts]
-        per_text = np.fromiter(map(len, lists), np.int64, len(lists))
-        words = list(itertools.chain.from_iterable(lists))
+        lists = words_of(texts)
+        per_text = lists.value_lengths().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         known = self.known
         at = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         flat, more_starts, more_sizes = self.flat, np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(new):
-            missed = [words[i] for i in new]
-            names = list(dict.fromkeys(missed))
+            names = [words[i] for i in new]
             ids, sizes = self._encode(names)
             ends = np.cumsum(sizes)
             n, keep = len(known), min(len(names), self.MOST - len(known))
@@ -111,15 +109,13 @@ class Encoder:
             known.update(zip(names[:keep], range(n, n + keep), strict=True))
             self.used += size
             more_starts, more_sizes = starts[keep:], sizes[keep:]
-            place = dict(zip(names, itertools.chain(range(n, n + keep), range(self.MOST, self.MOST + len(names) - keep)), strict=True))
-            at[new] = np.fromiter(map(place.__getitem__, missed), np.int64, len(missed))
-        if len(more_starts):
-            held = at < self.MOST
-            start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-            start[held], size[held] = self.starts[at[held]], self.sizes[at[held]]
-            start[~held], size[~held] = more_starts[at[~held] - self.MOST], more_sizes[at[~held] - self.MOST]
-        else:
-            start, size = self.starts[at], self.sizes[at]
+            at[new] = np.concatenate([np.arange(n, n + keep), np.arange(self.MOST, self.MOST + len(names) - keep)])
+        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        held = at < self.MOST
+        start[held], size[held] = self.starts[at[held]], self.sizes[at[held]]
+        start[~held], size[~held] = more_starts[at[~held] - self.MOST], more_sizes[at[~held] - self.MOST]
+        code = coded.indices.to_numpy()
+        start, size = start[code], size[code]
         ends = np.cumsum(size)
         index = np.repeat(start - (ends - size), size)
         index += np.arange(len(index))
@@ -218,7 +214,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
                     name = f"ids-{now:06d}-{uuid.uuid4().hex[:10]}.arrow"
                     writer = SequenceWriter(f"{out}/{name}", enc.width, length, pad_id)
                 part = batch.slice(a, b - a)
-                flat, sizes = enc(part["text"].to_pylist())
+                flat, sizes = enc(part["text"])
                 ends = np.cumsum(sizes)
                 writer.add(np.insert(flat, ends, end_id))
                 index.append((part["doc_id"].to_pylist(), sizes + 1))
