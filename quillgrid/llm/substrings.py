@@ -10,13 +10,15 @@ each other. Among the depth-32 buckets of a string of `length` bytes, the first
 Equal strings have equal anchors at equal offsets, so only positions with one anchor bucket can meet. The
 strings of one anchor are consecutive: a block.
 1. Blocks (anchor bucket, bucket of the whole block) are brought together by anchor bucket. A block equal to
-   an earlier one repeats it whole. Of different blocks with one anchor bucket, those that agree with another
-   one in the 66 bytes that reach half of `length` to the left or to the right are undecided.
+   an earlier one repeats it whole. A string that two blocks share reaches some way to the anchor's left and the
+   rest of `length` to its right; for STEPS shares of that reach, blocks carry a 16-bit name of the bytes any such
+   string must cover. Of different blocks with one anchor bucket, those that agree in one of them are undecided.
 2. Undecided blocks are refined to their strings, which are brought together by their bucket; all but the
    first of a bucket are repeats.
 3. Covered bytes are cut out of each text.
-Chunks of texts are written to the shared folder once, so that no step shuffles text. A chunk sends one row
-for each block or string it has, however often: a string that very many documents share costs each task a row.
+Chunks of texts are written to the shared folder once, and count once the manifest of their names is committed,
+so that no step shuffles text and a repeated task meets the same chunks. A chunk sends one row for each block or
+string it has, however often: a string that very many documents share costs each chunk a row.
 Anchor buckets that a sample shows to be frequent are refined to strings at once, which keeps any bucket
 small; the sample decides only the way, not the result.
 """
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ GRAM = 32
 CHUNK = 3 << 20
 #: Anchor buckets of more rows than this, as a sample has it, don't come to one task.
 LARGE = 50_000
+STEPS = 4
 
 
 def refine(a: np.ndarray, offset: int, salt: int) -> np.ndarray:
@@ -86,7 +90,7 @@ class Blocks:
         b32, self.full = buckets(data, length)
         if not len(self.full):
             self.doc = self.start = self.count = np.zeros(0, np.int64)
-            self.anchor = self.name = self.left = self.right = np.zeros(0, C.U64)
+            self.anchor = self.name = self.sides = np.zeros(0, C.U64)
             return
         at = first_least(b32, length - GRAM + 1)[: len(self.full)]
         begin = self.ends - self.sizes
@@ -108,39 +112,73 @@ class Blocks:
         self.anchor = b32[a]
         with np.errstate(over="ignore"):
             self.name = C.mix(self.full[heads] ^ C.mix(self.full[tails - 1] + self.count.astype(C.U64)))
-        half = (length - GRAM + 1) // 2  # a shared string reaches as far from the anchor to one side
+        reach = length - GRAM  # what a shared string has beside the anchor, left and right together
         lo, hi = begin[self.doc], self.ends[self.doc]
-        self.left = self._side(b32, a - half, a, a - half >= lo)
-        self.right = self._side(b32, a, a + half, a + GRAM + half <= hi)
+        self.sides = np.zeros(len(a), C.U64)
+        for k in range(STEPS):
+            left, right = reach * k // STEPS, reach - reach * (k + 1) // STEPS
+            self.sides |= self._window(b32, a - left, left + GRAM + right, (a - left >= lo) & (a + GRAM + right <= hi)) << C.U64(16 * k)
 
     @staticmethod
-    def _side(b32: np.ndarray, i: np.ndarray, j: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """16-bit names of GRAM + half bytes (both ends overlap or touch, as half <= 2 * GRAM); 0 where the text is too short."""
-        mid = (i + j) // 2
-        i, j, mid = (np.clip(x, 0, len(b32) - 1) for x in (i, j, mid))
+    def _window(b32: np.ndarray, i: np.ndarray, width: int, there: np.ndarray) -> np.ndarray:
+        """16-bit names, above 0, of `width` bytes from each position i; 0 where the text is too short."""
+        x = C.U64(width)
         with np.errstate(over="ignore"):
-            x = C.mix(C.mix(b32[i] * C.U64(3) + b32[j]) + b32[mid])
+            for at in [*range(0, width - GRAM, GRAM), width - GRAM]:
+                x = C.mix(x * C.U64(3) + b32[np.clip(i + at, 0, len(b32) - 1)])
         return np.where(there, (x >> C.U64(48)) | C.U64(1), C.U64(0))
 
-    def strings(self, which: np.ndarray) -> np.ndarray:
-        """Every start position of these blocks, one after the other."""
-        n = self.count[which]
-        return np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
 
 def firsts(names: np.ndarray, *order: np.ndarray) -> np.ndarray:
-    """Which rows are the first of their name, in the order given."""
-    at = np.lexsort((*reversed(order), names))
+    """Which rows are the first of their name, in the order given (none: that of the rows)."""
+    if not len(names):
+        return np.zeros(0, bool)
+    at = np.argsort(names)
     s = names[at]
     head = np.ones(len(s), bool)
     head[1:] = s[1:] != s[:-1]
     out = np.zeros(len(names), bool)
+    if not order:
+        out[np.minimum.reduceat(at, np.flatnonzero(head))] = True
+        return out
+    alone = head & np.append(head[1:], True)
+    out[at[alone]] = True
+    at = at[~alone]  # names that come more than once
+    at = at[np.lexsort((*(x[at] for x in reversed(order)), names[at]))]
+    s = names[at]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
     out[at[head]] = True
     return out
 
 
-def rank_order(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.where(known, ids, np.iinfo(np.int64).min)
+SENT, REPEAT, HOT = 0, 1, 2
+
+
+def write_blocks(uri: str, b: Blocks, state: np.ndarray) -> None:
+    """A chunk's blocks, small: their first positions as gaps after the block before, their counts, and a state each."""
+    gaps = b.start - np.concatenate([[0], (b.start + b.count)[:-1]])[: len(b.start)]
+    table = pa.table({"gap": pa.array(gaps.astype(np.int32)), "count": pa.array(b.count.astype(np.uint8)), "state": pa.array(state)})
+    with _Renamed(*C.open_fs(uri)) as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_table(table)
+
+
+def read_blocks(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first position, count, state) of each block."""
+    t = read_chunk(uri)
+    count = t["count"].to_numpy().astype(np.int64)
+    return np.cumsum(t["gap"].to_numpy() + np.concatenate([[0], count[:-1]])[: len(count)]), count, t["state"].to_numpy().copy()
+
+
+def positions(start: np.ndarray, count: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Every position of the blocks `which`, one after the other."""
+    start, n = start[which], count[which]
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def ids_of(t: pa.Table) -> np.ndarray:
+    """doc_id, null: the least number."""
+    return pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
 
 
 def read_chunk(uri: str) -> pa.Table:
@@ -180,7 +218,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
     hot = np.sort(np.array([r["anchor"] for r in frequent], np.int64).view(C.U64))  # at most a LARGE-th of all positions
     sent = spark.sparkContext.broadcast(hot)
 
-    row = pa.schema([("chunk", pa.string()), ("anchor", pa.int64()), ("name", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
+    row = pa.schema([("chunk", pa.string()), ("anchor", pa.int64()), ("name", pa.int64()), ("sides", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
 
     def is_hot(b: Blocks) -> np.ndarray:
         hot = sent.value
@@ -189,74 +227,76 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
         at = np.minimum(np.searchsorted(hot, b.anchor), len(hot) - 1)
         return hot[at] == b.anchor
 
-    def order_of(b: Blocks, ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, ...]:
-        return ids[b.doc], ties[b.doc], b.start - (b.ends - b.sizes)[b.doc]
-
-    def tie_of(t: bytes) -> int:
-        return int.from_bytes(hashlib.sha256(t).digest()[:8], "big", signed=True)
-
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        import uuid
 
-        part, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        rows, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            name = f"chunk-{part:06d}-{number:05d}.arrow"
-            order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, tie_of(texts[k])))
-            doc_ids, data = [ids[k] for k in order], [texts[k] for k in order]
-            ties = np.array([tie_of(t) for t in data], np.int64)
-            table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "tie": pa.array(ties), "text": pa.array(data, pa.large_binary())})
-            with fs_open(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        def flush() -> pa.RecordBatch:
+            name = f"chunk-{uuid.uuid4().hex}.arrow"
+            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tie": pa.array([r[1] for r in rows], pa.int64()), "text": pa.array([r[2] for r in rows], pa.large_binary())})
+            with _Renamed(*C.open_fs(f"{folder}/{name}")) as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
                 f.write_table(table)
-            b = Blocks(data, length)
-            ids_ = np.array([np.iinfo(np.int64).min if x is None else x for x in doc_ids], np.int64)
-            cold = np.flatnonzero(~is_hot(b))
-            doc_id, tie, start = (x[cold] for x in order_of(b, ids_, ties))
-            first = firsts(b.name[cold] ^ C.mix(b.anchor[cold].copy()), np.arange(len(cold)))
-            k = cold[first]
-            for a in range(0, len(k), 50_000):
-                z, s = k[a : a + 50_000], np.flatnonzero(first)[a : a + 50_000]
-                side = (b.left[z] << C.U64(16) | b.right[z]).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(z)), pa.array(b.anchor[z].view(np.int64)), pa.array(b.name[z].view(np.int64)), pa.array(side), pa.array(doc_id[s]), pa.array(tie[s]), pa.array(start[s].astype(np.int32)), pa.array(z.astype(np.int32))], schema=row)
-            if not len(k):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([0], f.type) for f in list(row)[1:-1]), pa.array([-1], pa.int32())], schema=row)
-
-        def fs_open(uri: str):
-            fs, path = C.open_fs(uri)
-            return _Renamed(fs, path)
+            return pa.RecordBatch.from_pydict({"chunk": [name]})
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids.append(doc_id)
-                texts.append(text.encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
+                data = text.encode("utf-8", "surrogatepass")
+                rows.append((doc_id, int.from_bytes(hashlib.sha256(data).digest()[:8], "big", signed=True), data))
+                size += len(data)
                 if size >= CHUNK:
-                    yield from flush()
-                    number, ids, texts, size = number + 1, [], [], 0
-        if ids:
-            yield from flush()
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
 
-    spec = "chunk string, anchor long, name long, side int, doc_id long, tie long, start int, block int"
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["chunk"].to_pylist():
+                t = read_chunk(f"{folder}/{name}")
+                b = Blocks([x.as_py() for x in t["text"]], length)
+                ids, ties = ids_of(t), t["tie"].to_numpy()
+                state = np.where(is_hot(b), np.int8(HOT), np.int8(REPEAT))
+                cold = np.flatnonzero(state != HOT)
+                k = cold[firsts(b.name[cold] ^ C.mix(b.anchor[cold].copy()))]
+                state[k] = SENT
+                write_blocks(f"{folder}/{name}.blocks", b, state)
+                doc = b.doc[k]
+                at = (b.start[k] - (b.ends - b.sizes)[doc]).astype(np.int32) if len(k) else np.zeros(0, np.int32)
+                for a in range(0, len(k), 50_000):
+                    z = slice(a, a + 50_000)
+                    cols = (b.anchor[k[z]].view(np.int64), b.name[k[z]].view(np.int64), b.sides[k[z]].view(np.int64), ids[doc[z]], ties[doc[z]], at[z], k[z].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(k[z]), np.int32))), *map(pa.array, cols)], schema=row)
+
+    spec = "chunk string, anchor long, name long, sides long, doc_id long, tie long, start int, block int"
     parts = C.n_parts(spark)
-    dealt = docs.mapInArrow(C.tidied(cut_up), spec).repartition(2 * parts, "anchor").sortWithinPartitions("anchor")
+    chunks = C.cut(docs.mapInArrow(C.tidied(cut_up), "chunk string"), "substrings-chunks")
+    n_chunks = chunks.count()
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if keep_text else ''}"
+    if not n_chunks:
+        return spark.createDataFrame([], schema)
+    dealt = chunks.repartition(min(n_chunks, 4 * parts)).mapInArrow(C.tidied(send), spec).repartition(2 * parts, "anchor").sortWithinPartitions("anchor")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_anchors(batches):
             chunk = t["chunk"].combine_chunks().dictionary_encode()
             chunk = chunk.combine_chunks() if isinstance(chunk, pa.ChunkedArray) else chunk
-            anchor, name, side, doc_id, tie, start, block = (t[c].to_numpy() for c in row.names[1:])
-            real = block >= 0
-            first = firsts(name.view(C.U64) ^ C.mix(anchor.view(C.U64)), doc_id, tie, start)
-            repeat = real & ~first
-            # Of the first ones, those that agree with another block of the anchor's bucket on one side.
-            one = np.flatnonzero(real & first)
+            anchor, name, sides, doc_id, tie, start, block = (t[c].to_numpy() for c in row.names[1:])
+            mixed = C.mix(anchor.view(C.U64).copy())
+            first = firsts(name.view(C.U64) ^ mixed, doc_id, tie, start)
+            # Of the first ones, those that agree with another block of the anchor's bucket in a share of the reach.
+            one = np.flatnonzero(first)
             open_ = np.zeros(len(name), bool)
-            for s in ((side.view(np.uint32) >> 16).astype(np.int64), (side.view(np.uint32) & 0xFFFF).astype(np.int64)):
-                sub = one[s[one] > 0]
-                at = sub[np.lexsort((s[sub], anchor[sub]))]
-                same = (anchor[at][1:] == anchor[at][:-1]) & (s[at][1:] == s[at][:-1])
-                open_[at[1:][same]] = open_[at[:-1][same]] = True
-            for kind, of in ((1, repeat), (2, open_), (0, ~real)):
+            for k in range(STEPS):
+                s = (sides.view(C.U64)[one] >> C.U64(16 * k)) & C.U64(0xFFFF)
+                sub = one[s > 0]
+                with np.errstate(over="ignore"):
+                    key = mixed[sub] + s[s > 0] * C.U64(0x9E3779B97F4A7C15)
+                order = np.argsort(key)
+                same = key[order][1:] == key[order][:-1]
+                open_[sub[order[1:][same]]] = open_[sub[order[:-1][same]]] = True
+            for kind, of in ((1, ~first), (2, open_)):
                 k = np.flatnonzero(of)
                 if len(k):
                     yield pa.RecordBatch.from_arrays([chunk.take(pa.array(k)).dictionary_decode(), pa.array(np.full(len(k), kind, np.int8)), pa.array(block[k])], names=["chunk", "kind", "block"])
@@ -265,47 +305,40 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
     marked = dealt.mapInArrow(C.tidied(meet), "chunk string, kind byte, block int")
     grouped = marked.groupBy("chunk").agg(F.collect_list(F.when(F.col("kind") == 1, F.col("block"))).alias("repeats"), F.collect_list(F.when(F.col("kind") == 2, F.col("block"))).alias("undecided"))
     grouped.write.parquet(marks_dir)  # a row a chunk: at most as many numbers as the chunk has blocks
-    names = [f.path.rsplit("/", 1)[1] for f in _list(fs, path) if f.path.endswith(".arrow")]
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if keep_text else ''}"
-    if not names:
-        return spark.createDataFrame([], schema)
-    chunks = spark.createDataFrame([(n,) for n in names], "chunk string")
-    marks = chunks.join(spark.read.parquet(marks_dir), "chunk", "left").repartition(min(len(names), 4 * parts))
+    marks = chunks.join(spark.read.parquet(marks_dir), "chunk", "left").repartition(min(n_chunks, 4 * parts))
 
     def to_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, repeats, undecided in zip(batch["chunk"].to_pylist(), batch["repeats"], batch["undecided"], strict=True):
-                t = read_chunk(f"{folder}/{name}")
-                b = Blocks([x.as_py() for x in t["text"]], length)
-                ids = np.array([np.iinfo(np.int64).min if x is None else x for x in t["doc_id"].to_pylist()], np.int64)
-                ties = t["tie"].to_numpy()
-                hot = is_hot(b)
-                # Blocks equal to an earlier one of the chunk, or found to be repeats, are decided.
-                first = np.zeros(len(hot), bool)
-                cold = np.flatnonzero(~hot)
-                first[cold[firsts(b.name[cold] ^ C.mix(b.anchor[cold].copy()), np.arange(len(cold)))]] = True
-                done = ~hot & ~first
+                start, count, state = read_blocks(f"{folder}/{name}.blocks")
+                done = state == REPEAT  # equal to an earlier block of the chunk
                 done[_ints(repeats)] = True
-                ask = hot.copy()
+                ask = state == HOT
                 ask[_ints(undecided)] = True
                 ask &= ~done
-                starts = b.strings(np.flatnonzero(ask))
-                full = b.full[starts]
-                lead = firsts(full, np.arange(len(starts))) if len(starts) else np.zeros(0, bool)
-                again = starts[~lead]
-                resolved = np.concatenate([b.strings(np.flatnonzero(done)), again])
+                known = positions(start, count, done)
+                if ask.any():
+                    t = read_chunk(f"{folder}/{name}")
+                    texts = t["text"]
+                    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+                    full = buckets(np.frombuffer(b"".join(x.as_py() for x in texts), np.uint8), length)[1]
+                    places = positions(start, count, ask)
+                    names = full[places]
+                    lead = firsts(names)
+                    known = np.concatenate([known, places[~lead]])
+                    places, names = places[lead], names[lead]
+                    doc = np.searchsorted(ends, places, side="right")
+                    at = places - np.concatenate([[0], ends])[doc]
+                    ids, ties = ids_of(t), t["tie"].to_numpy()
+                    for a in range(0, len(places), 50_000):
+                        z = slice(a, a + 50_000)
+                        cols = (names[z].view(np.int64), ids[doc[z]], ties[doc[z]], at[z].astype(np.int32), places[z].astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(names[z]), np.int32))), *map(pa.array, cols)], names=["chunk", "name", "doc_id", "tie", "start", "place"])
+                flags = np.zeros(int(known.max()) + 1 if len(known) else 0, np.int8)
+                flags[known] = 1
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
                 with _Renamed(*C.open_fs(f"{folder}/{name}.known")) as sink:
-                    flags = np.zeros(len(b.full), bool)
-                    flags[resolved] = True
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                     sink.write(edges.astype("<i8").tobytes())
-                starts, full = starts[lead], full[lead]
-                doc = np.searchsorted(b.ends, starts, side="right")
-                at = starts - (b.ends - b.sizes)[doc]
-                for a in range(0, len(starts), 50_000):
-                    z = slice(a, a + 50_000)
-                    n = len(starts[z])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(full[z].view(np.int64)), pa.array(ids[doc[z]]), pa.array(ties[doc[z]]), pa.array(at[z].astype(np.int32)), pa.array(starts[z].astype(np.int32))], names=["chunk", "name", "doc_id", "tie", "start", "place"])
 
     strings = marks.mapInArrow(C.tidied(to_strings), "chunk string, name long, doc_id long, tie long, start int, place int").repartition(2 * parts, "name").sortWithinPartitions("name")
 
@@ -318,7 +351,7 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
 
     later_dir = f"{folder}/later"
     strings.mapInArrow(C.tidied(settle), "chunk string, place int").groupBy("chunk").agg(F.collect_list("place").alias("places")).write.parquet(later_dir)
-    final = chunks.join(spark.read.parquet(later_dir), "chunk", "left").repartition(min(len(names), 4 * parts))
+    final = chunks.join(spark.read.parquet(later_dir), "chunk", "left").repartition(min(n_chunks, 4 * parts))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,12 +410,6 @@ def _ints(x) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid and x.values is not None else np.zeros(0, np.int64)
 
 
-def _list(fs, path: str) -> list:
-    import pyarrow.fs as pafs
-
-    return fs.get_file_info(pafs.FileSelector(path))
-
-
 class _Renamed:
     """A new file that has its name only when it is complete."""
 
