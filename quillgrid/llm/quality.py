@@ -1,14 +1,15 @@
-"""Operator 8: quality classifier by interpolated modified Kneser-Ney models of words (wordmodel.py) and characters.
+"""Operator 8: quality classifier by an interpolated modified Kneser-Ney model of byte 5-grams.
 
-Counts of character 4-grams in all trusted text (by language) are summed in Spark. Continuation counts,
+Counts of the 5-grams of all trusted text's UTF-8 bytes (by language) are summed in Spark. Continuation counts,
 discounts, context totals and interpolated probabilities come from joins of the count tables, sharded
-by language and n-gram. The model is written as shards; a scoring task loads shards one at a time and
-joins its n-grams with them in place, so neither broadcast nor shuffle grows with text or model. A document
-is kept if its perplexity a word and that a character lie between quantiles of the trusted documents of
-its language and length: words tell odd prose, and their model grows with the text; characters tell odd words.
-
-An n-gram is four 16-bit numbers in a long: code points, those above 0xFFFF folded into the private area;
-three blanks marked 2 stand before a text.
+by language and n-gram. Trusted text falls into two halves by a hash of the text, each with its model, and every
+text is scored by the model of the half it isn't in: no text meets its own n-grams, so the limits, which come from
+trusted texts, hold for others too. The model is written as shards; a scoring task loads shards one at a time and
+joins its n-grams with them in place, so neither broadcast nor shuffle grows with the scored text. A document
+is kept if its perplexity a byte lies between quantiles of the trusted documents of its language and length.
+
+An n-gram is its bytes in a long, the last one lowest; four bytes 2 stand before a text. Bytes need no folding of
+rare characters, and an n-gram of any language keeps its name in every run.
 """
 
 from collections.abc import Iterator
@@ -19,20 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import wordmodel
 
-ORDER = 4
+ORDER = 5
+BITS = 8
 SHARD_ROWS = 4_000_000
 UNSEEN = -1
 
 
 def codes(text: str) -> np.ndarray:
-    """The text's 4-grams, one for each code point."""
-    cp = np.frombuffer(("\2\2\2" + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    high = cp > 0xFFFF
-    if high.any():
-        cp[high] = 0xE000 + cp[high] % 0x1900
-    return (cp[:-3] << 48) | (cp[1:-2] << 32) | (cp[2:-1] << 16) | cp[3:]
+    """The n-grams that end at each byte of the text."""
+    data = np.frombuffer(b"\2" * (ORDER - 1) + text.encode("utf-8", "surrogatepass"), np.uint8)
+    n = len(data) - ORDER + 1
+    out = data[:n].astype(np.int64)
+    for k in range(1, ORDER):
+        out <<= BITS
+        out |= data[k : k + n]
+    return out
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -63,13 +66,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """lang, kind, gram, value from 4-gram counts: kind p1..p4 is the log probability of the n-gram's last
-    character, g1..g4 the log weight of the next lower order after a context. p1's gram -1 stands for any
-    character not seen. Every table is joined by language and n-gram or context."""
+    """lang, kind, gram, value from n-gram counts: kind p1..p4 is the log probability of the n-gram's last
+    byte, g1..g4 the log weight of the next lower order after a context. p1's gram -1 stands for any
+    byte not seen. Every table is joined by language and n-gram or context."""
     out = None
     tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters precede the n-gram
-        tables[k] = tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many bytes precede the n-gram
+        tables[k] = tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
     lower = None
     for k in range(1, ORDER + 1):
         t = tables[k]
@@ -79,7 +82,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             F.greatest(F.lit(0.05), F.least(F.lit(float(i)), F.coalesce(F.when((F.col(f"t{i}") > 0) & (F.col("t1") > 0), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")), F.lit(0.5 * i)))).alias(f"d{i}")
             for i in (1, 2, 3)
         ])
-        t = t.join(F.broadcast(c), "lang").withColumn("ctx", F.shiftrightunsigned("gram", 16))  # c: a row a language
+        t = t.join(F.broadcast(c), "lang").withColumn("ctx", F.shiftrightunsigned("gram", BITS))  # c: a row a language
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.withColumn("d", d)
         ctx = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
@@ -91,7 +94,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             p = p.unionByName(unseen.select("lang", F.lit(UNSEEN).cast("long").alias("gram"), "p"))
         else:
             low = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)))
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
             p = t.join(low, ["lang", "suffix"]).select("lang", "gram", (own + weight * F.col("low")).alias("p"))
             g = ctx.select("lang", F.lit(f"g{k}").alias("kind"), F.col("ctx").alias("gram"), F.log(F.col("held") / F.col("total")).cast("float").alias("value"))
             out = out.unionByName(g)
@@ -141,7 +144,7 @@ class Shards:
         return out
 
     def log_p(self, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each 4-gram's last character; where an order lacks the n-gram, the next lower one, weighed."""
+        """Log probability of each n-gram's last byte; where an order lacks the n-gram, the next lower one, weighed."""
         out, at, add = np.zeros(len(grams)), np.arange(len(grams)), np.zeros(len(grams))
         for k in range(ORDER, 0, -1):
             v = self.find(f"p{k}", grams)
@@ -151,8 +154,8 @@ class Shards:
             if not len(at):
                 break
             if k > 1:
-                add = add + np.nan_to_num(self.find(f"g{k}", (grams >> 16) & ((1 << 48) - 1)), nan=0.0)
-                grams = grams & ((1 << (16 * (k - 1))) - 1)
+                add = add + np.nan_to_num(self.find(f"g{k}", grams >> BITS), nan=0.0)
+                grams = grams & ((1 << (BITS * (k - 1))) - 1)
             else:
                 out[at] = add + self.find("p1", np.full(1, UNSEEN))[0]
         return out
@@ -177,7 +180,7 @@ def train(docs: DataFrame) -> dict:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns `keep`, lang, n (code points) and perplexity a character of every row of docs (lang, text).
+    """The columns `keep`, lang, n (bytes) and perplexity a byte of every row of docs (lang, text).
 
     Null: text that is null or empty, or a language of which there was no trusted text.
     """
@@ -188,7 +191,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
         loaded: dict = {}
         for batch in batches:
             langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
-            out, n = np.full(len(texts), np.nan), np.array([len(t or "") for t in texts], np.int64)
+            out, n = np.full(len(texts), np.nan), np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
             for lang in set(langs):
                 if lang not in model["langs"]:
                     continue
@@ -211,10 +214,15 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
 
 NO_LANG = "\0"  # stands for null, which joins by equality would drop
-MEASURES = ("perplexity", "word_perplexity")
 BAND = "CAST(floor(log2(greatest(n, 1))) AS INT)"
 
 
+def half_model(other: bool):
+    """Name of the model (language and half) that a text helps to train, or of the other one, which scores it."""
+    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))
+    return F.concat("lang", F.lit("\1"), (1 - half if other else half).cast("string"))
+
+
 def merged(counts: dict[tuple[str, int], int], least: int) -> list[tuple[str, int, list[int]]]:
     """(lang, band, bands around it that hold `least` trusted rows, or all) of every band and language of counts: (lang, band) -> trusted rows."""
     out = []
@@ -227,43 +235,47 @@ def merged(counts: dict[tuple[str, int], int], least: int) -> list[tuple[str, in
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, low: float = 0.002, high: float = 0.995, margin: float = 1.02, least: int = 100) -> DataFrame:
-    """doc_id, row_key, lang, n, perplexity (a character), trusted, low, high, word_perplexity, word_low, word_high, keep of every row of docs (doc_id, text, lang).
+    """doc_id, row_key, lang, n (bytes), perplexity (a byte), trusted, low, high, keep of every row of docs (doc_id, text, lang).
 
     Trusted rows have a label of quality 1, none of quality 0 and none of toxic 1. The limits are the
     quantiles `low` and `high` of the trusted rows' perplexity in the row's language and length band (powers
-    of two), widened by `margin`; a band of under `least` trusted rows is merged with as many neighbours on
-    both sides as hold so many. Rows without a perplexity or limits are kept: nothing speaks against them. row_key hashes
-    doc_id, text and lang. Rows of null lang are a language of their own. No labels: every row is kept.
+    of two), widened by `margin`; a perplexity that equals a limit is kept. A band of under `least` trusted rows is
+    merged with as many neighbours on both sides as hold so many. Rows without a perplexity (null or empty text, or no trusted text
+    of the language in the other half) or limits are kept: nothing speaks against them. row_key hashes
+    doc_id, text and lang. Rows of null lang are a language of their own. Equal texts score alike. No labels: every row is kept.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("label_id IS NOT NULL AND q = 1 AND t = 0").select("label_id")
     good = C.cut(good, "trusted")
     ids = C.broadcast_if_small(good, good.count())
-    docs = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row_key"), F.xxhash64("text", "lang").alias("text_key")).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
-    trusted = docs.join(ids, docs["doc_id"] == ids["label_id"], "left_semi")
-    scored = score(docs.select("doc_id", "row_key", "text_key", "text", "lang"), train(trusted), ["doc_id", "row_key", "text_key"])
-    by_words = wordmodel.perplexities(docs.select("text_key", "lang", "text"), wordmodel.train(trusted))
-    scored = scored.join(by_words, "text_key", "left").drop("text_key")
+    docs = docs.select("doc_id", "text", "lang", row_key().alias("row_key")).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+    trusted = docs.join(ids, docs["doc_id"] == ids["label_id"], "left_semi").where("text IS NOT NULL")
+    model = train(trusted.select(half_model(False).alias("lang"), "text"))
+    scored = score(docs.select("doc_id", "row_key", "text", F.col("lang").alias("real"), F.coalesce(half_model(True), "lang").alias("lang")), model, ["doc_id", "row_key", "real"])
+    scored = scored.drop("lang").withColumnRenamed("real", "lang")
     scored = scored.join(ids, scored["doc_id"] == ids["label_id"], "left").withColumn("trusted", F.col("label_id").isNotNull()).drop("label_id").withColumn("band", F.expr(BAND))
     scored = C.cut(scored, "perplexity")
     known = scored.where("trusted AND perplexity IS NOT NULL")
     # Exact quantiles of rounded logarithms: few distinct values, and the same limits in every run.
-    limits = {c: [F.exp(F.percentile(F.round(F.log(c), 4), q)) for q in (low, high)] for c in MEASURES}
+    limit = [F.exp(F.percentile(F.round(F.log("perplexity"), 4), q)) for q in (low, high)]
     counts = {(r["lang"], r["band"]): r["rows"] for r in known.groupBy("lang", "band").agg(F.count("*").alias("rows")).collect()}  # some 20 rows a language
     near = spark.createDataFrame([(lang, to, b) for lang, to, found in merged(counts, least) for b in found], "l1 string, to int, of int")
     pooled = known.join(F.broadcast(near), (F.col("lang") == F.col("l1")) & (F.col("band") == F.col("of")))
-    by_band = pooled.groupBy("l1", "to").agg(*[x[i].alias(f"{c}_{end}") for c, x in limits.items() for i, end in enumerate(("low", "high"))])
+    by_band = pooled.groupBy("l1", "to").agg(limit[0].alias("lo"), limit[1].alias("hi"))
     all_ = scored.join(F.broadcast(by_band), (F.col("lang") == F.col("l1")) & (F.col("band") == F.col("to")), "left")
-    lo = {c: F.col(f"{c}_low") / margin for c in MEASURES}
-    hi = {c: F.col(f"{c}_high") * margin for c in MEASURES}
-    fits = [F.coalesce((F.col(c) >= lo[c]) & (F.col(c) <= hi[c]), F.lit(True)) for c in MEASURES]
-    words, characters = "word_perplexity", "perplexity"
-    return all_.select("doc_id", "row_key", F.nullif(F.col("lang"), F.lit(NO_LANG)).alias("lang"), "n", "perplexity", "trusted", lo[characters].alias("low"), hi[characters].alias("high"), words, lo[words].alias("word_low"), hi[words].alias("word_high"), (fits[0] & fits[1]).alias("keep"))
+    lo, hi = F.col("lo") / margin, F.col("hi") * margin
+    fits = F.coalesce((F.col("perplexity") >= lo) & (F.col("perplexity") <= hi), F.lit(True))
+    return all_.select("doc_id", "row_key", F.nullif(F.col("lang"), F.lit(NO_LANG)).alias("lang"), "n", "perplexity", "trusted", lo.alias("low"), hi.alias("high"), fits.alias("keep"))
+
+
+def row_key():
+    """A hash of doc_id, text and lang; nulls count, each in its place."""
+    return F.xxhash64(*[x for c in ("doc_id", "text", "lang") for x in (F.isnull(c), F.col(c))])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    bad = C.cut(classify(docs, labels, **how).where("NOT keep").select(F.col("row_key").alias("_bad_key")).distinct(), "rejected")
-    keyed = docs.withColumn("_bad_row", F.xxhash64("doc_id", "text", "lang"))
-    return keyed.join(C.broadcast_if_small(bad, bad.count()), F.col("_bad_row") == F.col("_bad_key"), "left_anti").drop("_bad_row")
+    bad = C.cut(classify(docs, labels, **how).where("NOT keep").select(F.col("row_key").alias("bad")).distinct(), "rejected")
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key")).join(C.broadcast_if_small(bad, bad.count()), F.col("key") == F.col("bad"), "left_anti")
+    return kept.select("row.*")

@@ -7,9 +7,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillgrid.llm import decontaminate, fingerprints, html, language, mixing, nearjoin, quality, substrings, tokens, warc, wordmodel
+from quillgrid.llm import decontaminate, fingerprints, html, language, mixing, nearjoin, quality, substrings, tokens, warc
 from quillgrid.llm.queries import queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -227,7 +228,7 @@ def test_quality_without_language(spark):
     d = spark.createDataFrame([*((k, text_of(rng, 80), None if k % 2 else "en") for k in range(60)), (60, "qzx#kvj@ " * 50, None), (61, None, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.classify(d, labels).collect()}
-    assert got[1]["lang"] is None and got[0]["lang"] == "en" and all(got[k]["perplexity"] and got[k]["word_perplexity"] for k in range(61))
+    assert got[1]["lang"] is None and got[0]["lang"] == "en" and all(got[k]["perplexity"] for k in range(61))
     assert not got[60]["keep"] and got[61]["keep"] and got[61]["perplexity"] is None
     assert 60 not in {r["doc_id"] for r in quality.keep_good(d, labels).collect()}
 
@@ -237,18 +238,17 @@ def test_thin_bands_take_their_neighbours_limits(spark):
     texts = [*(f"w{k}" for k in range(40)), *(text_of(rng, 130) for _ in range(60)), *(text_of(rng, 260) for _ in range(5))]
     d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
     rows = quality.classify(d, spark.createDataFrame([(k, 1, 0) for k in range(105)], "doc_id long, quality int, toxic int"), least=20).collect()
-    most = max(r["word_perplexity"] for r in rows if r["doc_id"] >= 40)
-    assert all(r["word_high"] <= 1.021 * most for r in rows if r["doc_id"] >= 100)
-    assert max(r["word_perplexity"] for r in rows if r["doc_id"] < 40) > 2 * most
+    most = max(r["perplexity"] for r in rows if r["doc_id"] >= 40)
+    assert all(r["high"] <= 1.021 * most for r in rows if r["doc_id"] >= 100)
+    assert max(r["perplexity"] for r in rows if r["doc_id"] < 40) > 2 * most
     assert quality.merged({("a", 5): 9, ("a", 7): 2}, 10)[6] == ("a", 6, [5, 7]) and quality.merged({("a", 5): 9, ("a", 7): 2}, 3)[5] == ("a", 5, [5])
 
 
 def brute_kneser_ney(texts):
-    """The log probability of c after a, b by interpolated modified Kneser-Ney over the texts' words."""
-    split = lambda t: ["\2", "\2", *wordmodel.WORD.findall(t.lower())]
-    grams = lambda t: [tuple(w[k : k + 3]) for w in [split(t)] for k in range(len(w) - 2)]
-    n = {3: collections.Counter(g for t in texts for g in grams(t))}
-    for k in (2, 1):
+    """Perplexity a byte of a text, by interpolated modified Kneser-Ney over the texts' byte 5-grams."""
+    grams = lambda t: [w[k : k + 5] for w in [b"\2" * 4 + t.encode()] for k in range(len(w) - 4)]
+    n = {5: collections.Counter(g for t in texts for g in grams(t))}
+    for k in (4, 3, 2, 1):
         n[k] = collections.Counter(g[1:] for g in n[k + 1])
     d, total, held = {}, {k: collections.Counter() for k in n}, {k: collections.Counter() for k in n}
     for k, c in n.items():
@@ -266,24 +266,28 @@ def brute_kneser_ney(texts):
             return lower
         return (max(0, n[k][g] - d[k][min(n[k][g], 3)]) + held[k][g[:-1]] * lower) / total[k][g[:-1]]
 
-    return lambda t: np.exp(-np.mean([np.log(p(g)) for g in grams(t)])), n
+    return lambda t: float(np.exp(-np.mean([np.log(p(g)) for g in grams(t)])))
 
 
-def test_word_model(spark):
-    """Perplexities are those of word trigrams of the half of the trusted text that a text is not in."""
+def test_quality_against_brute_force(spark):
+    """Each perplexity is that of the half of the trusted text which a text is not in, each limit a quantile of them."""
     rng = random.Random(9)
     texts = [text_of(rng, rng.randint(1, 60)) for _ in range(40)]
-    d = spark.createDataFrame([(k, "en", t) for k, t in enumerate([*texts, texts[0], None, "", "zebra " + texts[1]])], "text_key long, lang string, text string")
-    trusted = d.where("text_key < 40")
-    of = {r["text_key"]: (r["own"], r["other"]) for r in d.select("text_key", wordmodel.model_of().alias("own"), wordmodel.model_of(other=True).alias("other")).collect()}
+    rows = [*enumerate(texts), (40, texts[0]), (41, None), (42, ""), (43, "zebra é漢 " + texts[1]), (44, "#" * 500)]
+    d = spark.createDataFrame([(k, "en", t) for k, t in rows], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([*((k, 1, 0) for k in range(40)), (44, 0, 0)], "doc_id long, quality int, toxic int")
+    of = {r["doc_id"]: (r["own"], r["other"]) for r in d.select("doc_id", quality.half_model(False).alias("own"), quality.half_model(True).alias("other")).collect()}
     brute = {m: brute_kneser_ney([t for k, t in enumerate(texts) if of[k][0] == m]) for m in {of[k][0] for k in range(40)}}
     assert len(brute) == 2
-    counts = wordmodel.count_grams(trusted)
-    assert counts.count() == sum(len(n[3]) for _, n in brute.values()) and counts.agg({"n": "sum"}).first()[0] == sum(len(wordmodel.WORD.findall(t)) for t in texts)
-    got = {r["text_key"]: r["word_perplexity"] for r in wordmodel.perplexities(d, wordmodel.train(trusted)).collect()}
-    assert set(got) == set(range(41)) | {43} and got[0] == got[40]
-    for k, x in got.items():
-        assert x == pytest.approx(brute[of[k][1]][0]([*texts, texts[0], "", "", "zebra " + texts[1]][k]), rel=1e-5)
+    got = {r["doc_id"]: r for r in quality.classify(d, labels).collect()}
+    for k, t in rows:
+        if t:
+            assert got[k]["perplexity"] == pytest.approx(brute[of[k][1]](t), rel=1e-5) and got[k]["n"] == len(t.encode())
+        else:
+            assert got[k]["perplexity"] is None and got[k]["keep"]
+    logs = [round(np.log(got[k]["perplexity"]), 4) for k in range(40)]  # under `least` rows, so all bands have these limits
+    lo, hi = np.exp(np.quantile(logs, 0.002)) / 1.02, np.exp(np.quantile(logs, 0.995)) * 1.02
+    assert all(got[k]["keep"] == (lo <= got[k]["perplexity"] <= hi) for k, t in rows if t) and not got[44]["keep"]
 
 
 def test_near_join(docs, empty):
@@ -362,7 +366,7 @@ def test_words_keep_the_ids_of_whole_texts(tmp_path):
     atoms += [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "\ufeff", "\xad", "\u0301", "\x00", ". ", ", "]
     rng = random.Random(11)
     texts = ["".join(rng.choices(atoms, k=rng.randint(0, 14))) for _ in range(4000)]
-    ids, sizes = enc(texts)
+    ids, sizes = enc(pa.array(texts))
     got = [list(map(int, x)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -372,5 +376,5 @@ def test_words_keep_the_ids_of_whole_texts(tmp_path):
     other.pre_tokenizer = pre_tokenizers.Whitespace()
     other.save(str(tmp_path / "cased.json"))
     plain = tokens.Encoder(str(tmp_path / "cased.json"))
-    ids, sizes = plain(["A a", "", "a b"])
+    ids, sizes = plain(pa.array(["A a", "", "a b"]))
     assert not plain.parted and ids.tolist() == [0, 1, 1, 2] and sizes.tolist() == [2, 0, 2]
