@@ -41,77 +41,78 @@ LARGE = 50_000
 STEPS = 4
 
 
-def refine(a: np.ndarray, offset: int, salt: int) -> np.ndarray:
-    """Names of buckets refined by the bucket `offset` further on."""
-    n = len(a) - offset
-    if n <= 0:
-        return np.zeros(0, C.U64)
+def paired(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
+    """Names of the buckets that have the names x, refined by those of a later offset, y."""
     with np.errstate(over="ignore"):
-        x = a[:n] * C.U64(0x9E3779B97F4A7C15 + 2 * salt)
+        x = x * C.U64(0x9E3779B97F4A7C15 + 2 * salt)
         x ^= x >> C.U64(32)
-        x += a[offset : offset + n]
+        x += y
         x *= C.U64(0xBF58476D1CE4E5B9)
         x ^= x >> C.U64(29)
     return x
 
 
-def buckets(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(names at depth 32, at depth `length`) of every position that has as many bytes after it."""
-    if len(data) < length:
-        return np.zeros(0, C.U64), np.zeros(0, C.U64)
-    whole = np.ascontiguousarray(data)
-    eight = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,)).astype(C.U64)
-    b32 = refine(refine(eight, 8, 1), 16, 2)
-    return b32, refine(refine(b32, 32, 3), length - 64, 4)
+def names32(data: np.ndarray) -> np.ndarray:
+    """Names at depth 32 of every position that has as many bytes after it."""
+    if len(data) < GRAM:
+        return np.zeros(0, C.U64)
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(C.U64)
+    b16 = paired(eight[:-8], eight[8:], 1)
+    return paired(b16[:-16], b16[16:], 2)
+
 
+def names_at(b32: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Names at depth `length` of the positions `at`."""
+    b64 = lambda p: paired(b32[p], b32[p + 32], 3)
+    return paired(b64(at), b64(at + length - 64), 4)
 
-def first_least(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values, where its first least one is; by doubling."""
-    at, size = np.arange(len(v), dtype=np.int32), 1
-    low = v
+
+def window_least(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of each window of `width` values; by doubling."""
+    size = 1
     while size < width:
         step = min(size, width - size)
-        n = len(low) - step
-        less = low[step : step + n] < low[:n]
-        at = np.where(less, at[step : step + n], at[:n])
-        low = np.where(less, low[step : step + n], low[:n])
+        v = np.minimum(v[: len(v) - step], v[step:])
         size += step
-    return at
+    return v
 
 
 class Blocks:
     """The blocks of a chunk: texts one after the other; no string crosses from one to the next."""
 
     def __init__(self, texts: list[bytes], length: int):
-        self.length = length
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        b32, self.full = buckets(data, length)
-        if not len(self.full):
+        b32 = names32(np.frombuffer(b"".join(texts), np.uint8))
+        width = length - GRAM + 1
+        n = max(0, len(b32) - width + 1)
+        if not n:
             self.doc = self.start = self.count = np.zeros(0, np.int64)
             self.anchor = self.name = self.sides = np.zeros(0, C.U64)
             return
-        at = first_least(b32, length - GRAM + 1)[: len(self.full)]
+        least = window_least(b32, width)
         begin = self.ends - self.sizes
-        valid = np.zeros(len(self.full) + 1, np.int32)  # positions whose string lies in one text
+        valid = np.zeros(n + 1, np.int32)  # positions whose string lies in one text
         has = np.flatnonzero(self.sizes >= length)
         np.add.at(valid, begin[has], 1)
         np.add.at(valid, self.ends[has] - length + 1, -1)
         valid = np.cumsum(valid[:-1]).astype(bool)
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
-        new[np.minimum(begin[has], len(new) - 1)] = True
+        new = np.ones(n, bool)  # another anchor: another value, or the last one's first place was the position just left
+        new[1:] = (least[1:] != least[:-1]) | (b32[: n - 1] == least[:-1]) | ~valid[:-1]
+        new[np.minimum(begin[has], n - 1)] = True
         heads = np.flatnonzero(new & valid)
         edge = np.flatnonzero(new | ~valid)
         nxt = np.searchsorted(edge, heads, side="right")
-        tails = np.where(nxt < len(edge), edge[np.minimum(nxt, len(edge) - 1)], len(at))  # one past the block's last position
+        tails = np.where(nxt < len(edge), edge[np.minimum(nxt, len(edge) - 1)], n)  # one past the block's last position
         self.start, self.count = heads, tails - heads
         self.doc = np.searchsorted(self.ends, heads, side="right")
-        a = at[heads].astype(np.int64)
-        self.anchor = b32[a]
+        self.anchor = least[heads]
+        a = np.empty(len(heads), np.int64)
+        for k in range(0, len(heads), 20_000):
+            z = slice(k, k + 20_000)
+            a[z] = heads[z] + (b32[heads[z, None] + np.arange(width)] == self.anchor[z, None]).argmax(1)
         with np.errstate(over="ignore"):
-            self.name = C.mix(self.full[heads] ^ C.mix(self.full[tails - 1] + self.count.astype(C.U64)))
+            self.name = C.mix(names_at(b32, heads, length) ^ C.mix(names_at(b32, tails - 1, length) + self.count.astype(C.U64)))
         reach = length - GRAM  # what a shared string has beside the anchor, left and right together
         lo, hi = begin[self.doc], self.ends[self.doc]
         self.sides = np.zeros(len(a), C.U64)
@@ -181,6 +182,40 @@ def ids_of(t: pa.Table) -> np.ndarray:
     return pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
 
 
+def exact_names(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Bucket numbers at depth `length` of the positions `starts`, equal where the bytes are: bucket-pointer refinement.
+
+    Every position points to its bucket of equal 8 bytes. A bucket is refined by sorting its positions on their own
+    pointer and that of a later offset; the new pointers are those that the next step sorts on (8, 16, 32, 64, length).
+    A position alone in its bucket is settled: it keeps a number of its own and is sorted no more.
+    """
+    n = len(data) - 7
+    words = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    pointer, open_ = sorted_buckets(words.astype(C.U64))
+    depth = 8
+    while depth < length:
+        step = min(depth, length - depth)
+        open_ = open_[open_ + step < n]  # what reaches beyond the data is no start
+        bucket, still = sorted_buckets((pointer[open_] << C.U64(32)) | pointer[open_ + step])
+        fresh = np.arange(n, 2 * n, dtype=C.U64)  # above all bucket numbers
+        fresh[open_[still]] = bucket[still]
+        pointer, open_ = fresh, open_[still]
+        depth += step
+    return pointer[starts]
+
+
+def sorted_buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key's bucket in sorted order, which rows share theirs with another)."""
+    order = np.argsort(keys)
+    s = keys[order]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    number = np.empty(len(s), C.U64)
+    number[order] = np.cumsum(head) - 1
+    shared = ~(head & np.append(head[1:], True)) if len(s) else head
+    return number, np.sort(order[shared])
+
+
 def read_chunk(uri: str) -> pa.Table:
     fs, path = C.open_fs(uri)
     with fs.open_input_file(path) as f:
@@ -307,26 +342,72 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
     grouped.write.parquet(marks_dir)  # a row a chunk: at most as many numbers as the chunk has blocks
     marks = chunks.join(spark.read.parquet(marks_dir), "chunk", "left").repartition(min(n_chunks, 4 * parts))
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of undecided blocks."""
+        for batch in batches:
+            for name, undecided in zip(batch["chunk"].to_pylist(), batch["undecided"], strict=True):
+                which = np.sort(_ints(undecided))
+                if not len(which):
+                    continue
+                start, count, _ = (x[which] for x in read_blocks(f"{folder}/{name}.blocks"))
+                t = read_chunk(f"{folder}/{name}")
+                data = b"".join(x.as_py() for x in t["text"])
+                b32 = names32(np.frombuffer(data, np.uint8))
+                anchor = np.concatenate([b32[start[a : a + 20_000, None] + np.arange(length - GRAM + 1)].min(1) for a in range(0, len(start), 20_000)])
+                ends = np.cumsum(pc.binary_length(t["text"]).to_numpy())
+                doc = np.searchsorted(ends, start, side="right")
+                at = start - np.concatenate([[0], ends])[doc]
+                ids, ties = ids_of(t), t["tie"].to_numpy()
+                for a in range(0, len(start), 10_000):
+                    z = slice(a, a + 10_000)
+                    body = pa.array([data[p : p + n + length - 1] for p, n in zip(start[z], count[z], strict=True)], pa.binary())
+                    cols = (anchor[z].view(np.int64), ids[doc[z]], ties[doc[z]], at[z].astype(np.int32), start[z].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(body), np.int32))), *map(pa.array, cols), body], names=["chunk", "anchor", "doc_id", "tie", "start", "place", "body"])
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of undecided blocks of some anchors, refined against each other; all but the first of a bucket repeat it."""
+        for t in whole_anchors(batches, size=10_000):
+            body = t["body"].combine_chunks()
+            sizes = pc.binary_length(body).to_numpy()
+            data = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
+            n = sizes - length + 1
+            row_of = np.repeat(np.arange(len(sizes)), n)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            names = exact_names(data, (np.cumsum(sizes) - sizes)[row_of] + inside, length)
+            doc_id, tie, start, place = (t[c].to_numpy() for c in ("doc_id", "tie", "start", "place"))
+            later = ~firsts(names, doc_id[row_of], tie[row_of], start[row_of] + inside)
+            yield from runs_of(t["chunk"], row_of, place[row_of] + inside, later)
+
+    def runs_of(chunk, row_of: np.ndarray, place: np.ndarray, later: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The positions marked `later`, consecutive ones of a row as one: chunk, place, n."""
+        k = np.flatnonzero(later)
+        if len(k):
+            head = np.ones(len(k), bool)
+            head[1:] = (row_of[k][1:] != row_of[k][:-1]) | (place[k][1:] != place[k][:-1] + 1)
+            at = np.flatnonzero(head)
+            out = pa.Table.from_arrays([chunk.take(pa.array(row_of[k][at])), pa.array(place[k][at].astype(np.int32)), pa.array(np.diff(np.append(at, len(k))).astype(np.int32))], names=["chunk", "place", "n"])
+            yield from out.combine_chunks().to_batches()
+
+    spread_spec = "chunk string, anchor long, doc_id long, tie long, start int, place int, body binary"
+    undecided = marks.where(F.size("undecided") > 0).select("chunk", "undecided").mapInArrow(C.tidied(spread), spread_spec)
+    later = undecided.repartition(2 * parts, "anchor").sortWithinPartitions("anchor").mapInArrow(C.tidied(refine), "chunk string, place int, n int")
+
     def to_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The names of strings in frequent anchor buckets: one row for each different one of a chunk; its others are written down as known."""
         for batch in batches:
-            for name, repeats, undecided in zip(batch["chunk"].to_pylist(), batch["repeats"], batch["undecided"], strict=True):
+            for name, repeats in zip(batch["chunk"].to_pylist(), batch["repeats"], strict=True):
                 start, count, state = read_blocks(f"{folder}/{name}.blocks")
-                done = state == REPEAT  # equal to an earlier block of the chunk
-                done[_ints(repeats)] = True
                 ask = state == HOT
-                ask[_ints(undecided)] = True
-                ask &= ~done
-                known = positions(start, count, done)
-                if ask.any():
+                places = positions(start, count, ask)
+                if len(places):
                     t = read_chunk(f"{folder}/{name}")
                     texts = t["text"]
                     ends = np.cumsum(pc.binary_length(texts).to_numpy())
-                    full = buckets(np.frombuffer(b"".join(x.as_py() for x in texts), np.uint8), length)[1]
-                    places = positions(start, count, ask)
-                    names = full[places]
+                    names = names_at(names32(np.frombuffer(b"".join(x.as_py() for x in texts), np.uint8)), places, length)
                     lead = firsts(names)
-                    known = np.concatenate([known, places[~lead]])
-                    places, names = places[lead], names[lead]
+                    again, places, names = places[~lead], places[lead], names[lead]
+                    with _Renamed(*C.open_fs(f"{folder}/{name}.known")) as sink:
+                        sink.write(again.astype("<i8").tobytes())
                     doc = np.searchsorted(ends, places, side="right")
                     at = places - np.concatenate([[0], ends])[doc]
                     ids, ties = ids_of(t), t["tie"].to_numpy()
@@ -334,41 +415,41 @@ def deduplicate(docs: DataFrame, *, length: int = 100, keep_text: bool = False,
                         z = slice(a, a + 50_000)
                         cols = (names[z].view(np.int64), ids[doc[z]], ties[doc[z]], at[z].astype(np.int32), places[z].astype(np.int32))
                         yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(names[z]), np.int32))), *map(pa.array, cols)], names=["chunk", "name", "doc_id", "tie", "start", "place"])
-                flags = np.zeros(int(known.max()) + 1 if len(known) else 0, np.int8)
-                flags[known] = 1
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
-                with _Renamed(*C.open_fs(f"{folder}/{name}.known")) as sink:
-                    sink.write(edges.astype("<i8").tobytes())
-
-    strings = marks.mapInArrow(C.tidied(to_strings), "chunk string, name long, doc_id long, tie long, start int, place int").repartition(2 * parts, "name").sortWithinPartitions("name")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_anchors(batches, "name"):
-            later = ~firsts(t["name"].to_numpy().view(C.U64), t["doc_id"].to_numpy(), t["tie"].to_numpy(), t["start"].to_numpy())
-            if later.any():
-                t = t.select(["chunk", "place"]).filter(pa.array(later))
-                yield from t.combine_chunks().to_batches()
+            again = ~firsts(t["name"].to_numpy().view(C.U64), t["doc_id"].to_numpy(), t["tie"].to_numpy(), t["start"].to_numpy())
+            yield from runs_of(t["chunk"], np.arange(len(again)), t["place"].to_numpy(), again)
 
+    if len(hot):
+        strings = marks.select("chunk", "repeats").mapInArrow(C.tidied(to_strings), "chunk string, name long, doc_id long, tie long, start int, place int").repartition(2 * parts, "name").sortWithinPartitions("name")
+        later = later.unionByName(strings.mapInArrow(C.tidied(settle), "chunk string, place int, n int"))
     later_dir = f"{folder}/later"
-    strings.mapInArrow(C.tidied(settle), "chunk string, place int").groupBy("chunk").agg(F.collect_list("place").alias("places")).write.parquet(later_dir)
-    final = chunks.join(spark.read.parquet(later_dir), "chunk", "left").repartition(min(n_chunks, 4 * parts))
+    later.groupBy("chunk").agg(F.collect_list(F.struct("place", "n")).alias("places")).write.parquet(later_dir)
+    found = spark.read.parquet(later_dir).select("chunk", F.col("places.place").alias("places"), F.col("places.n").alias("counts"))
+    final = marks.select("chunk", "repeats").join(found, "chunk", "left").repartition(min(n_chunks, 4 * parts))
+    any_hot = len(hot) > 0
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, places in zip(batch["chunk"].to_pylist(), batch["places"], strict=True):
+            for name, repeats, places, counts in zip(batch["chunk"].to_pylist(), batch["repeats"], batch["places"], batch["counts"], strict=True):
                 t = read_chunk(f"{folder}/{name}")
                 texts = [x.as_py() for x in t["text"]]
                 sizes = np.array([len(x) for x in texts], np.int64)
                 total = int(sizes.sum())
-                f, p = C.open_fs(f"{folder}/{name}.known")
-                with f.open_input_stream(p) as s:
-                    edges = np.frombuffer(s.read(), "<i8")
-                places = _ints(places)
+                start, count, state = read_blocks(f"{folder}/{name}.blocks")
+                done = state == REPEAT  # equal to an earlier block of the chunk
+                done[_ints(repeats)] = True
+                again = np.zeros(0, np.int64)
+                if any_hot and (state == HOT).any():
+                    f, p = C.open_fs(f"{folder}/{name}.known")
+                    with f.open_input_stream(p) as s:
+                        again = np.frombuffer(s.read(), "<i8")
+                starts = np.concatenate([start[done], again, _ints(places)])
+                runs = np.concatenate([count[done], np.ones(len(again), np.int64), _ints(counts)])
                 step = np.zeros(total + 1, np.int32)
-                np.add.at(step, edges[0::2], 1)
-                np.add.at(step, edges[1::2] + length - 1, -1)
-                np.add.at(step, places, 1)
-                np.add.at(step, places + length, -1)
+                np.add.at(step, starts, 1)
+                np.add.at(step, starts + runs + length - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 rows, held, at = [], 0, 0
                 for x, n in zip(texts, sizes, strict=True):
