@@ -15,12 +15,15 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder URI below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where that setting is missing (tests on one machine), a folder of this machine is set.
+    Where that setting is missing, a folder of this machine is set if Spark runs on it alone (tests); else it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+
         root = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
@@ -45,16 +48,10 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, *uris: str) -> None:
-    """Delete intermediate folders once nothing reads them."""
-    for uri in uris:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, as some texts are very long."""
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "2m") -> None:
+    """Arrow batches of few rows and few bytes, as some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def n_parts(spark: SparkSession) -> int:

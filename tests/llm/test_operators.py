@@ -120,14 +120,15 @@ def test_item_weights_do_not_depend_on_slices(spark, monkeypatch):
     texts = [text_of(rng, 30) + f" zebra{k % 4} quartz{k}" for k in range(10)]
     d = spark.createDataFrame([(k, "One more. " + t.replace("quartz", "x")) for k, t in enumerate(texts)], "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
-    score = lambda groups: {(i, t): round(w[index.vocab[t]][i // 8][i % 8], 6) for g in groups for index in g for w in [index.weight.tolist()] for i in range(len(index.ids)) for t in index.vocab}
+    score = lambda groups: {(index.ids[i], t): round(float(index.share[index.first[k]: index.first[k + 1]][j]), 6) for g in groups for index in g for t, k in index.vocab.items() for j, i in enumerate(index.item[index.first[k]: index.first[k + 1]])}
     want = {r["doc_id"]: r["score"] for r in decontaminate.find_leaks(d, items).collect() if r["doc_id"] == r["item_id"]}
     assert len(want) == 10 and score(decontaminate.indexes(items)) == score([[decontaminate.Index(list(enumerate(texts)))]])
     monkeypatch.setattr(decontaminate, "ITEMS", 3)
     assert {r["doc_id"]: r["score"] for r in decontaminate.find_leaks(d, items).collect() if r["doc_id"] == r["item_id"]} == pytest.approx(want)
-    parts = {i: w for g in decontaminate.indexes(items, 500) for index in g for k, i in enumerate(index.ids) for w in [index.weight[index.vocab[f"quartz{i}"], 0, k]]}
-    whole = decontaminate.Index(list(enumerate(texts)))
-    assert parts == pytest.approx({i: whole.weight[whole.vocab[f"quartz{i}"], i // 8, i % 8] for i in range(10)})
+    assert score(decontaminate.indexes(items, 500)) == score([[decontaminate.Index(list(enumerate(texts)))]])
+    long = items.union(spark.createDataFrame([(99, text_of(rng, 700))], "item_id long, text string"))  # has windows of its own
+    assert {r["doc_id"] for r in decontaminate.find_leaks(d, long).collect()} == set(range(10))
+    assert [(len(i.ids), i.size) for g in decontaminate.indexes(long, 1 << 20) for i in g] == [(3, 64)] * 3 + [(1, 64), (1, 1024)]
 
 
 def test_short_answers(spark):
@@ -149,15 +150,46 @@ def test_block_bounds_lose_nothing(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
     index = decontaminate.Index(items)
-    weight = index.weight.reshape(len(index.weight), -1)
+    weight = np.zeros((len(index.vocab), len(items)))
+    for k in range(len(index.vocab)):
+        weight[k, index.item[index.first[k] : index.first[k + 1]]] = index.share[index.first[k] : index.first[k + 1]]
+    assert np.allclose(weight.sum(0), 1) and (index.top == weight.max(1)).all()
     for t in texts:
-        w, size, want = decontaminate.words(t), max(64, index.longest), set()
+        w, size, want = decontaminate.words(t), index.size, set()
         for a in range(0, max(1, len(w) - size), size):
             terms = sorted({index.vocab[x] for x in w[a : a + 2 * size] if x in index.vocab})
-            want |= {(int(i), a) for i in np.flatnonzero(weight[terms].sum(0) >= 0.3)}
+            want |= {(int(i), a) for i in np.flatnonzero(weight[terms].sum(0) >= 0.3 - 1e-5)}
         assert {(i, a) for i, a, _, _ in index.candidates(w, 0.3)} == want
 
 
+def test_leaks_against_brute_force(spark):
+    """BM25 shares of all windows and items, and run shares of question and answer, worked out one by one."""
+    import math
+
+    rng, W = random.Random(21), decontaminate.words
+    items = [(k, text_of(rng, rng.choice([4, 20, 50, 90])) + f". Answer {k} is " + text_of(rng, 6)) for k in range(12)]
+    texts = [text_of(rng, 150) + " " + " ".join(x for x in items[k % 12][1].split() if rng.random() > 0.1 * (k // 12)) + " " + text_of(rng, 90) for k in range(48)]
+    n = len(items)
+    df = collections.Counter(w for _, t in items for w in set(W(t)))
+    mean = sum(len(W(t)) for _, t in items) / n
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {}
+    for d, text in enumerate(texts):
+        w = W(text)
+        for i, t in items:
+            own = collections.Counter(W(t))
+            weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(W(t)) / mean)) for x, f in own.items()}
+            size = 64 if len(W(t)) <= 64 else 128
+            for a in range(0, max(1, len(w) - size), size):
+                window = w[a : a + 2 * size]
+                score = sum(weight[x] for x in set(window) & set(own)) / sum(weight.values())
+                shares = [len(runs(p) & runs(window)) / len(runs(p)) for p in decontaminate.question_answer(t)]
+                if score >= 0.6 and min(shares) >= 0.5:
+                    want[d, i] = max(want.get((d, i), (0,)), (score, *shares))
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 20 and set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ü x", "<p>a</p>", 1), (2, None, "<p>a</p>", 1), (5, "http://b", None, 1), (4, "http://c", "", 1), (3, "http://d\r\nX: y", "<p>é</p>", 1), (None, "u", "<p>a</p>", 1)], "page_id long, url string, html string, top int")
     out = f"file://{tmp_path}/warc"
@@ -183,6 +215,40 @@ def test_mix(docs, empty, spark):
     assert mixing.resample(docs).columns == docs.columns and mixing.resample(empty).count() == 0
 
 
+def test_mix_against_brute_force(spark):
+    """Targets, multipliers (by bisection) and rates worked out one by one; copies lie beside the rates and their words near the targets."""
+    rng = random.Random(17)
+    rows = [(k, None if rng.random() < 0.02 else text_of(rng, 1 + int(rng.expovariate(1 / 40))), rng.choice(["a", "a", "a", "a", "b", "c", "c", None])) for k in range(3000)]
+    size = {k: len((t or "").split()) for k, t, _ in rows}
+    for weights, scale in (((3, 1, 2), 1.5), ((1, 9, 4), 0.7)):
+        got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=weights, scale=scale).collect()}
+        total = {s: sum(size[k] for k, _, x in rows if x == s) for s in ("a", "b", "c", None)}
+        weight = dict(zip(total, (*weights, weights[0]), strict=True))
+        target, free, left = {}, set(total), scale * sum(total.values())
+        while True:
+            share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = {s for s in free if share[s] > 2 * total[s]}
+            if not over:
+                target |= share
+                break
+            target |= {s: 2 * total[s] for s in over}
+            left, free = left - sum(2 * total[s] for s in over), free - over
+        for s in total:
+            mine = [size[k] for k, _, x in rows if x == s]
+            mean = sum(mine) / sum(n > 0 for n in mine)
+            rate = lambda lam, n, mean=mean: min(2.0, np.exp(min(50, lam * n / mean)))
+            low, high = -60 * mean, 60 * mean
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(n * rate(mid, n) for n in mine) < target[s] else (low, mid)
+            own = [got[k] for k, _, x in rows if x == s]
+            assert all(r["target"] == pytest.approx(target[s]) and r["source_size"] == total[s] and r["size"] == size[r["doc_id"]] for r in own)
+            if target[s] < 2 * total[s] - 1:
+                assert all(r["rate"] == pytest.approx(rate(high, r["size"]), rel=1e-4) for r in own)
+            assert all(int(r["rate"] + 1e-9) <= r["copies"] <= 2 for r in own) and np.mean([abs(r["copies"] - r["rate"]) < 1 for r in own]) > 0.98
+            assert abs(sum(r["taken"] for r in own) - target[s]) <= 2
+
+
 def brute_substrings(rows, length=100):
     seen, out = set(), collections.Counter()
     tie = lambda x: int.from_bytes(hashlib.sha256(x).digest()[:8], "big", signed=True)
