@@ -76,10 +76,16 @@ class Encoder:
         self.used = 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each word)."""
-        got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        of = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
-        return np.array(got.ids, self.width), np.bincount(of[of >= 0], minlength=len(words))
+        """(ids, ids of each word). A word of the letters a to z is one piece that normalising leaves alone: the model gives its ids at once."""
+        piece = self.tok.model.tokenize
+        ids = [[t.id for t in piece(w)] if w.isascii() and w.isalpha() and w.islower() else None for w in words]
+        odd = [k for k, x in enumerate(ids) if x is None]
+        if odd:
+            got = self.tok.encode([words[k] for k in odd], is_pretokenized=True, add_special_tokens=False)
+            ends, every = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(odd))).tolist(), got.ids
+            for k, a, z in zip(odd, [0, *ends], ends, strict=False):
+                ids[k] = every[a:z]
+        return np.fromiter(itertools.chain.from_iterable(ids), self.width), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text). Texts are split and their words told apart in Arrow; only different words are looked up."""
@@ -115,10 +121,11 @@ class Encoder:
         start[held], size[held] = self.starts[at[held]], self.sizes[at[held]]
         start[~held], size[~held] = more_starts[at[~held] - self.MOST], more_sizes[at[~held] - self.MOST]
         code = coded.indices.to_numpy()
-        start, size = start[code], size[code]
-        ends = np.cumsum(size)
+        small = np.int32 if len(flat) < 1 << 31 and len(code) * int(size.max(initial=0)) < 1 << 31 else np.int64
+        start, size = start.astype(small)[code], size.astype(small)[code]
+        ends = np.cumsum(size, dtype=small)
         index = np.repeat(start - (ends - size), size)
-        index += np.arange(len(index))
+        index += np.arange(len(index), dtype=small)
         text_ends = np.concatenate([[0], ends])[np.cumsum(per_text)]
         return flat[index], np.diff(text_ends, prepend=0)
 
@@ -181,7 +188,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
     range) are in the manifest. Other columns are ignored. An empty table gives a manifest of no files.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.small_batches(spark, 4096, "8m")
     parts = parts or C.n_parts(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = C.cuts_of(docs, "doc_id", 2 * parts)
