@@ -48,7 +48,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "2m") -> None:
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "1m") -> None:
     """Arrow batches of few rows and few bytes, as some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
