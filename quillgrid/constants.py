@@ -32,3 +32,33 @@ NEAR_IMAGE_MARGIN = 20
 MAX_TABLE_LINE = 40
 ROW_GAP_MEDIANS = 4
 ROW_GAP_LEAST = 24
+
+# Boxes of text items, placements of pictures, angles.
+ITEM_DESCENT = 0.25
+QUARTER_TURN_TOLERANCE = 25
+MIRRORED_TILT_MAX = 45
+UNUSUAL_ANGLE = 15
+
+# Lines.
+LINE_HEIGHT_RATIO = 1.35
+SUBSCRIPT_RATIO = 0.8
+TRACKING_RATIO = 1
+BOLD_MAX_SHIFT = 0.5
+DUPLICATE_LOOKAHEAD = 3
+
+# Gap profiles without samples enough, as shares of the font size.
+FALLBACK_INTRA = 0.25
+FALLBACK_INTER = 0.6
+
+# Running elements are grouped by steps of these many points.
+RUNNING_POSITION_STEP = 3
+RUNNING_WIDTH_STEP = 12
+
+# Patterns of a profile.
+MAX_PATTERN_LENGTH = 300
+MAX_TEXT_LENGTH = 2000
+
+# White space that trimming removes.
+SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+TRUE_WORDS = ("true", "yes", "1", "x")
+FALSE_WORDS = ("false", "no", "0", "")

@@ -6,29 +6,49 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def font_registry(items: DataFrame) -> DataFrame:
-    """font_key, glyph_count, item_count, pages, size of positioned items."""
-    return items.groupBy("font_key").agg(F.sum(F.length("str")).alias("glyph_count"), F.count("*").alias("item_count"), F.countDistinct("doc_id", "page").alias("pages")).withColumn("size", F.regexp_extract("font_key", "@([0-9.]+)$", 1).cast("double"))
-
-
-def font_roles(fonts: DataFrame) -> DataFrame:
-    """fonts with share, size_ratio and role: body is the font of most glyphs (ties: the first key)."""
-    body = fonts.groupBy().agg(F.sum("glyph_count").alias("total"), F.min_by(F.struct("font_key", "size"), F.struct(-F.col("glyph_count"), "font_key")).alias("body"))
-    x = fonts.crossJoin(F.broadcast(body)).withColumn("share", F.col("glyph_count") / F.col("total")).withColumn("size_ratio", F.col("size") / F.coalesce(F.nullif(F.col("body.size"), F.lit(0.0)), F.lit(1.0)))  # body: one row
+def font_registry(items: DataFrame, book: list[str]) -> DataFrame:
+    """The book's columns, font_key, glyph_count, item_count, pages, size of positioned items (page, str, font_key)."""
+    return items.groupBy(*book, "font_key").agg(F.sum(F.length("str")).alias("glyph_count"), F.count("*").alias("item_count"), F.countDistinct("page").alias("pages")).withColumn("size", F.regexp_extract("font_key", "@([0-9.]+)$", 1).cast("double"))
+
+
+def font_roles(fonts: DataFrame, book: list[str]) -> DataFrame:
+    """fonts with share, size_ratio and role, each book by itself: body is the font of most glyphs (ties: the first key)."""
+    whole = Window.partitionBy(*book)
+    ranked = fonts.withColumn("_k", -F.dense_rank().over(whole.orderBy("font_key")))
+    first = F.max(F.struct("glyph_count", "_k", "font_key", "size")).over(whole)
+    x = ranked.withColumn("body", first).withColumn("total", F.sum("glyph_count").over(whole))
+    x = x.withColumn("share", F.col("glyph_count") / F.col("total")).withColumn("size_ratio", F.col("size") / F.coalesce(F.nullif(F.col("body.size"), F.lit(0.0)), F.lit(1.0)))
     role = (
         F.when(F.col("total") == 0, "unknown").when(F.col("font_key") == F.col("body.font_key"), "body")
         .when((F.col("share") < 0.05) & (F.col("size_ratio") > 1.2), "heading").when((F.col("share") < 0.1) & (F.col("size_ratio") < 0.9), "caption")
         .when((F.col("share") < 0.05) & F.col("size_ratio").between(0.9, 1.2), "accent").otherwise("unknown")
     )
-    return x.select("font_key", "glyph_count", "item_count", "pages", "size", F.round("share", 9).alias("share"), F.round("size_ratio", 9).alias("size_ratio"), role.alias("role"))
+    return x.select(*book, "font_key", "glyph_count", "item_count", "pages", "size", F.round("share", 9).alias("share"), F.round("size_ratio", 9).alias("size_ratio"), role.alias("role"))
+
+
+def running_elements(lines: DataFrame, book: list[str], page: str, pages: DataFrame, fraction: float = K.RUNNING_PAGE_FRACTION) -> DataFrame:
+    """lines with kind, header or footer: those in a margin band whose font, left edge (in steps of 3 points) and width (of 12) come on at least
+    `fraction` of the book's pages (pages: book, page, page_height). Texts aren't compared, as page numbers change.
+
+    lines: the book's columns, page, font_key, min_x, max_x, min_y, max_y.
+    """
+    total = pages.groupBy(*book).agg(F.countDistinct(page).alias("_total"))
+    x = lines.join(pages.where("page_height > 0").select(*book, page, "page_height"), [*book, page])
+    place = (F.col("min_y") + F.col("max_y")) / 2 / F.col("page_height")
+    x = x.withColumn("kind", F.when(place > K.HEADER_BAND, "header").when(place < K.FOOTER_BAND, "footer")).where("kind IS NOT NULL")
+    step = lambda v, by: F.floor(v / by + 0.5)
+    x = x.withColumn("_x", step(F.col("min_x"), K.RUNNING_POSITION_STEP)).withColumn("_w", step(F.col("max_x") - F.col("min_x"), K.RUNNING_WIDTH_STEP))
+    group = [*book, "kind", "font_key", "_x", "_w"]
+    often = x.groupBy(*group).agg(F.countDistinct(page).alias("_pages")).join(total, book).where(F.col("_pages") / F.col("_total") >= fraction).select(*group)
+    return x.join(often, group, "left_semi").drop("_x", "_w", "page_height")
 
 
-def running_lines(lines: DataFrame, book: str, page: str, line: str, fraction: float = K.RUNNING_PAGE_FRACTION) -> DataFrame:
-    """book, line, pages, share: lines on at least `fraction` of the book's distinct pages."""
-    seen = lines.select(book, page, line).distinct()
-    total = seen.select(book, page).distinct().groupBy(book).agg(F.count("*").alias("total"))
-    found = seen.groupBy(book, line).agg(F.count("*").alias("pages")).where("pages >= 2")
-    return found.join(total, book).withColumn("share", F.col("pages") / F.col("total")).where(F.col("share") >= fraction).drop("total")
+def column_stability(counts: DataFrame, book: list[str], page: str, count: str) -> DataFrame:
+    """The pages whose column count is neither that of the page before nor after, with both; a book of one page has none."""
+    w = Window.partitionBy(*book).orderBy(page)
+    x = counts.withColumn("before", F.lag(count).over(w)).withColumn("after", F.lead(count).over(w))
+    same = F.coalesce(F.col("before") == F.col(count), F.lit(False)) | F.coalesce(F.col("after") == F.col(count), F.lit(False))
+    return x.where(~same & F.coalesce("before", "after").isNotNull())
 
 
 def islands(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -47,10 +67,10 @@ def overlap_clusters(spans: DataFrame, group: str, start: str, end: str, key: st
     return spans.withColumn("_n", new).select(group, key, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
 
 
-def heading_levels(fonts: DataFrame, size: str) -> DataFrame:
-    """The sizes and their levels: the largest is 1, none above 6. One row a distinct size."""
-    sizes = fonts.select(size).distinct()
-    return sizes.withColumn("level", F.least(F.dense_rank().over(Window.orderBy(F.desc(size))), F.lit(K.MAX_HEADING_LEVEL)))
+def heading_levels(fonts: DataFrame, book: list[str], size: str) -> DataFrame:
+    """The book's columns, its sizes and their levels: the largest is 1, none above 6. One row a distinct size."""
+    sizes = fonts.select(*book, size).distinct()
+    return sizes.withColumn("level", F.least(F.dense_rank().over(Window.partitionBy(*book).orderBy(F.desc(size))), F.lit(K.MAX_HEADING_LEVEL)))
 
 
 def dominant(rows: DataFrame, group: str, value: str, weight: str, order: str) -> DataFrame:

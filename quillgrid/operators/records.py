@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def invariant(name: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """name, checked, missing, ratio: rows of child whose key isn't in parent."""
@@ -28,15 +30,29 @@ def precision_recall(rows: DataFrame, said: str, truth: str) -> DataFrame:
     return s.withColumn("precision", F.round(F.col("right") / F.nullif(F.col("found"), F.lit(0)), 9)).withColumn("recall", F.round(F.col("right") / F.nullif(F.col("wanted"), F.lit(0)), 9))
 
 
-def value_map(rows: DataFrame, col: str, entries: DataFrame) -> DataFrame:
-    """rows with mapped: the entry (key, value, seq) that equals the value without case and outer blanks, else the nearest within max(1, a quarter of the length) edits; ties: the first entry."""
-    norm = lambda c: F.trim(F.lower(c))
-    values = rows.select(F.col(col).alias("_v")).distinct().withColumn("_n", norm(F.col("_v")))
-    table = F.broadcast(entries.select("key", "value", "seq"))  # a hand-written table of a profile
-    near = F.levenshtein(F.col("_n"), norm(F.col("key")))
-    hits = values.join(table, near <= F.greatest(F.lit(1), F.floor(F.length("_n") * 0.25)))
-    best = hits.groupBy("_v").agg(F.min_by("value", F.struct(near.alias("d"), "seq")).alias("mapped"))
-    return rows.join(best, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+def value_map(rows: DataFrame, col: str, entries: DataFrame, *, ignore_case: bool = True, fuzzy: bool = False) -> DataFrame:
+    """rows with mapped and match: the value of the first entry (key, value, seq) that is equal without outer blanks and case (exact).
+
+    If fuzzy, one that is equal in its letters and digits alone (normalized), else the first of the nearest within
+    max(1, a quarter of the length) edits of these (near). The first two are joins by key; only values that neither
+    finds meet all entries, which are a profile's table.
+    """
+    plain = lambda c: F.lower(c) if ignore_case else c
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    values = rows.select(F.col(col).alias("_v")).where("_v IS NOT NULL").distinct().withColumn("_t", T.trimmed(F.col("_v")))
+    first = lambda k: entries.groupBy(k.alias("_k")).agg(F.min_by("value", "seq").alias("mapped"))
+    exact = values.join(first(plain(F.col("key"))), plain(F.col("_t")) == F.col("_k"), "left").drop("_k")
+    out = exact.withColumn("match", F.when(F.col("mapped").isNotNull(), "exact"))
+    if fuzzy:
+        rest = out.where("match IS NULL").drop("mapped", "match")
+        like = rest.join(first(bare(F.col("key"))), bare(F.col("_t")) == F.col("_k"), "left").drop("_k").withColumn("match", F.when(F.col("mapped").isNotNull(), "normalized"))
+        table = entries.select(F.array_agg(F.struct("seq", bare(F.col("key")).alias("k"), "value")).alias("all"))
+        near = like.where("match IS NULL").drop("mapped", "match").crossJoin(F.broadcast(table))  # one row: the profile's table
+        best = F.array_min(F.transform("all", lambda e: F.struct(F.levenshtein(bare(F.col("_t")), e["k"]).alias("d"), e["seq"].alias("seq"), e["value"].alias("value"))))
+        near = near.withColumn("b", best).withColumn("ok", F.col("b.d") <= F.greatest(F.lit(1), F.floor(F.length(bare(F.col("_t"))) * 0.25)))
+        near = near.select("_v", "_t", F.when(F.col("ok"), F.col("b.value")).alias("mapped"), F.when(F.col("ok"), "near").alias("match"))
+        out = out.where("match IS NOT NULL").unionByName(like.where("match IS NOT NULL")).unionByName(near)
+    return rows.join(out.drop("_t"), F.col(col) == F.col("_v"), "left").drop("_v")
 
 
 def top_n(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:

@@ -59,15 +59,16 @@ def page_boxes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS}, f AS (SELECT font_key, sum(length(str))::BIGINT AS glyph_count, count(*) AS item_count, count(DISTINCT (doc_id, page)) AS pages,
-  CAST(string_split(font_key, '@')[2] AS DOUBLE) AS size FROM items GROUP BY font_key),
-b AS (SELECT sum(glyph_count) AS total, arg_max(font_key, glyph_count) AS body, arg_max(size, glyph_count) AS bs FROM f)
-SELECT font_key, glyph_count, item_count, pages, size, round(glyph_count / total, 9) AS share, round(size / bs, 9) AS size_ratio,
+    f"""WITH {ITEMS}, f AS (SELECT doc_id, font_key, sum(length(str))::BIGINT AS glyph_count, count(*) AS item_count, count(DISTINCT page) AS pages,
+  CAST(string_split(font_key, '@')[2] AS DOUBLE) AS size FROM items GROUP BY doc_id, font_key),
+b AS (SELECT doc_id, sum(glyph_count) AS total FROM f GROUP BY doc_id),
+m AS (SELECT doc_id, font_key AS body, size AS bs FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY glyph_count DESC, font_key) = 1)
+SELECT f.doc_id, font_key, glyph_count, item_count, pages, size, round(glyph_count / total, 9) AS share, round(size / bs, 9) AS size_ratio,
   CASE WHEN font_key = body THEN 'body' WHEN glyph_count / total < 0.05 AND size / bs > 1.2 THEN 'heading' WHEN glyph_count / total < 0.1 AND size / bs < 0.9 THEN 'caption'
-    WHEN glyph_count / total < 0.05 AND size / bs BETWEEN 0.9 AND 1.2 THEN 'accent' ELSE 'unknown' END AS role FROM f, b"""
+    WHEN glyph_count / total < 0.05 AND size / bs BETWEEN 0.9 AND 1.2 THEN 'accent' ELSE 'unknown' END AS role FROM f JOIN b ON f.doc_id = b.doc_id JOIN m ON f.doc_id = m.doc_id"""
 )
 def font_roles(spark, sf_dir):
-    return layout.font_roles(layout.font_registry(text_items(table(spark, sf_dir, "documents"))))
+    return layout.font_roles(layout.font_registry(text_items(table(spark, sf_dir, "documents")), ["doc_id"]), ["doc_id"])
 
 
 @query(
@@ -80,49 +81,101 @@ def text_repair(spark, sf_dir):
 
 
 def event_samples(spark, sf_dir):
+    """Events as items: users are pages of the documents user_id % 4, types are fonts."""
     events = table(spark, sf_dir, "events").withColumn("at", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D"))
-    return gaps.gap_samples(events, ["user_id"], "at", "event_type", tie="event_id")
+    return gaps.gap_samples(events, ["user_id"], "at", "event_type", tie="event_id").withColumn("doc", F.col("user_id") % 4)
+
+
+def event_fonts(spark, sf_dir):
+    """A size for each font of three documents; of the fourth none is known, and one has no samples."""
+    fonts = table(spark, sf_dir, "events").select("event_type").distinct().withColumnRenamed("event_type", "font").crossJoin(spark.range(3).withColumnRenamed("id", "doc"))
+    return fonts.select("doc", "font", F.length("font").cast("double").alias("size")).unionByName(spark.createDataFrame([(9, "none", 12.0)], "doc long, font string, size double"))
 
 
 SAMPLES = """
 e AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t_at, event_type, event_id FROM events),
 g AS (SELECT user_id, lag(event_type) OVER w AS font, t_at - lag(t_at) OVER w AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t_at, event_id)),
-samples AS (SELECT * FROM g WHERE gap >= 0)
+samples AS (SELECT *, user_id % 4 AS doc FROM g WHERE gap >= 0),
+fonts AS (SELECT doc, event_type AS font, length(event_type)::DOUBLE AS size FROM (SELECT DISTINCT event_type FROM events), range(3) AS r(doc) UNION ALL SELECT 9, 'none', 12.0)
 """
-HISTOGRAM = (
-    SAMPLES
-    + """, m AS (SELECT font, max(gap) AS most, count(*) AS total FROM samples GROUP BY font HAVING max(gap) > 0),
-c AS (SELECT font, least(47, floor(gap / (most / 48))::BIGINT) AS bin, count(*) AS n FROM samples JOIN m USING (font) GROUP BY ALL),
-d AS (SELECT font, total, most / 48 AS width, unnest(range(48)) AS bin FROM m),
-h AS (SELECT d.font, d.bin, width, total, coalesce(n, 0) AS n FROM d LEFT JOIN c ON d.font = c.font AND d.bin = c.bin),
-hist AS (SELECT *, sum(n) OVER w / count(n) OVER w AS smooth FROM h WINDOW w AS (PARTITION BY font ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+
+
+def histogram_sql(source: str) -> str:
+    """From rows with k, a key, and gap."""
+    return f"""m AS (SELECT k, max(gap) AS most, count(*) AS total FROM {source} GROUP BY k HAVING max(gap) > 0),
+c AS (SELECT m.k, least(47, floor(gap / (most / 48))::BIGINT) AS bin, count(*) AS n FROM {source} s JOIN m ON s.k = m.k GROUP BY ALL),
+d AS (SELECT k, total, most / 48 AS width, unnest(range(48)) AS bin FROM m),
+h AS (SELECT d.k, d.bin, width, total, coalesce(n, 0) AS n FROM d LEFT JOIN c ON d.k = c.k AND d.bin = c.bin),
+hist AS (SELECT *, sum(n) OVER w / count(n) OVER w AS smooth FROM h WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+PROFILES = """
+p AS (SELECT *, smooth > 0 AND smooth >= coalesce(lag(smooth) OVER w, -1) AND smooth >= coalesce(lead(smooth) OVER w, -1) AS peak FROM hist WINDOW w AS (PARTITION BY k ORDER BY bin)),
+p1 AS (SELECT k, bin AS b1, smooth AS h1 FROM p WHERE peak QUALIFY row_number() OVER (PARTITION BY k ORDER BY smooth DESC, bin) = 1),
+p2 AS (SELECT p.k, bin AS b2, smooth AS h2 FROM p JOIN p1 ON p.k = p1.k WHERE peak AND abs(bin - b1) >= 3 QUALIFY row_number() OVER (PARTITION BY p.k ORDER BY smooth DESC, bin) = 1),
+v AS (SELECT p.k, bin AS vb, smooth AS vh FROM p JOIN p1 ON p.k = p1.k JOIN p2 ON p.k = p2.k WHERE bin BETWEEN least(b1, b2) AND greatest(b1, b2) QUALIFY row_number() OVER (PARTITION BY p.k ORDER BY smooth, bin) = 1),
+x AS (SELECT n.k, n.total, n.size, CASE WHEN b2 IS NULL THEN most / 2 ELSE (vb + 0.5) * most / 48 END AS threshold,
+  CASE WHEN n.total < 50 OR b2 IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - vh / least(h1, h2))) END AS separation
+  FROM n LEFT JOIN m ON n.k = m.k LEFT JOIN p1 ON n.k = p1.k LEFT JOIN p2 ON n.k = p2.k LEFT JOIN v ON n.k = v.k),
+prof AS (SELECT k, total, separation, total >= 50 AND separation >= 0.3 AS reliable, CASE WHEN total >= 50 AND separation >= 0.3 THEN threshold * 0.85 ELSE size * 0.25 END AS "intra",
+  CASE WHEN total >= 50 AND separation >= 0.3 THEN threshold * 1.15 ELSE size * 0.6 END AS "inter" FROM x)
 """
-)
 
 
-@query(f"WITH {HISTOGRAM} SELECT font, bin, n, total, round(smooth, 9) AS smooth FROM hist")
+@query(f"WITH {SAMPLES}, s1 AS (SELECT *, (doc, font) AS k FROM samples), {histogram_sql('s1')} SELECT k[1] AS doc, k[2] AS font, bin, n, total, round(smooth, 9) AS smooth FROM hist")
 def gap_histogram(spark, sf_dir):
-    return gaps.histogram(event_samples(spark, sf_dir)).select("font", "bin", "n", "total", F.round("smooth", 9).alias("smooth"))
+    return gaps.histogram(event_samples(spark, sf_dir), ["doc", "font"]).select("doc", "font", "bin", "n", "total", F.round("smooth", 9).alias("smooth"))
 
 
 @query(
-    f"""WITH {HISTOGRAM}, p AS (SELECT *, smooth > 0 AND smooth >= coalesce(lag(smooth) OVER w, -1) AND smooth >= coalesce(lead(smooth) OVER w, -1) AS peak FROM hist WINDOW w AS (PARTITION BY font ORDER BY bin)),
-p1 AS (SELECT font, bin AS b1, smooth AS h1 FROM p WHERE peak QUALIFY row_number() OVER (PARTITION BY font ORDER BY smooth DESC, bin) = 1),
-p2 AS (SELECT p.font, bin AS b2, smooth AS h2 FROM p JOIN p1 ON p.font = p1.font WHERE peak AND abs(bin - b1) >= 3 QUALIFY row_number() OVER (PARTITION BY p.font ORDER BY smooth DESC, bin) = 1),
-v AS (SELECT p.font, bin AS vb, smooth AS vh FROM p JOIN p1 ON p.font = p1.font JOIN p2 ON p.font = p2.font WHERE bin BETWEEN least(b1, b2) AND greatest(b1, b2) QUALIFY row_number() OVER (PARTITION BY p.font ORDER BY smooth, bin) = 1),
-r AS (SELECT m.font, total, CASE WHEN b2 IS NULL THEN most / 2 ELSE (vb + 0.5) * most / 48 END AS threshold, CASE WHEN b2 IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - vh / least(h1, h2))) END AS separation
-  FROM m LEFT JOIN p1 ON m.font = p1.font LEFT JOIN p2 ON m.font = p2.font LEFT JOIN v ON m.font = v.font)
-SELECT font, total, round(separation, 9) AS separation, total >= 50 AND separation >= 0.3 AS reliable, round(CASE WHEN total >= 50 AND separation >= 0.3 THEN threshold * 0.85 END, 3) AS intra,
-  round(CASE WHEN total >= 50 AND separation >= 0.3 THEN threshold * 1.15 END, 3) AS "inter" FROM r"""
+    f"""WITH {SAMPLES}, s1 AS (SELECT *, (doc, font) AS k FROM samples), {histogram_sql('s1')},
+n AS (SELECT coalesce(a.k, b.k) AS k, coalesce(total, 0) AS total, coalesce(size, 1) AS size FROM (SELECT k, count(*) AS total FROM s1 GROUP BY k) a FULL JOIN (SELECT (doc, font) AS k, size FROM fonts) b ON a.k = b.k), {PROFILES}
+SELECT k[1] AS doc, k[2] AS font, total, round(separation, 9) AS separation, reliable, round("intra", 3) AS "intra", round("inter", 3) AS "inter" FROM prof"""
 )
 def gap_profiles(spark, sf_dir):
-    p = gaps.profiles(event_samples(spark, sf_dir))
-    return p.select("font", "total", F.round("separation", 9).alias("separation"), "reliable", F.round("intra", 3).alias("intra"), F.round("inter", 3).alias("inter"))
+    p = gaps.profiles(event_samples(spark, sf_dir), event_fonts(spark, sf_dir), ["doc", "font"])
+    return p.select("doc", "font", "total", F.round("separation", 9).alias("separation"), "reliable", F.round("intra", 3).alias("intra"), F.round("inter", 3).alias("inter"))
+
+
+LEVELS = f"""{SAMPLES}, big AS (SELECT doc, font, user_id FROM samples GROUP BY ALL HAVING count(*) >= 20),
+s2 AS (SELECT gap, ('document', doc, font, NULL::BIGINT) AS k FROM samples UNION ALL SELECT gap, ('page', s.doc, s.font, s.user_id) FROM samples s JOIN big b ON s.doc = b.doc AND s.font = b.font AND s.user_id = b.user_id),
+s1 AS (SELECT gap, k[1] || '|' || k[2] || '|' || k[3] || '|' || coalesce(k[4]::VARCHAR, '') AS k, k AS full_k FROM s2), {histogram_sql('s1')},
+n AS (SELECT coalesce(a.k, b.k) AS k, coalesce(total, 0) AS total, coalesce(b.size, f.size, 1) AS size, coalesce(full_k, b.fk) AS full_k FROM (SELECT k, any_value(full_k) AS full_k, count(*) AS total FROM s1 GROUP BY k) a
+  FULL JOIN (SELECT 'document|' || doc || '|' || font || '|' AS k, ('document', doc, font, NULL::BIGINT) AS fk, size FROM fonts) b ON a.k = b.k LEFT JOIN fonts f ON f.doc = full_k[2] AND f.font = full_k[3]), {PROFILES},
+levels AS (SELECT n.full_k[1] AS level, n.full_k[2] AS doc, n.full_k[3] AS font, n.full_k[4] AS user_id, prof.total, separation, reliable, "intra", "inter" FROM prof JOIN n ON prof.k = n.k)"""
 
 
-@query(f"WITH {SAMPLES} SELECT font, user_id, count(*) AS n FROM samples GROUP BY GROUPING SETS ((font, user_id), (font)) HAVING grouping(user_id) = 1 OR count(*) >= 20")
+def levels_of(spark, sf_dir):
+    return gaps.two_level_profiles(event_samples(spark, sf_dir), event_fonts(spark, sf_dir), ["doc", "font"], "user_id")
+
+
+def rounded(df, **places):
+    return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+
+
+@query(f'WITH {LEVELS} SELECT level, doc, font, user_id, total, round(separation, 9) AS separation, reliable, round("intra", 3) AS "intra", round("inter", 3) AS "inter" FROM levels')
 def gap_levels(spark, sf_dir):
-    return gaps.two_level_counts(event_samples(spark, sf_dir), "user_id")
+    return rounded(levels_of(spark, sf_dir), separation=9, intra=3, inter=3)
+
+
+@query(
+    f"""WITH {LEVELS}, q AS (SELECT DISTINCT doc, font, user_id FROM samples),
+j AS (SELECT q.doc, q.font, q.user_id, d.reliable AND o.total IS NOT NULL AS both_, d, o FROM q JOIN levels d ON d.level = 'document' AND d.doc = q.doc AND d.font = q.font LEFT JOIN levels o ON o.level = 'page' AND o.doc = q.doc AND o.font = q.font AND o.user_id = q.user_id)
+SELECT doc, font, user_id, coalesce(o.total, d.total) AS total, round(CASE WHEN both_ THEN least(d.separation, o.separation) ELSE coalesce(o.separation, d.separation) END, 9) AS separation,
+  CASE WHEN both_ THEN true ELSE coalesce(o.reliable, d.reliable) END AS reliable, round(CASE WHEN both_ THEN least(d."intra", o."intra") ELSE coalesce(o."intra", d."intra") END, 3) AS "intra",
+  round(CASE WHEN both_ THEN least(d."inter", o."inter") ELSE coalesce(o."inter", d."inter") END, 3) AS "inter" FROM j"""
+)
+def gap_effective(spark, sf_dir):
+    return rounded(gaps.effective_profiles(levels_of(spark, sf_dir), event_samples(spark, sf_dir), ["doc", "font"], "user_id"), separation=9, intra=3, inter=3)
+
+
+@query(
+    f"""WITH {LEVELS}, fc AS (SELECT user_id % 4 AS doc, event_type AS font, count(*) AS glyphs FROM events GROUP BY ALL)
+SELECT fc.doc, round(coalesce(sum(glyphs) FILTER (WHERE reliable) / nullif(sum(glyphs), 0), 0), 9) AS coverage FROM fc LEFT JOIN levels l ON l.level = 'document' AND l.doc = fc.doc AND l.font = fc.font GROUP BY fc.doc"""
+)
+def gap_coverage(spark, sf_dir):
+    fonts = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("doc"), F.col("event_type").alias("font")).agg(F.count("*").alias("glyph_count"))
+    return rounded(gaps.reliable_coverage(fonts, levels_of(spark, sf_dir), ["doc"], "font"), coverage=9)
 
 
 @query(f"WITH {SAMPLES} SELECT user_id, round(median(gap), 6) AS typical FROM samples GROUP BY user_id HAVING count(*) >= 3")
@@ -130,14 +183,33 @@ def typical_gaps(spark, sf_dir):
     return layout.typical_gap(event_samples(spark, sf_dir), "user_id").select("user_id", F.round("typical", 6).alias("typical"))
 
 
+LINES = f"""{ITEMS}, ls AS (SELECT doc_id, page, line_no, any_value(font_key) AS font_key, min(x) AS min_x, max(x + width) AS max_x, any_value(y) AS min_y, any_value(y) + 10 AS max_y, count(*) AS words FROM items GROUP BY doc_id, page, line_no)"""
+
+
+def text_lines_of(spark, sf_dir):
+    items = text_items(table(spark, sf_dir, "documents"))
+    return items.groupBy("doc_id", "page", "line_no").agg(F.first("font_key").alias("font_key"), F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.first("y").alias("min_y"), (F.first("y") + 10).alias("max_y"), F.count("*").alias("words"))
+
+
 @query(
-    """WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT * FROM l WHERE line <> ''),
-t AS (SELECT source, count(DISTINCT doc_id) AS total FROM s GROUP BY source)
-SELECT s.source, line, count(*) AS pages, round(count(*) / total, 9) AS share FROM s JOIN t ON s.source = t.source GROUP BY s.source, line, total HAVING count(*) >= 2 AND count(*) / total >= 0.05"""
+    f"""WITH {LINES}, b AS (SELECT *, doc_id % 50 AS book, doc_id * 1000 + page AS sheet FROM ls), t AS (SELECT book, count(DISTINCT sheet) AS total FROM b GROUP BY book),
+c AS (SELECT *, CASE WHEN (min_y + max_y) / 2 / 720 > 0.93 THEN 'header' WHEN (min_y + max_y) / 2 / 720 < 0.07 THEN 'footer' END AS kind, floor(min_x / 3 + 0.5) AS qx FROM b),
+g AS (SELECT c.book, kind, font_key, qx, floor((max_x - min_x) / 12 + 0.5) AS w12 FROM c JOIN t ON c.book = t.book WHERE kind IS NOT NULL GROUP BY c.book, kind, font_key, qx, floor((max_x - min_x) / 12 + 0.5), total HAVING count(DISTINCT sheet) / total >= 0.3)
+SELECT c.book, sheet, line_no, c.kind FROM c JOIN g ON c.book = g.book AND c.kind = g.kind AND c.font_key = g.font_key AND c.qx = g.qx AND floor((max_x - min_x) / 12 + 0.5) = g.w12"""
 )
 def running_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return layout.running_lines(lines, "source", "doc_id", "line", 0.05).select("source", "line", "pages", F.round("share", 9).alias("share"))
+    lines = text_lines_of(spark, sf_dir).withColumn("book", F.col("doc_id") % 50).withColumn("sheet", F.col("doc_id") * 1000 + F.col("page"))
+    pages = lines.select("book", "sheet").distinct().withColumn("page_height", F.lit(720.0))
+    return layout.running_elements(lines, ["book"], "sheet", pages, 0.3).select("book", "sheet", "line_no", "kind")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, length(text) % 3 AS columns FROM conversations), n AS (SELECT *, lag(columns) OVER w AS before, lead(columns) OVER w AS after FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT * FROM n WHERE coalesce(before <> columns, true) AND coalesce(after <> columns, true) AND coalesce(before, after) IS NOT NULL"""
+)
+def column_stability(spark, sf_dir):
+    counts = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 3).cast("long").alias("columns"))
+    return layout.column_stability(counts, ["conv_id"], "turn", "columns")
 
 
 @query(
@@ -171,9 +243,9 @@ def span_clusters(spark, sf_dir):
     return layout.overlap_clusters(spans, "l_suppkey", "a", "z", "id")
 
 
-@query("SELECT p_size, least(dense_rank() OVER (ORDER BY p_size DESC), 6)::INT AS level FROM (SELECT DISTINCT p_size FROM part)")
+@query("SELECT p_brand, p_size, least(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC), 6)::INT AS level FROM (SELECT DISTINCT p_brand, p_size FROM part)")
 def heading_levels(spark, sf_dir):
-    return layout.heading_levels(table(spark, sf_dir, "part"), "p_size")
+    return layout.heading_levels(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
 
 
 @query(
@@ -230,17 +302,21 @@ def parse_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.parse_number(props).alias("number"), T.nth_number(props, 1).alias("nth"), T.default_value(F.col("event_type"), "none").alias("kind"))
 
 
-ENTRIES = [("africa ", "AF", 0), ("AMERIKA", "AM", 1), ("asia", "AS", 2), ("EUROPA", "EU", 3), ("middle-east", "ME", 4)]
+ENTRIES = [("africa", "AF", 0), ("AMERIKA", "AM", 1), ("a-s-i-a", "AS", 2), ("Europe", "EU", 3), ("middle east!", "ME", 4), ("AFRICA", "never", 5)]
+BARE = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 
 
 @query(
-    "WITH t(key, value, seq) AS (VALUES " + ", ".join(map(str, ENTRIES)) + """), h AS (SELECT r_name, value, levenshtein(trim(lower(r_name)), trim(lower(key))) AS d, seq FROM region, t),
-b AS (SELECT * FROM h WHERE d <= greatest(1, floor(length(trim(r_name)) * 0.25)) QUALIFY row_number() OVER (PARTITION BY r_name ORDER BY d, seq) = 1)
-SELECT r_regionkey, region.r_name, value AS mapped FROM region LEFT JOIN b ON region.r_name = b.r_name"""
+    "WITH t(key, value, seq) AS (VALUES " + ", ".join(map(str, ENTRIES)) + f"""), v AS (SELECT DISTINCT r_name AS name FROM region), e AS (SELECT name, arg_min(value, seq) AS value FROM v JOIN t ON lower(trim(name)) = lower(key) GROUP BY name),
+n AS (SELECT name, arg_min(value, seq) AS value FROM v JOIN t ON {BARE.format('name')} = {BARE.format('key')} GROUP BY name),
+l AS (SELECT name, value, levenshtein({BARE.format('name')}, {BARE.format('key')}) AS d FROM v, t QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, seq) = 1)
+SELECT r_regionkey, r_name, coalesce(e.value, n.value, CASE WHEN d <= greatest(1, floor(length({BARE.format('r_name')}) * 0.25)) THEN l.value END) AS mapped,
+  CASE WHEN e.value IS NOT NULL THEN 'exact' WHEN n.value IS NOT NULL THEN 'normalized' WHEN d <= greatest(1, floor(length({BARE.format('r_name')}) * 0.25)) THEN 'near' END AS match
+FROM region r LEFT JOIN e ON r.r_name = e.name LEFT JOIN n ON r.r_name = n.name LEFT JOIN l ON r.r_name = l.name"""
 )
 def value_map(spark, sf_dir):
     entries = spark.createDataFrame(ENTRIES, "key string, value string, seq int")
-    return records.value_map(table(spark, sf_dir, "region"), "r_name", entries).select("r_regionkey", "r_name", "mapped")
+    return records.value_map(table(spark, sf_dir, "region"), "r_name", entries, fuzzy=True).select("r_regionkey", "r_name", "mapped", "match")
 
 
 @query("SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents QUALIFY rank <= 2")
