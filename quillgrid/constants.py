@@ -62,3 +62,20 @@ MAX_TEXT_LENGTH = 2000
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 TRUE_WORDS = ("true", "yes", "1", "x")
 FALSE_WORDS = ("false", "no", "0", "")
+
+# Pictures; points unless a share of the page, a ratio or pixels (EDGE).
+BLEED_TOLERANCE = 1
+FLUSH_MAX_OVERHANG = 2
+FLUSH_MAX_AREA = 0.7
+LARGE_SIDE = 300
+EXTREME_ASPECT = 6
+MASK_OVERLAP = 0.95
+MASK_LOOK_BACK = 3
+MASK_LOOK_AHEAD = 5
+CO_MEMBER_SHARE = 0.05
+SCENE_AREA = 0.4
+HANDOUT_AREA = 0.1
+SCENE_EDGE = 2048
+HANDOUT_EDGE = 1024
+PORTRAIT_EDGE = 512
+EDGE_MARGIN = 1.15

@@ -134,7 +134,7 @@ def regex_replace(text: Column, pattern: str, replacement: str, once: bool = Fal
     if not once:
         return F.regexp_replace(text, found, replacement)
     at = F.regexp_instr(text, F.lit(found))
-    hit = F.regexp_substr(text, F.lit(found))
+    hit = F.coalesce(F.regexp_substr(text, F.lit(found)), F.lit(""))  # a match may be empty
     head = F.substring(text, F.lit(1), at - 1)
     return F.when(at > 0, F.concat(head, F.regexp_replace(hit, found, replacement), F.substring(text, at + F.length(hit), F.length(text)))).otherwise(text)
 

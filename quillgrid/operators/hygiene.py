@@ -10,9 +10,13 @@ from .. import constants as K
 from ..functions import text as T
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def nfc(text: Column) -> Column:
+    """Composed (normal form C); Spark has no function for it."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+    return F.pandas_udf(compose, "string")(text)
 
 
 def repaired(text: Column) -> Column:

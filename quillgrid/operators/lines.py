@@ -52,6 +52,8 @@ def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hy
     cross is that of its first token. A line that ends with a hyphen takes the first word of one that begins with a small letter.
     """
     keys = ", ".join(f"`{c}` {k}" for c, k in tokens.dtypes if c in page)
+    columns = [c.split()[0] for c in LINE.split(", ")]
+    order = [c for c in tokens.columns if c in page] + columns
 
     def work(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("idx", kind="stable").reset_index(drop=True)
@@ -71,10 +73,10 @@ def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hy
             lines.append([0, text, cross, g["along"].min(), g["cross"].min(), g["end"].max(), (g["cross"] + g["height"]).max(), font, len(g), runs])
         lines.sort(key=lambda x: sign * x[2])
         lines = joined(lines) if join_hyphens else lines
-        out = pd.DataFrame([[k, *x[1:]] for k, x in enumerate(lines)], columns=[c.split()[0] for c in LINE.split(", ")])
+        out = pd.DataFrame([[k, *x[1:]] for k, x in enumerate(lines)], columns=columns)
         for c in page:
             out[c] = t[c].iloc[0] if len(t) else None
-        return out[[c for c, _ in tokens.dtypes if c in page] + [c.split()[0] for c in LINE.split(", ")]]
+        return out[order]
 
     return tokens.groupBy(*page).applyInPandas(work, f"{keys}, {LINE}")
 

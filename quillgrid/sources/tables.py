@@ -24,3 +24,19 @@ def text_items(docs: DataFrame) -> DataFrame:
         (6 * F.length("str")).cast("double").alias("width"), F.lit(10.0).alias("height"),
         F.when(F.col("line_no") == 0, "Head@14").otherwise("Body@10").alias("font_key"),
     )
+
+
+def emitted_items(docs: DataFrame) -> DataFrame:
+    """text_items as a page description may emit them: a blank item after each word but a line's last, each seventh word again a quarter
+    of a point to the right, and each eleventh again where it is. doc_id, page, idx, str, x, width, a..f (the matrix), line_no, word_no."""
+    words = text_items(docs)
+    last = F.max("word_no").over(Window.partitionBy("doc_id", "line_no"))
+    kinds = F.array_compact(F.array(F.lit(0), F.when(F.col("word_no") % 7 == 3, 1), F.when(F.col("word_no") % 11 == 5, 2), F.when(F.col("word_no") < last, 3)))
+    x = words.withColumn("kinds", kinds).withColumn("kind", F.explode("kinds"))
+    place = F.when(F.col("kind") == 3, F.col("x") + F.col("width")).otherwise(F.col("x") + F.when(F.col("kind") == 1, 0.25).otherwise(0.0))
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no", "word_no", "kind")
+    size = F.regexp_extract("font_key", "@([0-9.]+)$", 1).cast("double")
+    return x.select(
+        "doc_id", "page", (F.row_number().over(page) - 1).alias("idx"), F.when(F.col("kind") == 3, " ").otherwise(F.col("str")).alias("str"), place.alias("x"),
+        F.when(F.col("kind") == 3, 6.0).otherwise(F.col("width")).alias("width"), size.alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), size.alias("d"), place.alias("e"), F.col("y").alias("f"), "line_no", "word_no",
+    )
