@@ -159,3 +159,53 @@ def hue_neighbours(pictures: DataFrame, book: list[str], tolerance: float = 15,
     other = hues.select(*book, F.col("hue").alias("_h"), F.col("n").alias("_n"))
     near = hues.join(other, book).where(G.hue_distance(F.col("hue"), F.col("_h")) <= tolerance).groupBy(*book, "hue").agg(F.sum("_n").alias("near"))
     return pictures.join(near, [*book, "hue"]).withColumn("ornament", F.col("near") >= least)
+
+
+def first_class(background: bool = False) -> Column:
+    """struct(kind, reason): a picture's class before others are looked at; the first rule that fits.
+
+    Columns: obj_id, evidence, max_area, max_opacity, width, height (pixels), shared_pages, is_masked, blended, mirrored (painted in two
+    orientations on one page), bleeds, is_flush, extreme, is_large (300 points), text (coverage by text, the most of its places) and center_text
+    (of its middle half), word_text and center_words (by words; null: not known), common_background, painted_over. background: pictures that bleed are taken for content.
+    """
+    c, lit = F.col, F.lit
+    area, alpha = c("max_area"), c("max_opacity")
+    opaque = alpha.isNull() | (alpha >= 0.95)
+    clear = F.coalesce(alpha <= 0.65, lit(False))
+    backdrop = F.coalesce(alpha <= F.when((area >= 0.1) & c("blended"), 0.35).otherwise(0.25), lit(False))
+    known = (c("width") > 0) & (c("height") > 0)
+    edge = F.when(known, F.greatest("width", "height"))
+    aspect = F.when(known, edge / F.least("width", "height"))
+    masked = c("obj_id").isNotNull() & c("is_masked")
+    sure = lambda x: F.coalesce(x, lit(False))
+    text_on = F.when(c("word_text").isNotNull(), c("word_text") >= 0.15).otherwise(c("center_text") >= 0.15)
+    covered = c("center_text") >= F.when(c("is_flush"), 0.4).otherwise(0.15)
+    big = area >= 0.4
+    often, bleeds_, geometry = c("shared_pages") >= 5, c("bleeds"), sure(c("evidence") == "geometry")
+    over = (c("text") >= 0.15) & ~c("is_large")
+    rules = [
+        (c("evidence") == "group", "mask", "Z1-mask-evidence-group"), (c("evidence") == "opcode", "mask", "Z1-mask-evidence-opcode"),
+        ((area < 0.05) & c("mirrored"), "decoration", "Z25-repeated-on-page"),
+        (often & bleeds_, "decoration", "Z1-multi-page-correlated"), (often & c("extreme"), "decoration", "Z14-repeated-extreme-aspect-ratio"), (often, "undecided", "Z11-repeated-no-bleed-evidence"),
+        (bleeds_ & lit(not background) & c("common_background") & (c("shared_pages") == 1) & (area >= 0.9) & opaque & ~c("blended") & text_on & ~c("painted_over"), "undecided", "Z1-full-page-document"),
+        (bleeds_ & covered, *(("content", "Z1-full-bleed-forced-content") if background else ("decoration", "Z1-full-bleed-background"))),
+        (bleeds_ & masked & (area >= 0.3) & (area < 0.75) & ~clear & ~(~opaque & c("blended")), "undecided", "Z12-bleeding-masked-large-picture"), (bleeds_ & masked, "decoration", "Z12-bleeding-masked-cutout"),
+        (bleeds_ & clear & (area >= 0.3) & ~backdrop, "undecided", "Z12-bleeding-translucent-panel"), (bleeds_ & clear, "decoration", "Z12-bleeding-translucent-overlay"),
+        (bleeds_ & sure(aspect >= 3) & (area < 0.1), "decoration", "Z24-small-bleeding-strip"), (bleeds_ & c("is_flush"), "undecided", "Z12-flush-no-center-text-evidence"), (bleeds_, "undecided", "Z12-bleeding-no-center-text-evidence"),
+        (geometry & big & c("is_large"), "content", "Z2-strong-content-overrides-weak-geometry-evidence"), (geometry & big, "undecided", "Z1-conflicting-geometry-mask-vs-large-area"), (geometry, "undecided", "Z1-weak-geometry-mask-evidence"),
+        (over & (area >= 0.03) & opaque & c("blended"), "undecided", "Z9-text-beside-blended-picture"), (over & area.between(0.02, 0.1) & opaque, "undecided", "Z9-text-over-small-picture"),
+        (over & (area >= 0.02) & opaque & sure(c("center_words") <= 0.03), "undecided", "Z9-text-wraps-around-picture"), (over, "decoration", "Z9-high-body-text-coverage"),
+        (c("center_text") >= 0.15, "undecided", "Z10-high-center-text-coverage"), (big, "content", "Z1-large-relative-area"), (c("evidence").isNull() & (area >= 0.09), "content", "Z2-moderate-area-no-mask-evidence"),
+        (masked & backdrop & sure(edge <= 300) & (area < 0.06), "decoration", "Z20-small-translucent-masked-raster"), (masked & sure(alpha <= 0.5) & sure(aspect >= 3) & (area < 0.06), "decoration", "Z25-translucent-masked-strip"),
+        (masked & sure(aspect >= 5) & (area < 0.15), "decoration", "Z23-masked-strip"), (masked & sure(edge <= 300) & sure(aspect >= 2) & (area < 0.03), "decoration", "Z15-small-masked-raster"),
+        (c("extreme"), "undecided", "Z13-extreme-aspect-ratio-undecided"), (lit(True), "undecided", "Z1-no-strong-signal"),
+    ]
+    return F.coalesce(*[F.when(when, F.struct(lit(kind).alias("kind"), lit(why).alias("reason"))) for when, kind, why in rules])
+
+
+def keep_one_of_equal(pictures: DataFrame, book: list[str]) -> DataFrame:
+    """pictures (the book's columns, id, hash, occurrences, area, pixels) with canonical and copies: of those of one hash that of most occurrences, ties: the least id. From 0.05 of the page on the pixels' hash must be equal too."""
+    key = F.when(F.col("area") >= 0.05, F.concat_ws("|", "hash", "pixels")).otherwise(F.col("hash"))
+    w = Window.partitionBy(*book, "_key").orderBy(F.desc("occurrences"), "id")
+    x = pictures.withColumn("_key", key)
+    return x.withColumn("canonical", F.first("id").over(w)).withColumn("copies", F.count("*").over(Window.partitionBy(*book, "_key"))).drop("_key")

@@ -2,7 +2,8 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .. import constants as K
 
@@ -96,3 +97,50 @@ def joined(lines: list[list]) -> list[list]:
             continue
         out.append(list(line))
     return out
+
+
+def split_edges(runs: DataFrame, line: list[str]) -> DataFrame:
+    """The line's columns, part (from 0), text, font_key, runs: a line's runs (run, font_key, text, in order of run) with those at its edges apart that aren't in its commonest font.
+
+    The font of most characters is the commonest, the first on a tie. Runs before its first one are each a part if they have fewer characters than the
+    rest; so are those behind its last one. What lies between stays together. Lines of one font are one part.
+    """
+    whole, order = Window.partitionBy(*line), Window.partitionBy(*line).orderBy("run")
+    x = runs.withColumn("_n", F.length("text")).withColumn("_sum", F.sum("_n").over(Window.partitionBy(*line, "font_key"))).withColumn("_at", F.min("run").over(Window.partitionBy(*line, "font_key")))
+    best = F.max(F.struct("_sum", (-F.col("_at")).alias("a"), "font_key")).over(whole)["font_key"]
+    x = x.withColumn("_best", best).withColumn("_total", F.sum("_n").over(whole))
+    main = F.when(F.col("font_key") == F.col("_best"), F.col("run"))
+    x = x.withColumn("_a", F.min(main).over(whole)).withColumn("_z", F.max(main).over(whole))
+    x = x.withColumn("_head", F.sum(F.when(F.col("run") < F.col("_a"), F.col("_n")).otherwise(0)).over(whole)).withColumn("_tail", F.sum(F.when(F.col("run") > F.col("_z"), F.col("_n")).otherwise(0)).over(whole))
+    head = (F.col("run") < F.col("_a")) & (F.col("_head") < F.col("_total") - F.col("_head"))
+    tail = (F.col("run") > F.col("_z")) & (F.col("_tail") < F.col("_total") - F.col("_tail"))
+    x = x.withColumn("_alone", head | tail)
+    x = x.withColumn("_new", (F.col("_alone") | F.coalesce(F.lag("_alone").over(order), F.lit(True))).cast("int"))
+    x = x.withColumn("part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    parts = x.groupBy(*line, "part").agg(F.array_sort(F.collect_list(F.struct("run", "text"))).alias("_t"), F.count("*").alias("runs"), F.max(F.struct("_sum", (-F.col("_at")).alias("a"), "font_key"))["font_key"].alias("font_key"))
+    return parts.select(*line, "part", F.array_join(F.transform("_t", lambda t: t["text"]), "").alias("text"), "font_key", "runs")
+
+
+def repair_gutters(lines: DataFrame, gutters: DataFrame, page: list[str], least: float = 0.85) -> DataFrame:
+    """lines (the page's columns, line, min_x, max_x, tokens: array of text, min_x, max_x) parted where they cross gutters (the page's columns, confidence, all: array of
+    min_x, max_x): fragment (from 0; null: left whole), text, min_x, max_x.
+
+    A line is parted if the columns are sure enough, none of its tokens reaches into a gutter that it crosses, and every part has a token.
+    """
+    x = lines.join(gutters, page, "left")
+    crossed = F.when(F.col("confidence") >= least, F.filter("all", lambda g: (F.col("min_x") < g["min_x"]) & (F.col("max_x") > g["max_x"])))
+    x = x.withColumn("_g", F.coalesce(crossed, F.array().cast("array<struct<min_x:double,max_x:double>>")))
+    free = ~F.exists("_g", lambda g: F.exists("tokens", lambda t: (t["max_x"] > g["min_x"]) & (t["min_x"] < g["max_x"])))
+    place = lambda t: F.size(F.filter(F.col("_g"), lambda g: g["max_x"] <= t["min_x"]))
+    x = x.withColumn("_p", F.transform("tokens", lambda t: place(t)))
+    ok = (F.size("_g") > 0) & free & (F.size(F.array_distinct("_p")) == F.size("_g") + 1)
+    x = x.withColumn("fragment", F.explode(F.when(ok, F.sequence(F.lit(0), F.size("_g"))).otherwise(F.array(F.lit(None).cast("int")))))
+    own = F.filter("tokens", lambda t: F.col("fragment").isNull() | (place(t) == F.col("fragment")))
+    x = x.withColumn("tokens", own)
+    return x.select(*page, "line", "fragment", F.array_join(F.transform("tokens", lambda t: t["text"]), " ").alias("text"), F.array_min(F.transform("tokens", lambda t: t["min_x"])).alias("min_x"), F.array_max(F.transform("tokens", lambda t: t["max_x"])).alias("max_x"))
+
+
+def gutter_crossings(repaired: DataFrame, gutters: DataFrame, page: list[str]) -> DataFrame:
+    """The page's columns and crossing: lines that still cross a gutter of sure columns with no token in it."""
+    x = repaired.join(gutters, page)
+    return x.groupBy(*page).agg(F.count_if(F.exists("all", lambda g: (F.col("min_x") < g["min_x"]) & (F.col("max_x") > g["max_x"]))).alias("crossing"))
