@@ -58,6 +58,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def parts_for(df: DataFrame, per: int = 256 << 20, most: int = 4096) -> int:
+    """How many tasks to deal df's rows to: as the session says, or more where the plan's size (known from files without reading them) asks for it; at most `most`."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n_parts(df.sparkSession), min(most, -(-size // per)) if size < 1 << 60 else 0)  # sizes beyond mean: not known
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
     """A broadcast hint where df has at most `limit` (narrow) rows; beyond, Spark's shuffled join, which can split hot keys."""
     return F.broadcast(df) if rows <= limit else df

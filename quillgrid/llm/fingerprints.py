@@ -158,7 +158,7 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, parts: int | None = None)
 
     spark = docs.sparkSession
     C.small_batches(spark)
-    parts = parts or C.n_parts(spark)
+    parts = parts or C.parts_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bucket = F.expr(C.bucket_expr("doc_id", C.cuts_of(docs, "doc_id", 2 * parts)))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
@@ -170,7 +170,7 @@ def fingerprint(docs: DataFrame, *, samples: int = 64, parts: int | None = None)
         .join(guests, F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
         .withColumn("guest", F.explode(F.when(F.col("guest_of").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
         .select(F.when(F.col("guest"), F.col("guest_of")).otherwise(F.col("r")).alias("r"), "guest", "doc_id", "text")
-        .repartition(parts, "r")
+        .repartitionById(parts, F.col("r"))
         .sortWithinPartitions("r", "guest", "doc_id", "text")
     )
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -39,8 +39,8 @@ BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|copyright|legal|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|recirc\w*|widget|login|signup|search|pagination|pager|toc|tags|meta|byline)(?:$|[\s_-])",
     re.I,
 )
+OWN_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|legal)(?:$|[\s_-])", re.I)  # an article's own head, or a text about law
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -114,7 +114,8 @@ def blocks_of(page: str) -> list[dict]:
         _, where, in_main, in_comments = stack[-1] if stack else ("", "", False, False)
         named, role, hidden = names_of(attributes) if attributes.strip() else ("", "", False)
         in_comments = in_comments or hidden or bool(COMMENTS.search(named))
-        bad = tag in DROPPED or hidden or role in BAD_ROLE or (BAD_NAME.search(named) is not None and tag not in ("body", "html") and not (tag in MAIN and not in_comments))
+        told = OWN_NAME.sub(" ", named) if in_main and not in_comments else named
+        bad = tag in DROPPED or hidden or role in BAD_ROLE or (BAD_NAME.search(told) is not None and tag not in ("body", "html") and not (tag in MAIN and not in_comments))
         if tag == "header" and not in_main:
             bad = True
         if tag in MAIN or role in ("main", "article"):
@@ -149,6 +150,17 @@ def stop_share(words: list[str], stop: frozenset) -> float:
 STOP_SETS = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 
 
+def decided_around(labels: list[bool | None]) -> tuple[list[bool | None], list[bool | None]]:
+    """The nearest decided label before each place, and after it."""
+    before, after = [], []
+    for out, row in ((before, labels), (after, labels[::-1])):
+        last = None
+        for x in row:
+            out.append(last)
+            last = last if x is None else x
+    return before, after[::-1]
+
+
 def labels_of(blocks: list[dict], main: tuple[str, ...] = ("main",)) -> list[bool]:
     """Whether each block is content, by both passes; blocks with a `where` of `main` are in a main part."""
     words = [re.findall(r"\w+", b["text"].lower()) for b in blocks]
@@ -170,12 +182,11 @@ def labels_of(blocks: list[dict], main: tuple[str, ...] = ("main",)) -> list[boo
     if sum(n for n, i, x in zip(sizes, inside, first, strict=True) if i and x is not False) > sum(n for n, i, x in zip(sizes, inside, first, strict=True) if not i and x):
         first = [x if i else bool(x and n >= LONG and share >= STOP_HIGH and l == 0) for x, i, n, share, l in zip(first, inside, sizes, shares, links, strict=True)]
     labels = list(first)
-    in_parts = [x if i else None for x, i in zip(first, inside, strict=True)]
+    nearest = {False: decided_around(first), True: decided_around([x if i else None for x, i in zip(first, inside, strict=True)])}
     for k, label in enumerate(first):
         if label is None:
-            near = in_parts if inside[k] else first
-            before = next((x for x in reversed(near[:k]) if x is not None), None)
-            after = next((x for x in near[k + 1 :] if x is not None), None)
+            near = nearest[inside[k]]
+            before, after = near[0][k], near[1][k]
             alone = before is None and after is None
             labels[k] = bool(after if heading[k] and after is not None else alone or (before and after) or ((before or after) and blocks[k]["linked"] == 0))
     return labels
@@ -191,7 +202,10 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html); null or empty html: empty text. No shuffle."""
+    """page_id, url, text, n_chars (code points) of every row of pages (page_id, url, html); null or empty html: empty text. No shuffle.
+
+    Repeated rows and ids each have their row; an empty table gives none. Time and memory are in proportion to a page's length, however long.
+    """
     C.small_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
 

@@ -189,4 +189,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select("text", *keep).mapInArrow(C.tidied(work, "letters"), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return docs.select("text", *[c for c in keep if c != "text"]).mapInArrow(C.tidied(work, "letters"), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))

@@ -189,10 +189,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
     """
     spark = docs.sparkSession
     C.small_batches(spark, 4096, "8m")
-    parts = parts or C.n_parts(spark)
+    parts = parts or C.parts_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = C.cuts_of(docs, "doc_id", 2 * parts)
-    dealt = docs.withColumn("r", F.expr(C.bucket_expr("doc_id", cuts))).repartition(parts, "r").sortWithinPartitions("r", "doc_id", "text")
+    dealt = docs.withColumn("r", F.expr(C.bucket_expr("doc_id", cuts))).repartitionById(parts, F.col("r")).sortWithinPartitions("r", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid

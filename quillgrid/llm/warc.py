@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, out: str, *, min_dedupe_bytes: int = 0, roll_by
     """
     spark = pages.sparkSession
     C.small_batches(spark)
-    parts = parts or C.n_parts(spark)
+    parts = parts or C.parts_for(pages)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     slim = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= min_dedupe_bytes).select("page_id", "digest")
     top = slim.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
@@ -110,7 +110,7 @@ def write_warc(pages: DataFrame, out: str, *, min_dedupe_bytes: int = 0, roll_by
         pages.select("page_id", F.lit(1).alias("kind"), "url", "html", void("string").alias("digest"), void("long").alias("top"))
     )
     bucket = F.expr(C.bucket_expr("page_id", C.cuts_of(pages, "page_id", 2 * parts)))
-    dealt = rows.withColumn("r", bucket).repartition(parts, "r").sortWithinPartitions("r", "page_id", "kind", "url", "html")
+    dealt = rows.withColumn("r", bucket).repartitionById(parts, F.col("r")).sortWithinPartitions("r", "page_id", "kind", "url", "html")
     schema = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,89 @@ def test_language_sample_has_texts_once(spark, monkeypatch):
     assert len({(y, at.tobytes(), tf.tobytes()) for y, at, tf in seen}) >= len(seen) - 1
 
 
+def test_language_against_brute_force(spark, docs):
+    """Chances from n-grams counted one by one, weighed by TF-IDF, and the model's weights."""
+    import math
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(d.where("doc_id % 4 <> 2"), per_lang=30)
+    df = collections.Counter(at for r in d.where("doc_id % 4 <> 2").collect() if (f := language.features(r["text"])) for at in f[0].tolist())
+    n = d.where("doc_id % 4 <> 2").count()
+    rows = docs.union(d.selectExpr("doc_id + 1000", "text", "lang", *[f"CAST(NULL AS {k}) AS {c}" for c, k in docs.dtypes[3:]])).collect()
+    frame = spark.createDataFrame(rows, docs.schema)
+    got = collections.Counter((r["text"], r["lang_pred"], round(r["score"], 4)) for r in language.predict(frame, model, ["text"]).collect())
+    want = collections.Counter()
+    for r in rows:
+        f = language.features(r["text"]) if r["text"] else None
+        if f is None:
+            want[r["text"], "und", 0.0] += 1
+            continue
+        x = {at: tf * (math.log((1 + n) / (1 + df[at])) + 1) for at, tf in zip(*map(list, f), strict=True)}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / size * float(model.w[at][k]) for at, v in x.items()) / model.t for k in range(len(model.langs))]
+        p = [math.exp(v - max(z)) for v in z]
+        want[r["text"], model.langs[p.index(max(p))], round(max(p) / sum(p), 4)] += 1
+    assert sum((got - want).values()) <= 0.02 * len(rows)  # of scores that rounding parts
+    assert {(t, y) for t, y, _ in got} == {(t, y) for t, y, _ in want}
+
+
+def brute_labels(blocks):
+    """The two passes, block by block, from their description."""
+    share = lambda ws: sum(w in s for w in ws) / len(ws) if ws else 0.0
+    words = [[w for w in html.re.findall(r"\w+", b["text"].lower())] for b in blocks]
+    s = frozenset()
+    pool = [w for b, ws in zip(blocks, words, strict=True) if b["where"] in ("", "main") for w in ws]
+    best = -1.0
+    for stop in html.STOP_SETS.values():
+        s, kept = stop, s
+        if share(pool) > best:
+            best = share(pool)
+        else:
+            s = kept
+    first = []
+    for b, ws in zip(blocks, words, strict=True):
+        inside, n, link = b["where"] == "main", len(b["text"]), b["linked"] / len(b["text"])
+        head = b["tag"] in {f"h{k}" for k in range(1, 7)}
+        if b["where"] not in ("", "main") or (link > 0.33 and not (inside and head)) or ("©" in b["text"][:200] and not (inside and n >= 200)):
+            first.append(False)
+        elif link <= 0.33 and ((n >= 70 and share(ws) >= (0.12 if inside else 0.2)) or (n >= 200 and (share(ws) >= 0.12 or link == 0))):
+            first.append(True)
+        else:
+            first.append(None)
+    total = lambda where, keep: sum(len(b["text"]) for b, x in zip(blocks, first, strict=True) if (b["where"] == "main") == where and keep(x))
+    if total(True, lambda x: x is not False) > total(False, lambda x: x is True):
+        first = [x if b["where"] == "main" else bool(x) and len(b["text"]) >= 200 and share(ws) >= 0.2 and b["linked"] == 0 for b, ws, x in zip(blocks, words, first, strict=True)]
+    out = []
+    for k, (b, x) in enumerate(zip(blocks, first, strict=True)):
+        if x is None:
+            near = [(abs(j - k), j > k, y) for j, (o, y) in enumerate(zip(blocks, first, strict=True)) if y is not None and (o["where"] == "main" or b["where"] != "main")]
+            before = min((t for t in near if not t[1]), default=(0, 0, None))[2]
+            after = min((t for t in near if t[1]), default=(0, 0, None))[2]
+            if b["tag"] in {f"h{j}" for j in range(1, 7)} and after is not None:
+                x = after
+            elif before is None and after is None:
+                x = True
+            else:
+                x = bool((before and after) or ((before or after) and b["linked"] == 0))
+        out.append(x)
+    return out
+
+
+def test_passes_against_brute_force():
+    import duckdb
+
+    rng = random.Random(23)
+    pages = [t for (t,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    lots = [html.blocks_of(p) for p in pages] + [html.blocks_of(p.replace("article", "div").replace("main", "div")) for p in pages]
+    for _ in range(400):
+        lots.append([{"text": text_of(rng, rng.choice([1, 3, 10, 30, 60])), "where": rng.choice(["", "", "main", "bad"]), "tag": rng.choice(["p", "p", "h2", "li"]), "linked": 0} for _ in range(rng.randint(1, 12))])
+        for b in lots[-1]:
+            b["linked"] = rng.choice([0, 0, len(b["text"]) // 2, len(b["text"]) // 5])
+    assert all(html.labels_of(b) == brute_labels(b) for b in lots)
+    assert html.main_text("<article><div class='article-header'><h1>Title</h1></div><p>Body text.</p></article>") == "Title\nBody text."
+    assert html.main_text("<article><section class='legal'><p>Law here.</p></section></article>") == "Law here."
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(5)
     item = "Which stone did the green lamp hide under winter paper by the river? It hid the seventh quiet amber pebble of Orlan."
