@@ -73,6 +73,7 @@ MASK_OVERLAP = 0.95
 MASK_LOOK_BACK = 3
 MASK_LOOK_AHEAD = 5
 CO_MEMBER_SHARE = 0.05
+GROUP_OVERLAP = 0.2
 SCENE_AREA = 0.4
 HANDOUT_AREA = 0.1
 SCENE_EDGE = 2048

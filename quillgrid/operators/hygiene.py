@@ -1,5 +1,6 @@
 """Items as they are emitted: word boundaries, duplicates, repaired text."""
 
+import math
 import unicodedata
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from .perpage import per_page, with_field
 
 
 def nfc(text: Column) -> Column:
@@ -50,34 +52,29 @@ def drop_duplicates(items: DataFrame, page: list[str]) -> DataFrame:
     """items without repeats among the next three of their page, with bold: whether a copy shifted by under half a point was one.
 
     In order of idx, an item takes the first of the next three that no other has taken and that equals it in str and
-    matrix (a..f), or in all but a shift; one taken is gone and takes none. Pages go to tasks whole; only items with
-    such a neighbour are looked at one by one.
+    matrix (a..f), or in all but a shift; one taken is gone and takes none. Pages go to tasks whole.
     """
-    schema = items.drop("bold").schema.add("bold", "boolean")
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable").reset_index(drop=True)
-        n, gone, bold = len(rows), set(), [False] * len(rows)
-        kinds: dict[tuple[int, int], bool] = {}
-        for step in range(1, K.DUPLICATE_LOOKAHEAD + 1):
-            a, b = rows.iloc[: n - step], rows.iloc[step:].reset_index(drop=True)
-            same = a["str"].eq(b["str"])
-            for c in "abcd":
-                same &= a[c].eq(b[c])
-            far = ((a["e"] - b["e"]) ** 2 + (a["f"] - b["f"]) ** 2) ** 0.5
-            for i in same.index[same & (far < K.BOLD_MAX_SHIFT)]:
-                kinds[i, i + step] = bool(far[i] > 0)
-        for i in sorted({i for i, _ in kinds}):
+    items = items.drop("bold")
+    schema, names = with_field(items, "bold", "boolean"), items.columns
+
+    def work(t: dict[str, list]) -> list[tuple]:
+        text, where = t["str"], list(zip(*(t[c] for c in "abcd"), strict=True))
+        x, y, n = t["e"], t["f"], len(t["str"])
+        gone, bold = set(), [False] * n
+        for i in range(n):
             if i in gone:
                 continue
-            j = next((i + s for s in range(1, K.DUPLICATE_LOOKAHEAD + 1) if (i, i + s) in kinds and i + s not in gone), None)
-            if j is not None:
-                gone.add(j)
-                bold[i] = kinds[i, j]
-        rows["bold"] = bold
-        return rows.drop(index=list(gone))
-
-    return items.groupBy(*page).applyInPandas(work, schema)
+            for j in range(i + 1, min(n, i + K.DUPLICATE_LOOKAHEAD + 1)):
+                if j not in gone and text[j] == text[i] and where[j] == where[i]:
+                    far = math.hypot(x[j] - x[i], y[j] - y[i])
+                    if far < K.BOLD_MAX_SHIFT:
+                        gone.add(j)
+                        bold[i] = far > 0
+                        break
+        rows = zip(*(t[c] for c in names), bold, strict=True)
+        return [r for k, r in enumerate(rows) if k not in gone]
+
+    return per_page(items, page, ["idx"], schema, work)
 
 
 def clean(items: DataFrame, page: list[str]) -> DataFrame:

@@ -3,11 +3,14 @@
 An occurrence is a row with page, idx (the order of painting on the page), obj_id and bbox.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geometry as G
+from .perpage import per_page, with_field
 
 
 def _overhangs(r: Column, page: Column) -> list[Column]:
@@ -209,3 +212,194 @@ def keep_one_of_equal(pictures: DataFrame, book: list[str]) -> DataFrame:
     w = Window.partitionBy(*book, "_key").orderBy(F.desc("occurrences"), "id")
     x = pictures.withColumn("_key", key)
     return x.withColumn("canonical", F.first("id").over(w)).withColumn("copies", F.count("*").over(Window.partitionBy(*book, "_key"))).drop("_key")
+
+
+def components(rows, links) -> list[int]:
+    """The least index that links lead to, of each of so many rows."""
+    root = list(range(rows))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(rows)]
+
+
+def _boxes(boxes) -> np.ndarray:
+    return np.array([[b["minX"], b["minY"], b["maxX"], b["maxY"]] for b in boxes], float).reshape(-1, 4)
+
+
+def _touching(boxes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of boxes that overlap, by `least` of the smaller one at least; found from left to right, so that far ones never meet."""
+    out = []
+    order = np.argsort(boxes[:, 0], kind="stable")
+    x0, y0, x1, y1 = boxes[order].T
+    area = (x1 - x0) * (y1 - y0)
+    for i in range(len(order)):
+        j = np.arange(i + 1, np.searchsorted(x0, x1[i]))
+        w = np.minimum(x1[i], x1[j]) - x0[j]
+        h = np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j])
+        small = np.minimum(area[i], area[j])
+        hit = (w > 0) & (h > 0) & (x0[i] < x1[j]) & ((least <= 0) | ((small > 0) & (w * h >= least * small)))
+        out += [(int(order[i]), int(order[k])) for k in j[hit]]
+    return out
+
+
+def overlap_clusters(items: DataFrame, page: list[str], least: float = 0.0) -> DataFrame:
+    """items (the page's columns, idx, bbox) with cluster, from 0 in order of each page's first items: linked by overlap (of `least` of the smaller area), however many between. Pages go to tasks whole."""
+
+    items = items.drop("cluster")
+    names = items.columns
+
+    def work(t: dict[str, list]) -> list[tuple]:
+        numbers: dict[int, int] = {}
+        found = [numbers.setdefault(r, len(numbers)) for r in components(len(t["idx"]), _touching(_boxes(t["bbox"]), least))]
+        return list(zip(*(t[c] for c in names), found, strict=True))
+
+    return per_page(items, page, ["idx"], with_field(items, "cluster", "long"), work)
+
+
+def candidate_groups(items: DataFrame, page: list[str]) -> DataFrame:
+    """items (the page's columns, idx, bbox, kind: alone, anchor or rest) with group, from 0: those that stand alone are each one; anchors are linked where they overlap
+    by 0.2 of the smaller one; another joins the anchor it shares most area with (the first of equal ones), if that is as much; what is left is linked by any overlap."""
+
+    items = items.drop("group")
+    names = items.columns
+
+    def work(t: dict[str, list]) -> list[tuple]:
+        boxes, kind = _boxes(t["bbox"]), t["kind"]
+        anchors, group = [k for k, x in enumerate(kind) if x == "anchor"], {}
+        of = {anchors[i]: ("a", anchors[r]) for i, r in enumerate(components(len(anchors), _touching(boxes[anchors], K.GROUP_OVERLAP)))}
+        left = []
+        for k, x in enumerate(kind):
+            if x == "alone":
+                of[k] = ("s", k)
+            elif x == "rest":
+                w = np.minimum(boxes[k, 2], boxes[anchors, 2]) - np.maximum(boxes[k, 0], boxes[anchors, 0])
+                h = np.minimum(boxes[k, 3], boxes[anchors, 3]) - np.maximum(boxes[k, 1], boxes[anchors, 1])
+                shared = np.where((w > 0) & (h > 0), w * h, 0.0)
+                best = int(shared.argmax()) if len(anchors) else -1
+                size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+                if best >= 0 and shared[best] > 0 and shared[best] >= K.GROUP_OVERLAP * min(size(boxes[k]), size(boxes[anchors[best]])):
+                    of[k] = of[anchors[best]]
+                else:
+                    left.append(k)
+        of |= {left[i]: ("r", left[r]) for i, r in enumerate(components(len(left), _touching(boxes[left], 0.0)))}
+        found = [group.setdefault(of[k], len(group)) for k in range(len(kind))]
+        return list(zip(*(t[c] for c in names), found, strict=True))
+
+    return per_page(items, page, ["idx"], with_field(items, "group", "long"), work)
+
+
+def units(items: DataFrame, page: list[str]) -> DataFrame:
+    """The page's columns, group, representative (idx), bbox, members, kind, reason of groups of items (with area, class, reason, translucent, is_masked; a page's box).
+
+    The largest member stands for the unit (the first of equal ones); an undecided translucent one gives way to the largest solid masked
+    one of 0.05 of the page or more. Several members that together cover more than 0.85 of the page are undecided, without a signal.
+    """
+    size = F.struct("area", (-F.col("idx")).alias("k"), "idx", "class", "reason", "translucent")
+    solid = ~F.col("translucent") & F.col("is_masked") & (F.col("area") >= K.CO_MEMBER_SHARE)
+    g = items.groupBy(*page, "group").agg(
+        F.max(size).alias("most"), F.max(F.when(solid, size)).alias("photo"), F.count("*").alias("members"), F.first("box").alias("box"),
+        G.rect(F.min("bbox.minX"), F.min("bbox.minY"), F.max("bbox.maxX"), F.max("bbox.maxY")).alias("bbox"),
+    )
+    mark = F.col("most.translucent") & (F.col("most.class") == "undecided") & F.col("photo").isNotNull()
+    g = g.withColumn("best", F.when(mark, F.col("photo")).otherwise(F.col("most")))
+    wide = (F.col("members") > 1) & (G.relative_area(F.col("bbox"), F.col("box")) > 0.85)
+    return g.select(*page, "group", F.col("best.idx").alias("representative"), "bbox", "members", F.when(wide, "undecided").otherwise(F.col("best.class")).alias("kind"), F.when(wide, "Z1-no-strong-signal").otherwise(F.col("best.reason")).alias("reason"))
+
+
+def split_by_content(entries: DataFrame, group: list[str], most: float = 12) -> DataFrame:
+    """entries (the group's columns, seq, fingerprint) with part, from 0: in order of seq, each joins the first part whose first member's fingerprint differs by at most `most` on average, or begins one; those without a fingerprint are of the first."""
+
+    def work(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq", kind="stable").reset_index(drop=True)
+        heads, out = [], []
+        for f in t["fingerprint"]:
+            if f is None:
+                out.append(0)
+                continue
+            f = np.asarray(f, float)
+            k = next((k for k, h in enumerate(heads) if np.abs(h - f).mean() <= most), len(heads))
+            if k == len(heads):
+                heads.append(f)
+            out.append(k)
+        t["part"] = out
+        return t
+
+    return entries.groupBy(*group).applyInPandas(work, with_field(entries.drop("part"), "part", "long"))
+
+
+def first_place(boxes: DataFrame, key: list[str], gap: float = 2.0) -> DataFrame:
+    """The key's columns and place: a picture's first box (in order of seq) united with all that lie on it or within `gap` points, and again, until none does."""
+
+    def work(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq", kind="stable")
+        rest = _boxes(t["bbox"])
+        at, rest = rest[0].copy(), rest[1:]
+        while len(rest):
+            near = (rest[:, 0] <= at[2] + gap) & (rest[:, 2] >= at[0] - gap) & (rest[:, 1] <= at[3] + gap) & (rest[:, 3] >= at[1] - gap)
+            if not near.any():
+                break
+            at = np.concatenate([np.minimum(at[:2], rest[near, :2].min(0)), np.maximum(at[2:], rest[near, 2:].max(0))])
+            rest = rest[~near]
+        return pd.DataFrame([{**{c: t[c].iloc[0] for c in key}, "minX": at[0], "minY": at[1], "maxX": at[2], "maxY": at[3]}])
+
+    kinds = dict(boxes.dtypes)
+    out = boxes.groupBy(*key).applyInPandas(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "minX double, minY double, maxX double, maxY double"]))
+    return out.select(*key, F.struct("minX", "minY", "maxX", "maxY").alias("place"))
+
+
+def second_class(pictures: DataFrame, book: list[str], tiny: bool = True) -> DataFrame:
+    """pictures with kind and reason as others of their page change them; the first rule that fits.
+
+    pictures: the book's columns, page, idx (painting order), id, bbox, area (share of the page), kind, reason, opacity (null: solid), blended, is_masked, backdrop,
+    width, height. Lettering on a cover or title page, fasteners over an edge, translucent grounds under a picture, elements and backgrounds of form pages, tiny
+    ones, page backgrounds under content, and translucent copies become decoration. Pairs are of pictures of one page whose boxes meet.
+    """
+    c = F.col
+    picture = c("kind").isin("content", "undecided")
+    page = Window.partitionBy(*book, "page")
+    x = pictures.withColumn("_shown", picture & (c("area") >= 0.03))
+    small = c("area") < 0.06
+    x = x.withColumns({
+        "_tiny": F.count_if((c("kind") == "undecided") & (c("area") < 0.005)).over(page), "_small": F.count_if(small & (c("kind") != "mask")).over(page), "_all_small": F.count_if(small).over(page),
+        "_plain": F.count_if(c("reason") == "Z1-no-strong-signal").over(page), "_size": G.area(c("bbox")),
+    })
+    other = x.where("_shown").select(*book, "page", c("idx").alias("o_idx"), c("bbox").alias("o_bbox"), c("area").alias("o_area"), c("kind").alias("o_kind"), c("opacity").alias("o_opacity"), c("backdrop").alias("o_backdrop"), c("_size").alias("o_size"))
+    p = x.where("_size > 0").join(other, [*book, "page"]).where((c("idx") != c("o_idx")) & G.overlaps(c("bbox"), c("o_bbox")))
+    shared = G.area(G.intersection(c("bbox"), c("o_bbox")))
+    on, later = shared / c("_size"), c("o_idx") > c("idx")
+    flags = p.groupBy(*book, "page", "idx").agg(
+        F.bool_or(~later & (c("o_area") >= 0.9) & (c("page") == 1) & (on >= 0.9)).alias("_cover"),
+        F.bool_or(~later & (c("o_kind") == "content") & (c("_size") <= 0.125 * c("o_size")) & on.between(0.2, 0.95)).alias("_edge"),
+        F.bool_or(later & ~c("o_backdrop") & c("o_opacity").isNull() & (shared >= 0.8 * c("o_size")) & (on >= 0.25)).alias("_over"),
+        F.bool_or(later & (c("o_kind") == "content") & (c("o_area") >= 0.05)).alias("_content"),
+        F.bool_or(~later & (on >= 0.9) & (shared >= 0.6 * c("o_size"))).alias("_copy"),
+    )
+    x = x.join(flags, [*book, "page", "idx"], "left")
+    yes = lambda n: F.coalesce(c(n), F.lit(False))
+    fastener = yes("_edge") & ~c("blended") & c("reason").isin("Z1-no-strong-signal", "Z12-flush-no-center-text-evidence") & (c("area") <= 0.02)
+    x = x.withColumn("_f", fastener).withColumn("_fn", F.count_if("_f").over(page))
+    spots = x.where("_f AND _fn <= 2").groupBy(*book).agg(F.countDistinct("page").alias("_pages"))
+    x = x.join(spots, book, "left")
+    wide = lambda by: F.coalesce(c("width") >= by * c("height"), F.lit(False))
+    title = (c("page") <= 3) & (c("reason") == "Z1-no-strong-signal") & wide(1.6) & (c("_plain") <= 2)
+    cover = yes("_cover") & (c("area") < 0.9) & wide(1.5)
+    form = F.lit(tiny) & ((c("_tiny") >= 15) | (c("_all_small") >= 20))
+    undecided = c("kind") == "undecided"
+    rules = [
+        (picture & (cover | title), "Z33-lettering-over-cover"), (c("_f") & (c("_fn") <= 2) & (F.coalesce("_pages", F.lit(0)) >= 3), "Z31-fastener-over-picture-edge"),
+        (picture & c("is_masked") & c("backdrop") & (c("area") <= 0.15) & yes("_over"), "Z34-translucent-ground-under-picture"),
+        (form & undecided & (c("reason") != "Z9-text-over-small-picture") & (c("area") >= 0.005) & (c("area") < 0.06), "Z18-form-page-element"),
+        (F.lit(tiny) & undecided & (c("area") >= 0.95) & (c("_small") >= 15), "Z18-form-page-background"), (F.lit(tiny) & undecided & (c("area") < 0.005), "Z16-tiny-undecided"),
+        (c("_shown") & (c("page") > 1) & undecided & (c("area") >= 0.95) & yes("_content"), "Z22-page-background-under-content"),
+        (c("_shown") & F.coalesce(c("opacity") <= 0.65, F.lit(False)) & yes("_copy"), "Z19-translucent-copy-of-picture"),
+    ]
+    why = F.coalesce(*[F.when(when, name) for when, name in rules])
+    return x.withColumn("_why", why).select(*[c(n) for n in pictures.columns if n not in ("kind", "reason")], F.when(c("_why").isNotNull(), "decoration").otherwise(c("kind")).alias("kind"), F.coalesce("_why", "reason").alias("reason"))

@@ -1,17 +1,18 @@
 """Tokens to lines: clusters on a baseline, their text, hyphens at line ends."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as K
+from .perpage import per_page
 
 LINE = "line int, text string, cross double, min_x double, min_y double, max_x double, max_y double, font_key string, tokens int, runs int"
 
 
-def _roots(n: int, links) -> np.ndarray:
-    root = np.arange(n)
+def _roots(n: int, links) -> list[int]:
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -23,25 +24,24 @@ def _roots(n: int, links) -> np.ndarray:
         a, b = find(a), find(b)
         if a != b:
             root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)])
+    return [find(i) for i in range(n)]
 
 
-def _links(t: pd.DataFrame):
+def _links(cross: np.ndarray, size: np.ndarray, along: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray):
     """Pairs of tokens of one line: on one baseline with a gap of at most a character's size or white space between, or a much smaller one beside a larger."""
-    order = np.argsort(t["cross"].to_numpy(), kind="stable")
-    cross, size, along, end, first, last = (t[c].to_numpy()[order] for c in ("cross", "size", "along", "end", "breaks", "last_breaks"))
-    reach = K.LINE_HEIGHT_RATIO * size.max() if len(size) else 0
-    for i in range(len(order)):
-        j = np.arange(i + 1, np.searchsorted(cross, cross[i] + max(reach, 1.0), side="right"))
-        if not len(j):
-            continue
-        big, small, off = np.maximum(size[i], size[j]), np.minimum(size[i], size[j]), cross[j] - cross[i]
-        level = off <= np.maximum(1.0, big * K.BASELINE_RATIO)
-        ahead = along[i] <= along[j]
-        gap = np.where(ahead, along[j] - end[i], along[i] - end[j])
-        white = np.where(ahead, first[j] > last[i], first[i] > last[j])
-        for k in j[(level & ((gap <= big * K.TRACKING_RATIO) | white)) | (~level & (small / big <= K.SUBSCRIPT_RATIO) & (off < big * K.LINE_HEIGHT_RATIO))]:
-            yield order[i], order[k]
+    order = np.argsort(cross, kind="stable")
+    cross, size, along, end, first, last = (x[order] for x in (cross, size, along, end, first, last))
+    reach = max(K.LINE_HEIGHT_RATIO * size.max(), 1.0) if len(size) else 0
+    stop = np.searchsorted(cross, cross + reach, side="right")
+    i = np.repeat(np.arange(len(order)), stop - np.arange(len(order)) - 1)
+    j = np.concatenate([np.arange(k + 1, s) for k, s in enumerate(stop)]) if len(order) else i
+    big, small, off = np.maximum(size[i], size[j]), np.minimum(size[i], size[j]), cross[j] - cross[i]
+    level = off <= np.maximum(1.0, big * K.BASELINE_RATIO)
+    ahead = along[i] <= along[j]
+    gap = np.where(ahead, along[j] - end[i], along[i] - end[j])
+    white = np.where(ahead, first[j] > last[i], first[i] > last[j])
+    hit = (level & ((gap <= big * K.TRACKING_RATIO) | white)) | (~level & (small / big <= K.SUBSCRIPT_RATIO) & (off < big * K.LINE_HEIGHT_RATIO))
+    return zip(order[i[hit]].tolist(), order[j[hit]].tolist(), strict=True)
 
 
 def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hyphens: bool = True) -> DataFrame:
@@ -52,34 +52,32 @@ def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hy
     text has a blank where white space is between neighbours. The font is that of most characters, the first on a tie;
     cross is that of its first token. A line that ends with a hyphen takes the first word of one that begins with a small letter.
     """
-    keys = ", ".join(f"`{c}` {k}" for c, k in tokens.dtypes if c in page)
-    columns = [c.split()[0] for c in LINE.split(", ")]
-    order = [c for c in tokens.columns if c in page] + columns
-
-    def work(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("idx", kind="stable").reset_index(drop=True)
-        t["end"] = t["along"] + t["width"]
-        t["root"] = _roots(len(t), _links(t))
+    schema = StructType([tokens.schema[c] for c in page] + StructType.fromDDL(LINE).fields)
+
+    def work(t: dict[str, list]) -> list[tuple]:
+        text_of, along, cross, height, fonts, first, last = (t[c] for c in ("str", "along", "cross", "height", "font_key", "breaks", "last_breaks"))
+        end = [x + w for x, w in zip(along, t["width"], strict=True)]
+        groups: dict[int, list[int]] = {}
+        for k, root in enumerate(_roots(len(along), _links(*map(np.array, (cross, t["size"], along, end, first, last))))):
+            groups.setdefault(root, []).append(k)
         lines = []
-        for _, g in t.groupby("root", sort=True):
-            g = g.sort_values("along", kind="stable")
-            text, before = "", None
-            for s, a, z in zip(g["str"], g["breaks"], g["last_breaks"], strict=True):
-                text += (" " if before is not None and a > before else "") + s
-                before = z
-            chars = g["str"].str.len().groupby(g["font_key"], sort=False).sum()
-            font = chars.index[int(np.argmax(chars.to_numpy()))]
-            runs = int((g["font_key"] != g["font_key"].shift()).sum())
-            cross = float(g["cross"][g["font_key"] == font].iloc[0])
-            lines.append([0, text, cross, g["along"].min(), g["cross"].min(), g["end"].max(), (g["cross"] + g["height"]).max(), font, len(g), runs])
+        for rows in groups.values():
+            rows.sort(key=along.__getitem__)  # ties stay in order of idx
+            text, before, chars, runs = "", None, {}, 0
+            for n, k in enumerate(rows):
+                text += (" " if before is not None and first[k] > before else "") + text_of[k]
+                before = last[k]
+                chars[fonts[k]] = chars.get(fonts[k], 0) + len(text_of[k])
+                runs += n == 0 or fonts[k] != fonts[rows[n - 1]]
+            font = max(chars, key=chars.get)  # the first of equal ones
+            head = next(k for k in rows if fonts[k] == font)
+            lines.append([0, text, cross[head], along[rows[0]], min(cross[k] for k in rows), max(end[k] for k in rows), max(cross[k] + height[k] for k in rows), font, len(rows), runs])
         lines.sort(key=lambda x: sign * x[2])
         lines = joined(lines) if join_hyphens else lines
-        out = pd.DataFrame([[k, *x[1:]] for k, x in enumerate(lines)], columns=columns)
-        for c in page:
-            out[c] = t[c].iloc[0] if len(t) else None
-        return out[order]
+        where = tuple(t[c][0] for c in page)
+        return [(*where, k, *x[1:]) for k, x in enumerate(lines)]
 
-    return tokens.groupBy(*page).applyInPandas(work, f"{keys}, {LINE}")
+    return per_page(tokens, page, ["idx"], schema, work)
 
 
 def joined(lines: list[list]) -> list[list]:

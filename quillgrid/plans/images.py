@@ -118,3 +118,73 @@ SELECT a.book, a.id, count(*) AS near, count(*) >= 6 AS ornament FROM p a JOIN p
 def hue_ornaments(spark, sf_dir):
     p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book"), F.col("c_custkey").alias("id"), (F.floor(F.abs("c_acctbal")) % 360).alias("hue"))
     return images.hue_neighbours(p, ["book"]).select("book", "id", "near", "ornament")
+
+
+def reach_sql(rows: str, link: str, where: str = "true") -> str:
+    """cl: page, idx and the least idx that links lead to."""
+    return f"""lk AS (SELECT a.page, a.idx AS x, b.idx AS y FROM {rows} a JOIN {rows} b ON a.page = b.page AND a.idx <> b.idx AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND {link}),
+reach AS (SELECT page, idx, idx AS seen FROM {rows} UNION SELECT reach.page, reach.idx, lk.y FROM reach JOIN lk ON reach.page = lk.page AND reach.seen = lk.x), cl AS (SELECT page, idx, min(seen) AS head FROM reach GROUP BY page, idx)"""
+
+
+@query(f"WITH RECURSIVE {OCC}, {reach_sql('occ', 'true')} SELECT page, idx, dense_rank() OVER (PARTITION BY page ORDER BY head) - 1 AS cluster FROM cl")
+def picture_clusters(spark, sf_dir):
+    return images.overlap_clusters(occurrences(spark, sf_dir).select("page", F.col("idx").cast("long").alias("idx"), "bbox"), ["page"]).select("page", "idx", "cluster")
+
+
+GROUPS = f"""{OCC}, it AS (SELECT page, idx, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) / (612 * 792) AS area, CASE (page + idx) % 5 WHEN 0 THEN 'alone' WHEN 1 THEN 'anchor' WHEN 2 THEN 'anchor' ELSE 'rest' END AS kind, idx % 3 = 0 AS translucent, idx % 2 = 0 AS is_masked,
+  CASE idx % 4 WHEN 0 THEN 'undecided' ELSE 'content' END AS class FROM occ), an AS (SELECT * FROM it WHERE kind = 'anchor'), {reach_sql('an', RATIO.format(a='a', b='b') + ' >= 0.2')},
+bj AS (SELECT r.page, r.idx, a.idx AS anchor, {RATIO.format(a='r', b='a')} AS ratio FROM it r JOIN an a ON r.page = a.page AND r.x0 < a.x1 AND a.x0 < r.x1 AND r.y0 < a.y1 AND a.y0 < r.y1 WHERE r.kind = 'rest'
+  QUALIFY row_number() OVER (PARTITION BY r.page, r.idx ORDER BY (least(r.x1, a.x1) - greatest(r.x0, a.x0)) * (least(r.y1, a.y1) - greatest(r.y0, a.y0)) DESC, a.idx) = 1),
+lo AS (SELECT it.* FROM it LEFT JOIN bj ON it.page = bj.page AND it.idx = bj.idx AND ratio >= 0.2 WHERE kind = 'rest' AND bj.idx IS NULL),
+lk2 AS (SELECT a.page, a.idx AS x, b.idx AS y FROM lo a JOIN lo b ON a.page = b.page AND a.idx <> b.idx AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+reach2 AS (SELECT page, idx, idx AS seen FROM lo UNION SELECT reach2.page, reach2.idx, lk2.y FROM reach2 JOIN lk2 ON reach2.page = lk2.page AND reach2.seen = lk2.x),
+gr AS (SELECT page, idx, 'a' || head AS g FROM cl UNION ALL SELECT bj.page, bj.idx, 'a' || cl.head FROM bj JOIN cl ON bj.page = cl.page AND bj.anchor = cl.idx WHERE ratio >= 0.2 UNION ALL SELECT page, idx, 's' || idx FROM it WHERE kind = 'alone' UNION ALL SELECT page, idx, 'r' || min(seen) FROM reach2 GROUP BY page, idx),
+nm AS (SELECT page, g, min(idx) AS first_ FROM gr GROUP BY page, g), gp AS (SELECT it.*, dense_rank() OVER (PARTITION BY it.page ORDER BY first_) - 1 AS grp FROM it JOIN gr ON it.page = gr.page AND it.idx = gr.idx JOIN nm ON nm.page = gr.page AND nm.g = gr.g)"""
+
+
+def grouped(spark, sf_dir):
+    i = F.col("idx")
+    occ = occurrences(spark, sf_dir).select("page", i.cast("long").alias("idx"), "bbox")
+    kind = F.when((F.col("page") + i) % 5 == 0, "alone").when(((F.col("page") + i) % 5).isin(1, 2), "anchor").otherwise("rest")
+    return images.candidate_groups(occ.withColumn("kind", kind), ["page"])
+
+
+@query(f"WITH RECURSIVE {GROUPS} SELECT page, idx, grp FROM gp")
+def picture_groups(spark, sf_dir):
+    return grouped(spark, sf_dir).select("page", "idx", F.col("group").alias("grp"))
+
+
+@query(
+    f"""WITH RECURSIVE {GROUPS}, u AS (SELECT page, grp, count(*) AS members, arg_max(struct_pack(idx, class, translucent), (area, -idx)) AS most, arg_max(struct_pack(idx, class, translucent), (area, -idx)) FILTER (WHERE NOT translucent AND is_masked AND area >= 0.05) AS photo,
+  min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM gp GROUP BY page, grp), b AS (SELECT *, CASE WHEN most.translucent AND most.class = 'undecided' AND photo IS NOT NULL THEN photo ELSE most END AS best FROM u)
+SELECT page, grp, members, best.idx AS representative, x0, y0, x1, y1, CASE WHEN members > 1 AND (x1 - x0) * (y1 - y0) / (612 * 792) > 0.85 THEN 'undecided' ELSE best.class END AS kind FROM b"""
+)
+def picture_units(spark, sf_dir):
+    i, box = F.col("idx"), G.rect(*[F.lit(float(v)) for v in (0, 0, 612, 792)])
+    g = grouped(spark, sf_dir).drop("kind").withColumns({"area": G.relative_area(F.col("bbox"), box), "class": F.when(i % 4 == 0, "undecided").otherwise("content"), "reason": F.lit("r"), "translucent": i % 3 == 0, "is_masked": i % 2 == 0, "box": box})
+    return images.units(g, ["page"]).select("page", F.col("group").alias("grp"), "members", "representative", *[F.col(f"bbox.{a}").alias(n) for a, n in (("minX", "x0"), ("minY", "y0"), ("maxX", "x1"), ("maxY", "y1"))], "kind")
+
+
+@query(
+    f"""WITH {OCC}, pc AS (SELECT book, page % 7 AS page, page * 10 + idx AS idx, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS size, CASE WHEN page % 50 = 1 THEN 0.96 ELSE (x1 - x0) * (y1 - y0) / 700000 * CASE WHEN idx % 4 = 0 THEN 0.02 ELSE 1 END END AS area, CASE idx % 4 WHEN 1 THEN 'content' WHEN 3 THEN 'mask' ELSE 'undecided' END AS kind,
+  CASE WHEN page % 3 > 0 THEN 'Z1-no-strong-signal' ELSE 'Z9-text-over-small-picture' END AS reason, CASE WHEN idx % 3 = 0 THEN opacity - 0.4 END AS opacity, luminosity AS blended, mask_painting OR idx % 2 = 0 AS is_masked, idx % 6 = 2 AS backdrop, page % 90 AS width, 30 AS height FROM occ),
+w AS (SELECT *, kind IN ('content', 'undecided') AND area >= 0.03 AS shown, count(*) FILTER (WHERE kind = 'undecided' AND area < 0.005) OVER p AS tiny, count(*) FILTER (WHERE area < 0.06 AND kind <> 'mask') OVER p AS small, count(*) FILTER (WHERE area < 0.06) OVER p AS every, count(*) FILTER (WHERE reason = 'Z1-no-strong-signal') OVER p AS plain FROM pc WINDOW p AS (PARTITION BY book, page)),
+pr AS (SELECT a.book, a.page, a.idx, b.idx > a.idx AS later, b.area AS oa, b.kind AS ok, b.opacity AS oo, b.backdrop AS ob, b.size AS os, a.size, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS sh FROM w a JOIN w b ON a.book = b.book AND a.page = b.page AND a.idx <> b.idx AND b.shown AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+fl AS (SELECT book, page, idx, bool_or(NOT later AND oa >= 0.9 AND page = 1 AND sh / size >= 0.9) AS cover, bool_or(NOT later AND ok = 'content' AND size <= 0.125 * os AND sh / size BETWEEN 0.2 AND 0.95) AS edge, bool_or(later AND NOT ob AND oo IS NULL AND sh >= 0.8 * os AND sh / size >= 0.25) AS over_,
+  bool_or(later AND ok = 'content' AND oa >= 0.05) AS content, bool_or(NOT later AND sh / size >= 0.9 AND sh >= 0.6 * os) AS copy_ FROM pr GROUP BY ALL),
+j AS (SELECT w.*, coalesce(cover, false) AS cover, coalesce(over_, false) AS over_, coalesce(content, false) AS content, coalesce(copy_, false) AS copy_, coalesce(edge, false) AND NOT blended AND reason = 'Z1-no-strong-signal' AND area <= 0.02 AS f FROM w LEFT JOIN fl ON w.book = fl.book AND w.page = fl.page AND w.idx = fl.idx),
+n AS (SELECT *, count(*) FILTER (WHERE f) OVER (PARTITION BY book, page) AS fn FROM j), s AS (SELECT book, count(DISTINCT page) AS spots FROM n WHERE f AND fn <= 2 GROUP BY book),
+r AS (SELECT n.*, CASE WHEN kind IN ('content', 'undecided') AND ((cover AND area < 0.9 AND width >= 1.5 * height) OR (page <= 3 AND reason = 'Z1-no-strong-signal' AND width >= 1.6 * height AND plain <= 2)) THEN 'Z33-lettering-over-cover' WHEN f AND fn <= 2 AND coalesce(spots, 0) >= 3 THEN 'Z31-fastener-over-picture-edge'
+  WHEN kind IN ('content', 'undecided') AND is_masked AND backdrop AND area <= 0.15 AND over_ THEN 'Z34-translucent-ground-under-picture' WHEN (tiny >= 15 OR every >= 20) AND kind = 'undecided' AND reason <> 'Z9-text-over-small-picture' AND area >= 0.005 AND area < 0.06 THEN 'Z18-form-page-element'
+  WHEN kind = 'undecided' AND area >= 0.95 AND small >= 15 THEN 'Z18-form-page-background' WHEN kind = 'undecided' AND area < 0.005 THEN 'Z16-tiny-undecided' WHEN shown AND page > 1 AND kind = 'undecided' AND area >= 0.95 AND content THEN 'Z22-page-background-under-content' WHEN shown AND opacity <= 0.65 AND copy_ THEN 'Z19-translucent-copy-of-picture' END AS why FROM n LEFT JOIN s ON n.book = s.book)
+SELECT book, page, idx, CASE WHEN why IS NOT NULL THEN 'decoration' ELSE kind END AS kind, coalesce(why, reason) AS reason FROM r"""
+)
+def second_classes(spark, sf_dir):
+    p, i = F.col("page"), F.col("idx")
+    x = occurrences(spark, sf_dir)
+    size = G.area(F.col("bbox"))
+    x = x.select(
+        "book", (p % 7).alias("page"), (p * 10 + i).alias("idx"), "bbox", F.when(p % 50 == 1, 0.96).otherwise(size / 700000 * F.when(i % 4 == 0, 0.02).otherwise(1.0)).alias("area"), F.when(i % 4 == 1, "content").when(i % 4 == 3, "mask").otherwise("undecided").alias("kind"),
+        F.when(p % 3 > 0, "Z1-no-strong-signal").otherwise("Z9-text-over-small-picture").alias("reason"), F.when(i % 3 == 0, F.col("opacity") - 0.4).alias("opacity"), F.col("luminosity").alias("blended"), (F.col("mask_painting") | (i % 2 == 0)).alias("is_masked"), (i % 6 == 2).alias("backdrop"), (p % 90).alias("width"), F.lit(30).alias("height"),
+    )
+    return images.second_class(x, ["book"]).select("book", "page", "idx", "kind", "reason")
