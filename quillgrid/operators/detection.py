@@ -128,3 +128,18 @@ def shares_of(rect: Column, block: Column) -> Column:
     """A rectangle as shares of its block's; null for a block without extent."""
     w, h = block["maxX"] - block["minX"], block["maxY"] - block["minY"]
     return F.when((w > 0) & (h > 0), G.rect((rect["minX"] - block["minX"]) / w, (rect["minY"] - block["minY"]) / h, (rect["maxX"] - block["minX"]) / w, (rect["maxY"] - block["minY"]) / h))
+
+
+def token_fonts(tokens: DataFrame) -> DataFrame:
+    """tokens (min_x, max_x, runs: array of font_key, size, min_x, max_x of their line; line_font, line_size) with font_key and font_size: of the line's first run that spans the token, else the line's."""
+    run = F.get(F.filter("runs", lambda r: (r["min_x"] <= F.col("min_x")) & (r["max_x"] >= F.col("max_x"))), F.lit(0))
+    return tokens.withColumn("_r", run).withColumn("font_key", F.coalesce("_r.font_key", "line_font")).withColumn("font_size", F.coalesce("_r.size", "line_size")).drop("_r")
+
+
+def leaf_fields(schema, prefix: str = "") -> list[tuple[str, str]]:
+    """(dotted path, type) of every field of a Spark schema that isn't a struct, in order."""
+    out = []
+    for f in schema.fields:
+        path = f"{prefix}{f.name}"
+        out += leaf_fields(f.dataType, f"{path}.") if hasattr(f.dataType, "fields") else [(path, f.dataType.simpleString())]
+    return out

@@ -95,3 +95,20 @@ def document_html(blocks: DataFrame, images: DataFrame, doc: str) -> DataFrame:
     aside = F.when(notes != "", F.concat(F.lit('<aside class="bindery-marginalia">'), notes, F.lit("</aside>")))
     ids = F.filter(F.transform("all", lambda p: p["id"]), lambda x: x.isNotNull())
     return every.select(doc, F.concat_ws("\n", F.nullif(body, F.lit("")), aside).alias("html"), ids.alias("images"))
+
+
+def assemble(sectioned: DataFrame, doc: str) -> DataFrame:
+    """doc, journals: array of title and pages (title, level, blocks: their idx), in order, of blocks with their sections; each block's idx says where it came from."""
+    pages = sectioned.groupBy(doc, "journal", "journal_title", "page_title", "heading_level").agg(F.min("idx").alias("at"), F.array_sort(F.collect_list("idx")).alias("blocks"))
+    journals = pages.groupBy(doc, "journal", "journal_title").agg(F.array_sort(F.collect_list(F.struct("at", F.col("page_title").alias("title"), F.col("heading_level").alias("level"), "blocks"))).alias("pages"))
+    return journals.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("journal", F.col("journal_title").alias("title"), "pages"))).alias("journals"))
+
+
+def resolve_outline(nodes: DataFrame, destinations: DataFrame, doc: str) -> DataFrame:
+    """nodes (doc, dest) with page: that of their destination (doc, dest, page); null where there is none."""
+    return nodes.join(destinations.groupBy(doc, "dest").agg(F.min("page").alias("page")), [doc, "dest"], "left")
+
+
+def write_documents(documents: DataFrame, path: str, kind: str) -> None:
+    """The documents as JSON, a folder for each value of the column `kind` (journal, scene, handout)."""
+    documents.write.partitionBy(kind).mode("overwrite").json(path)

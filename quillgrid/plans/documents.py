@@ -104,7 +104,7 @@ st AS (SELECT *, {stop} AS stop FROM cd WINDOW w AS (PARTITION BY doc, candidate
 
 
 REGIONS = """, rg AS (SELECT *, sum(turn_::INT) OVER (PARTITION BY doc, candidate ORDER BY pos) - 1 AS region FROM (SELECT *, coalesce(lag((page, col)) OVER (PARTITION BY doc, candidate ORDER BY pos) <> (page, col), true) AS turn_ FROM kept))
-SELECT doc, candidate::BIGINT AS candidate, region::BIGINT AS region, any_value(page) AS page, count(*) AS lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rg GROUP BY doc, candidate, region"""
+SELECT doc, candidate::BIGINT AS candidate, region::BIGINT AS region, any_value(page) AS page, count(*) AS lines, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM rg GROUP BY doc, candidate, region"""
 
 
 def region_rows(found):
@@ -159,3 +159,13 @@ def element_columns(spark, sf_dir):
     x = lines(spark, sf_dir).withColumn("bbox", G.rect(F.col("bbox.minX") + F.col("pos") * 15, F.col("bbox.minY"), F.col("bbox.maxX") + F.col("pos") * 15, F.col("bbox.maxY"))).drop("column")
     columns = x.where("page <> 2").select("doc", "page").distinct().crossJoin(spark.createDataFrame([(0, 0.0, 90.0), (1, 140.0, 250.0), (2, 350.0, 380.0)], "column int, min_x double, max_x double"))
     return detection.nearest_column(x, columns, ["doc", "page"]).select("doc", "pos", F.col("column").alias("col"))
+
+
+@query(f"""WITH sec AS ({sections_sql(HEADS)}), p AS (SELECT doc, journal, journal_title, page_title, heading_level, min(idx) AS at_, string_agg(idx::VARCHAR, '+' ORDER BY idx) AS bl FROM sec GROUP BY ALL),
+j AS (SELECT doc, journal, md5(any_value(journal_title) || string_agg(page_title || heading_level || ':' || bl, '|' ORDER BY at_)) AS digest FROM p GROUP BY doc, journal) SELECT doc, count(*) AS n, string_agg(digest, ',' ORDER BY journal) AS journals FROM j GROUP BY doc""")
+def assembled_documents(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    out = sections.assemble(sections.assign_sections(b, sections.heading_markers(b, "doc"), "doc", "Rest"), "doc")
+    page = lambda p: F.concat(p["title"], p["level"].cast("string"), F.lit(":"), F.array_join(F.transform(p["blocks"], lambda i: i.cast("string")), "+"))
+    digest = F.transform("journals", lambda j: F.md5(F.concat(j["title"], F.array_join(F.transform(j["pages"], page), "|"))))
+    return out.select("doc", F.size("journals").cast("long").alias("n"), F.array_join(digest, ",").alias("journals"))

@@ -150,3 +150,51 @@ def review_order(spark, sf_dir):
 
     w = Window.partitionBy("conv_id").orderBy(F.floor(F.col("turn") / 2), F.desc(F.length("text")), "turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("place"))
+
+
+OPS = "op AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_partkey, l_quantity AS dx, l_tax * 100 AS dy, l_discount FROM lineitem)"
+
+
+@query(
+    f"""WITH {OPS}, s AS (SELECT *, coalesce(sum(CASE WHEN k % 2 = 1 THEN dx END) OVER w, 0) AS sx, coalesce(sum(CASE WHEN k % 2 = 1 THEN dy END) OVER w, 0) AS sy FROM op WINDOW w AS (PARTITION BY page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT page, k * 10 + 3 AS idx, l_partkey::VARCHAR AS obj_id, round(2 * (sx + dx), 6) AS x, round(2 * (sy + dy), 6) AS y, CASE WHEN l_discount > 0 THEN round(1 - l_discount, 6) END AS opacity, k % 3 = 0 AS blended FROM s"""
+)
+def painted_images(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..operators import painting
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k, zero, one = F.col("k"), F.lit(0.0), F.lit(1.0)
+    x = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w).cast("long"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def op(n: int, name: str, matrix=None, alpha=None, blend=None, obj=None):
+        return F.struct((k * 10 + n).alias("idx"), F.lit(name).alias("op"), (matrix if matrix is not None else none("array<double>")).alias("matrix"), (alpha if alpha is not None else none("double")).alias("alpha"), (blend if blend is not None else none("string")).alias("blend"), none("string").alias("subtype"), (obj if obj is not None else none("string")).alias("obj_id"), none("double").alias("size"))
+
+    scale = F.when(k == 1, op(-1, "transform", F.array(F.lit(2.0), zero, zero, F.lit(2.0), zero, zero)))
+    steps = F.array_compact(F.array(
+        scale, op(0, "save"), op(1, "transform", F.array(one, zero, zero, one, F.col("l_quantity"), F.col("l_tax") * 100)), op(2, "state", alpha=1 - F.col("l_discount"), blend=F.when(k % 3 == 0, "Multiply").otherwise("Normal")),
+        op(3, "image", obj=F.col("l_partkey").cast("string")), F.when(k % 2 == 0, op(4, "restore")),
+    ))
+    ops = x.select(F.col("l_orderkey").alias("page"), F.inline(steps))
+    e = painting.walk(ops, ["page"])
+    return e.select("page", "idx", "obj_id", F.round(F.col("ctm")[4], 6).alias("x"), F.round(F.col("ctm")[5], 6).alias("y"), F.round("opacity", 6).alias("opacity"), "blended")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 12 + 25 <= 300 THEN 'A-Bold@10' WHEN l_quantity * 12 >= 250 AND l_quantity * 12 + 25 <= 500 THEN 'B@12' ELSE 'C@9' END AS font_key, CASE WHEN l_quantity * 12 + 25 <= 300 THEN 10.0 WHEN l_quantity * 12 >= 250 AND l_quantity * 12 + 25 <= 500 THEN 12.0 ELSE 9.0 END::DOUBLE AS font_size FROM lineitem""")
+def token_fonts(spark, sf_dir):
+    from ..operators import detection
+
+    run = lambda key, size, a, z: F.struct(F.lit(key).alias("font_key"), F.lit(size).alias("size"), F.lit(a).alias("min_x"), F.lit(z).alias("max_x"))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 12).alias("min_x"), (F.col("l_quantity") * 12 + 25).alias("max_x"), F.array(run("A-Bold@10", 10.0, 0.0, 300.0), run("B@12", 12.0, 250.0, 500.0)).alias("runs"), F.lit("C@9").alias("line_font"), F.lit(9.0).alias("line_size"))
+    return detection.token_fonts(x).select("l_orderkey", "l_linenumber", "l_partkey", "font_key", "font_size")
+
+
+@query("SELECT o_orderkey, c.c_nationkey AS page FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey * 2")
+def outline_pages(spark, sf_dir):
+    from ..operators import sections
+
+    nodes = table(spark, sf_dir, "orders").select(F.lit(0).alias("doc"), (F.col("o_custkey") * 2).alias("dest"), "o_orderkey")
+    dests = table(spark, sf_dir, "customer").select(F.lit(0).alias("doc"), F.col("c_custkey").alias("dest"), F.col("c_nationkey").alias("page"))
+    return sections.resolve_outline(nodes, dests, "doc").select("o_orderkey", "page")

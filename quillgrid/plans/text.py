@@ -24,7 +24,7 @@ def clean_items(spark, sf_dir):
 @query(
     f"""WITH {EMITTED}, r AS (SELECT *, unnest(list_filter([0, CASE WHEN near THEN 1 END, CASE WHEN exact THEN 2 END, CASE WHEN NOT last THEN 3 END], lambda q: q IS NOT NULL)) AS kind FROM n),
 i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, word_no, kind) - 1 AS idx FROM r)
-SELECT doc_id, page::BIGINT AS page, idx - 1 AS after, x + width AS gap_start, x + width + 6 AS gap_end FROM i WHERE kind = 3"""
+SELECT doc_id, page::BIGINT AS page, idx - 1 AS after, (x + width)::DOUBLE AS gap_start, (x + width + 6)::DOUBLE AS gap_end FROM i WHERE kind = 3"""
 )
 def word_boundaries(spark, sf_dir):
     b = hygiene.word_boundaries(emitted_items(table(spark, sf_dir, "documents")), ["doc_id", "page"])

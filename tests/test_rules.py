@@ -141,3 +141,41 @@ def test_labels_in_lines(spark):
     df = spark.createDataFrame([("Armor HP: 12 (2d8) AC 15",), ("XHP 3",), ("HP",)], "t string")
     got = [r[0] for r in df.select(detection.label_value(F.col("t"), "HP:", ("HP:", "AC"))).collect()]
     assert got == ["12 (2d8)", None, ""]
+
+
+def test_walk_keeps_and_restores_state(spark):
+    from quillgrid.operators import painting
+
+    i = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    rows = [
+        ("restore",), ("state", None, 0.5, "Multiply"), ("group", None, None, None, "Luminosity"), ("state", None, 0.5), ("transform", [2.0, 0.0, 0.0, 3.0, 5.0, 7.0]), ("image", None, None, None, None, "a"), ("group_end",),
+        ("image", None, None, None, None, "b"), ("form", [1.0, 0.0, 0.0, 1.0, 1.0, 1.0]), ("font", None, None, None, None, "F", 4.0), ("form_end",), ("state", None, 1.0, "Normal"), ("mask", None, None, None, None, "c"),
+    ]
+    ops = spark.createDataFrame([(1, k, *r, *[None] * (7 - len(r))) for k, r in enumerate(rows)], "page int, idx int, op string, matrix array<double>, alpha double, blend string, subtype string, obj_id string, size double")
+    got = {r["obj_id"] or r["event"]: r for r in painting.walk(ops, ["page"]).collect()}
+    m = [2.0, 0.0, 0.0, 3.0, 5.0, 7.0]
+    assert got["a"]["opacity"] == 0.25 and got["a"]["blended"] and got["a"]["subtype"] == "Luminosity" and got["a"]["ctm"] == m
+    assert got["b"]["opacity"] == 0.5 and got["b"]["subtype"] is None and got["b"]["ctm"] == m != i
+    assert got["F"]["size"] == 8.0 and got["c"]["opacity"] is None and not got["c"]["blended"] and got["group_end"]["subtype"] == "Luminosity"
+
+
+def test_rows_by_height(spark):
+    from quillgrid.operators import painting
+
+    e = spark.createDataFrame([(1, 0, 50.0, 10.0, 5.0, 10.0), (1, 1, 0.0, 18.0, 5.0, 10.0), (1, 2, 90.0, 0.0, 5.0, 5.0), (1, 3, 20.0, 5.0, 5.0, 14.0)], "page int, idx int, x double, y double, w double, h double")
+    assert {r["idx"]: r["row"] for r in painting.rows_of(e, ["page"]).collect()} == {0: 0, 1: 0, 3: 0, 2: 1}
+
+
+def test_groups_places_and_parts(spark):
+    from quillgrid.operators import images
+
+    box = "struct<minX:double,minY:double,maxX:double,maxY:double>"
+    b = spark.createDataFrame([(1, 0, (0.0, 0.0, 10.0, 10.0)), (1, 1, (50.0, 0.0, 60.0, 10.0)), (1, 2, (11.0, 0.0, 20.0, 10.0)), (1, 3, (21.5, 0.0, 49.0, 10.0))], f"k int, seq int, bbox {box}")
+    assert tuple(images.first_place(b, ["k"]).first()["place"]) == (0.0, 0.0, 60.0, 10.0)
+    f = spark.createDataFrame([(1, 0, [0, 0]), (1, 1, None), (1, 2, [100, 100]), (1, 3, [10, 14]), (1, 4, [95, 120])], "g int, seq int, fingerprint array<int>")
+    assert {r["seq"]: r["part"] for r in images.split_by_content(f, ["g"]).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 2}
+
+
+def test_leaves_of_a_schema(spark):
+    schema = spark.createDataFrame([], "a int, b struct<c:string,d:struct<e:array<int>>>").schema
+    assert detection.leaf_fields(schema) == [("a", "int"), ("b.c", "string"), ("b.d.e", "array<int>")]
