@@ -69,9 +69,16 @@ def around(points: list[tuple[Column, Column]]) -> Column:
     return F.when(known, rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)))
 
 
+def parallelogram(x: Column, y: Column, hx: Column, hy: Column, vx: Column, vy: Column) -> Column:
+    """The rectangle around a corner and two sides; null where a number is."""
+    low = lambda a, b: F.least(F.lit(0.0), a) + F.least(F.lit(0.0), b)
+    high = lambda a, b: F.greatest(F.lit(0.0), a) + F.greatest(F.lit(0.0), b)
+    return F.when((x + y + hx + hy + vx + vy).isNotNull(), rect(x + low(hx, vx), y + low(hy, vy), x + high(hx, vx), y + high(hy, vy)))
+
+
 def unit_square_box(m: list[Column]) -> Column:
     """Where the matrix m puts the unit square."""
-    return around([(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x in (0, 1) for y in (0, 1)])
+    return parallelogram(m[4], m[5], m[0], m[1], m[2], m[3])
 
 
 def _axes(m: list[Column]) -> tuple[Column, Column, Column, Column]:
@@ -83,13 +90,14 @@ def _axes(m: list[Column]) -> tuple[Column, Column, Column, Column]:
 def run_box(m: list[Column], width: Column, height: Column) -> Column:
     """The rectangle around a run of text whose width and height are final: the matrix gives its place and directions only."""
     ux, uy, vx, vy = _axes(m)
-    return around([(m[4] + ux * s + vx * t, m[5] + uy * s + vy * t) for s in (F.lit(0.0), width) for t in (F.lit(0.0), height)])
+    return parallelogram(m[4], m[5], ux * width, uy * width, vx * height, vy * height)
 
 
 def item_box(m: list[Column], width: Column, height: Column) -> Column:
     """As run_box, but a quarter of the height lies below the baseline; null for a run without size or direction."""
     ux, uy, vx, vy = _axes(m)
-    box = around([(m[4] + ux * s + vx * t, m[5] + uy * s + vy * t) for s in (F.lit(0.0), width) for t in (height * -K.ITEM_DESCENT, height * (1 - K.ITEM_DESCENT))])
+    down = height * K.ITEM_DESCENT
+    box = parallelogram(m[4] - vx * down, m[5] - vy * down, ux * width, uy * width, vx * height, vy * height)
     return F.when((width > 0) & (height > 0) & (F.hypot(m[0], m[1]) > 0) & (F.hypot(m[2], m[3]) > 0), box)
 
 

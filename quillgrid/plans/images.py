@@ -166,7 +166,7 @@ def picture_units(spark, sf_dir):
 
 
 @query(
-    f"""WITH {OCC}, pc AS (SELECT book, page % 7 AS page, page * 10 + idx AS idx, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS size, CASE WHEN page % 50 = 1 THEN 0.96 ELSE (x1 - x0) * (y1 - y0) / 700000 * CASE WHEN idx % 4 = 0 THEN 0.02 ELSE 1 END END AS area, CASE idx % 4 WHEN 1 THEN 'content' WHEN 3 THEN 'mask' ELSE 'undecided' END AS kind,
+    f"""WITH {OCC}, pc AS (SELECT page // 400 AS book, page % 400 // 8 + 1 AS page, page * 10 + idx AS idx, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS size, CASE WHEN page % 50 = 1 THEN 0.96 ELSE (x1 - x0) * (y1 - y0) / 700000 * CASE WHEN idx % 4 = 0 THEN 0.02 ELSE 1 END END AS area, CASE idx % 4 WHEN 1 THEN 'content' WHEN 3 THEN 'mask' ELSE 'undecided' END AS kind,
   CASE WHEN page % 3 > 0 THEN 'Z1-no-strong-signal' ELSE 'Z9-text-over-small-picture' END AS reason, CASE WHEN idx % 3 = 0 THEN opacity - 0.4 END AS opacity, luminosity AS blended, mask_painting OR idx % 2 = 0 AS is_masked, idx % 6 = 2 AS backdrop, page % 90 AS width, 30 AS height FROM occ),
 w AS (SELECT *, kind IN ('content', 'undecided') AND area >= 0.03 AS shown, count(*) FILTER (WHERE kind = 'undecided' AND area < 0.005) OVER p AS tiny, count(*) FILTER (WHERE area < 0.06 AND kind <> 'mask') OVER p AS small, count(*) FILTER (WHERE area < 0.06) OVER p AS every, count(*) FILTER (WHERE reason = 'Z1-no-strong-signal') OVER p AS plain FROM pc WINDOW p AS (PARTITION BY book, page)),
 pr AS (SELECT a.book, a.page, a.idx, b.idx > a.idx AS later, b.area AS oa, b.kind AS ok, b.opacity AS oo, b.backdrop AS ob, b.size AS os, a.size, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS sh FROM w a JOIN w b ON a.book = b.book AND a.page = b.page AND a.idx <> b.idx AND b.shown AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
@@ -184,7 +184,7 @@ def second_classes(spark, sf_dir):
     x = occurrences(spark, sf_dir)
     size = G.area(F.col("bbox"))
     x = x.select(
-        "book", (p % 7).alias("page"), (p * 10 + i).alias("idx"), "bbox", F.when(p % 50 == 1, 0.96).otherwise(size / 700000 * F.when(i % 4 == 0, 0.02).otherwise(1.0)).alias("area"), F.when(i % 4 == 1, "content").when(i % 4 == 3, "mask").otherwise("undecided").alias("kind"),
+        F.floor(p / 400).alias("book"), (F.floor(p % 400 / 8) + 1).alias("page"), (p * 10 + i).alias("idx"), "bbox", F.when(p % 50 == 1, 0.96).otherwise(size / 700000 * F.when(i % 4 == 0, 0.02).otherwise(1.0)).alias("area"), F.when(i % 4 == 1, "content").when(i % 4 == 3, "mask").otherwise("undecided").alias("kind"),
         F.when(p % 3 > 0, "Z1-no-strong-signal").otherwise("Z9-text-over-small-picture").alias("reason"), F.when(i % 3 == 0, F.col("opacity") - 0.4).alias("opacity"), F.col("luminosity").alias("blended"), (F.col("mask_painting") | (i % 2 == 0)).alias("is_masked"), (i % 6 == 2).alias("backdrop"), (p % 90).alias("width"), F.lit(30).alias("height"),
     )
     return images.second_class(x, ["book"]).select("book", "page", "idx", "kind", "reason")
