@@ -107,6 +107,8 @@ def tidy(*names: str) -> None:
     for k in [k for k in state if not k.startswith("__") and k not in names]:
         del state[k]
     gc.collect()
+    if "pyarrow" in sys.modules:
+        sys.modules["pyarrow"].default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not this C library

@@ -57,7 +57,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 if text:
                     held.setdefault(lang, []).append(codes(text))
                     size += len(text)
-                if size > 8_000_000:
+                if size > 3_000_000:
                     yield from flush()
                     size = 0
         yield from flush()

@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
     range) are in the manifest. Other columns are ignored. An empty table gives a manifest of no files.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, 4096, "8m")
+    C.small_batches(spark, 1024, "3m")
     parts = parts or C.parts_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = C.cuts_of(docs, "doc_id", 2 * parts)
