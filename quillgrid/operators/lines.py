@@ -6,42 +6,143 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import constants as K
+from ..sources.tables import page_tokens
 from .perpage import per_page
 
 LINE = "line int, text string, cross double, min_x double, min_y double, max_x double, max_y double, font_key string, tokens int, runs int"
+#: Pairs that are looked at together.
+CHUNK = 1 << 20
 
 
-def _roots(n: int, links) -> list[int]:
-    root = list(range(n))
+class _Classes:
+    """Numbers from 0 to n - 1 in classes, each named by its least."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for a, b in links:
-        a, b = find(a), find(b)
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
         if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
-
-
-def _links(cross: np.ndarray, size: np.ndarray, along: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray):
-    """Pairs of tokens of one line: on one baseline with a gap of at most a character's size or white space between, or a much smaller one beside a larger."""
-    order = np.argsort(cross, kind="stable")
-    cross, size, along, end, first, last = (x[order] for x in (cross, size, along, end, first, last))
-    reach = max(K.LINE_HEIGHT_RATIO * size.max(), 1.0) if len(size) else 0
-    stop = np.searchsorted(cross, cross + reach, side="right")
-    i = np.repeat(np.arange(len(order)), stop - np.arange(len(order)) - 1)
-    j = np.concatenate([np.arange(k + 1, s) for k, s in enumerate(stop)]) if len(order) else i
-    big, small, off = np.maximum(size[i], size[j]), np.minimum(size[i], size[j]), cross[j] - cross[i]
-    level = off <= np.maximum(1.0, big * K.BASELINE_RATIO)
-    ahead = along[i] <= along[j]
-    gap = np.where(ahead, along[j] - end[i], along[i] - end[j])
-    white = np.where(ahead, first[j] > last[i], first[i] > last[j])
-    hit = (level & ((gap <= big * K.TRACKING_RATIO) | white)) | (~level & (small / big <= K.SUBSCRIPT_RATIO) & (off < big * K.LINE_HEIGHT_RATIO))
-    return zip(order[i[hit]].tolist(), order[j[hit]].tolist(), strict=True)
+            self.root[max(a, b)] = min(a, b)
+
+
+def _chunks(sizes: np.ndarray, most: int):
+    """Ranges (a, z) of consecutive items whose sizes add up to `most` at most; an item above it is alone."""
+    total, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(total, most + (total[a - 1] if a else 0), side="right")))
+        yield a, z
+        a = z
+
+
+def _labels(cross: np.ndarray, size: np.ndarray, along: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of each token the least token of its line.
+
+    Two tokens are linked on one baseline with a gap of at most a character's size or white space between, or if one is much smaller beside a larger.
+    Tokens of one cross and size that each link to the one before them are a chain, and only links between chains are looked for one by one:
+    work grows with the tokens where the chains are whole, and memory always does.
+    """
+    n = len(cross)
+    order = np.lexsort((along, size, cross))  # ties stay in order of idx
+    c, s, a, e, f, z = (x[order] for x in (cross, size, along, end, first, last))
+    same = (c[1:] == c[:-1]) & (s[1:] == s[:-1])
+    near = (a[1:] - e[:-1] <= s[1:] * K.TRACKING_RATIO) | (f[1:] > z[:-1])
+    chain_at, group_at = (np.concatenate([[0], np.flatnonzero(~x) + 1]) for x in (same & near, same))
+    chain = np.repeat(np.arange(len(chain_at)), np.diff(np.append(chain_at, n)))
+    ends, heads = np.append(group_at, n), np.append(chain[group_at], len(chain_at))  # of each group its first token and chain
+    classes = _Classes(len(chain_at))
+
+    if len(chain_at) > len(group_at):  # chains of one group: the later one's nearest token to the earlier one's farthest
+        far, most, least = np.maximum.reduceat(e, chain_at), np.maximum.reduceat(f, chain_at), np.minimum.reduceat(z, chain_at)
+        for g in np.flatnonzero(np.diff(heads) > 1).tolist():
+            p, q = int(heads[g]), int(heads[g + 1])
+            label = np.arange(p, q)
+            for k in range(p + 1, q):
+                hit = (a[chain_at[k]] - far[p:k] <= s[group_at[g]] * K.TRACKING_RATIO) | (most[k] > least[p:k])
+                found = np.unique(label[: k - p][hit])
+                if len(found):
+                    label[: k - p][np.isin(label[: k - p], found)] = found[0]
+                    label[k - p] = found[0]
+            for k, x in enumerate(label.tolist(), p):
+                classes.join(k, x)
+
+    gc, gs = c[group_at], s[group_at]
+    ahead = np.searchsorted(gc, gc + max(K.LINE_HEIGHT_RATIO * gs.max(), 1.0), side="right") - np.arange(len(gc)) - 1
+    for lo, hi in _chunks(ahead, CHUNK):
+        i = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[lo:hi]) - ahead[lo:hi], ahead[lo:hi])
+        big, small, off = np.maximum(gs[i], gs[j]), np.minimum(gs[i], gs[j]), gc[j] - gc[i]
+        level = off <= np.maximum(1.0, big * K.BASELINE_RATIO)
+        beside = ~level & (small / big <= K.SUBSCRIPT_RATIO) & (off < big * K.LINE_HEIGHT_RATIO)
+        for g, h in zip(i[beside].tolist(), j[beside].tolist(), strict=True):  # all tokens of both are one
+            for k in (*range(heads[g], heads[g + 1]), *range(heads[h], heads[h + 1])):
+                classes.join(int(heads[g]), k)
+        i, j = i[level], j[level]
+        for g in np.unique(i).tolist():
+            others = j[np.searchsorted(i, g) : np.searchsorted(i, g, side="right")].tolist()
+            if len({classes.find(k) for x in (g, *others) for k in range(heads[x], heads[x + 1])}) == 1:
+                continue
+            here, there = np.arange(ends[g], ends[g + 1]), np.concatenate([np.arange(ends[h], ends[h + 1]) for h in others])
+            for k in range(0, len(here), width := max(1, CHUNK // len(there))):
+                x = here[k : k + width, None]
+                before = (a[x] < a[there]) | ((a[x] == a[there]) & ((c[x] < c[there]) | (order[x] < order[there])))
+                gap = np.where(before, a[there] - e[x], a[x] - e[there])
+                white = np.where(before, f[there] > z[x], f[x] > z[there])
+                u, v = np.nonzero((gap <= np.maximum(s[x], s[there]) * K.TRACKING_RATIO) | white)
+                for pair in np.unique(chain[x[u, 0]] * len(chain_at) + chain[there[v]]).tolist():
+                    classes.join(*divmod(pair, len(chain_at)))
+    line = np.fromiter(map(classes.find, range(len(chain_at))), np.int64, len(chain_at))[chain]
+    least = np.full(len(chain_at), n)
+    np.minimum.at(least, line, order)
+    out = np.empty(n, dtype=np.int64)
+    out[order] = least[line]
+    return out
+
+
+def _page_lines(t: dict, sign: int, join_hyphens: bool) -> list[list]:
+    """LINE of a page's tokens, given as columns in order of idx; see cluster_lines."""
+    text_of, fonts = t["str"], t["font_key"]
+    if not len(text_of):
+        return []
+    along, cross, size, width, height, first, last = (np.asarray(t[c]) for c in ("along", "cross", "size", "width", "height", "breaks", "last_breaks"))
+    end = along + width
+    label = _labels(cross, size, along, end, first, last)
+    order = np.lexsort((along, label))  # ties stay in order of idx
+    code = {k: n for n, k in enumerate(dict.fromkeys(fonts))}
+    label, code = label[order], np.fromiter(map(code.__getitem__, fonts), np.int64, len(fonts))[order]
+    new = np.concatenate([[True], label[1:] != label[:-1]])
+    blank = np.concatenate([[False], first[order][1:] > last[order][:-1]]) & ~new
+    turn = new | np.concatenate([[True], code[1:] != code[:-1]])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(order))
+    blanks, runs = np.add.reduceat(blank.astype(np.int64), start).tolist(), np.add.reduceat(turn.astype(np.int64), start).tolist()
+    low, high, right = np.minimum.reduceat(cross[order], start).tolist(), np.maximum.reduceat((cross + height)[order], start).tolist(), np.maximum.reduceat(end[order], start).tolist()
+    left, rows, lines = along[order[start]].tolist(), order.tolist(), []
+    for n, (p, q) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+        own = rows[p:q]
+        words = [text_of[k] for k in own]
+        text = " ".join(words) if blanks[n] == q - p - 1 else "".join(" " + x if b else x for x, b in zip(words, blank[p:q].tolist(), strict=True))
+        head = own[0]
+        if runs[n] > 1:
+            chars: dict = {}
+            for k, x in zip(own, words, strict=True):
+                chars[fonts[k]] = chars.get(fonts[k], 0) + len(x)
+            font = max(chars, key=chars.get)  # the first of equal ones
+            head = next(k for k in own if fonts[k] == font)
+        lines.append([0, text, float(cross[head]), left[n], low[n], right[n], high[n], fonts[head], q - p, runs[n]])
+    lines.sort(key=lambda x: sign * x[2])
+    return joined(lines) if join_hyphens else lines
+
+
+def _schema(rows: DataFrame, page: list[str]) -> StructType:
+    return StructType([rows.schema[c] for c in page] + StructType.fromDDL(LINE).fields)
 
 
 def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hyphens: bool = True) -> DataFrame:
@@ -52,32 +153,25 @@ def cluster_lines(tokens: DataFrame, page: list[str], *, sign: int = -1, join_hy
     text has a blank where white space is between neighbours. The font is that of most characters, the first on a tie;
     cross is that of its first token. A line that ends with a hyphen takes the first word of one that begins with a small letter.
     """
-    schema = StructType([tokens.schema[c] for c in page] + StructType.fromDDL(LINE).fields)
 
     def work(t: dict[str, list]) -> list[tuple]:
-        text_of, along, cross, height, fonts, first, last = (t[c] for c in ("str", "along", "cross", "height", "font_key", "breaks", "last_breaks"))
-        end = [x + w for x, w in zip(along, t["width"], strict=True)]
-        groups: dict[int, list[int]] = {}
-        for k, root in enumerate(_roots(len(along), _links(*map(np.array, (cross, t["size"], along, end, first, last))))):
-            groups.setdefault(root, []).append(k)
-        lines = []
-        for rows in groups.values():
-            rows.sort(key=along.__getitem__)  # ties stay in order of idx
-            text, before, chars, runs = "", None, {}, 0
-            for n, k in enumerate(rows):
-                text += (" " if before is not None and first[k] > before else "") + text_of[k]
-                before = last[k]
-                chars[fonts[k]] = chars.get(fonts[k], 0) + len(text_of[k])
-                runs += n == 0 or fonts[k] != fonts[rows[n - 1]]
-            font = max(chars, key=chars.get)  # the first of equal ones
-            head = next(k for k in rows if fonts[k] == font)
-            lines.append([0, text, cross[head], along[rows[0]], min(cross[k] for k in rows), max(end[k] for k in rows), max(cross[k] + height[k] for k in rows), font, len(rows), runs])
-        lines.sort(key=lambda x: sign * x[2])
-        lines = joined(lines) if join_hyphens else lines
         where = tuple(t[c][0] for c in page)
-        return [(*where, k, *x[1:]) for k, x in enumerate(lines)]
+        return [(*where, k, *x[1:]) for k, x in enumerate(_page_lines(t, sign, join_hyphens))]
+
+    return per_page(tokens, page, ["idx"], _schema(tokens, page), work)
+
+
+def cluster_text(rows: DataFrame, page: list[str], *, join_hyphens: bool = True) -> DataFrame:
+    """What cluster_lines makes of the words that lines of plain text emit (rows: the page's columns, line_no, line).
+
+    The lines go through the shuffle as they are; words are made of them and put in lines in one task.
+    """
+
+    def work(t: dict[str, list]) -> list[tuple]:
+        where = tuple(t[c][0] for c in page)
+        return [(*where, k, *x[1:]) for k, x in enumerate(_page_lines(page_tokens(t["line_no"], t["line"]), -1, join_hyphens))]
 
-    return per_page(tokens, page, ["idx"], schema, work)
+    return per_page(rows, page, ["line_no"], _schema(rows, page), work)
 
 
 def joined(lines: list[list]) -> list[list]:

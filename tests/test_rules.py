@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from quillgrid.functions import geometry as G
 from quillgrid.functions import text as T
 from quillgrid.functions.patterns import problem_of
 from quillgrid.operators import detection, gaps, hygiene, imports, layout, lines, places, records
+from quillgrid.plans.text import text_lines
+from quillgrid.sources import tables
 
 
 def test_patterns():
@@ -179,3 +182,47 @@ def test_groups_places_and_parts(spark):
 def test_leaves_of_a_schema(spark):
     schema = spark.createDataFrame([], "a int, b struct<c:string,d:struct<e:array<int>>>").schema
     assert detection.leaf_fields(schema) == [("a", "int"), ("b.c", "string"), ("b.d.e", "array<int>")]
+
+
+def test_lines_against_all_pairs():
+    rng = random.Random(4)
+    for case in range(400):
+        t: dict[str, list] = {c: [] for c in ("str", "along", "cross", "size", "width", "height", "font_key", "breaks", "last_breaks")}
+        n, breaks = rng.choice([1, 2, 5, 12, 40]), 0
+        for _ in range(n):
+            breaks = breaks + (rng.random() < 0.3) if case % 2 else rng.randrange(3)
+            size = rng.choice([10.0, 10.0, 6.0])
+            token = (rng.choice(["a", "bc"]), float(rng.randrange(300)), float(rng.choice([0, 1, 3.5, 12, 24])), size, 12.0, size, rng.choice("FG"), int(breaks), int(breaks) + (rng.random() < 0.2))
+            for c, v in zip(t, token, strict=True):
+                t[c].append(v)
+        root = list(range(n))
+        for i, j in itertools.combinations(sorted(range(n), key=t["cross"].__getitem__), 2):
+            big, small, off = max(t["size"][i], t["size"][j]), min(t["size"][i], t["size"][j]), t["cross"][j] - t["cross"][i]
+            p, q = (i, j) if t["along"][i] <= t["along"][j] else (j, i)
+            near = t["along"][q] - t["along"][p] - t["width"][p] <= big or t["breaks"][q] > t["last_breaks"][p]
+            if near if off <= max(1, big * 0.3) else small / big <= 0.8 and off < big * 1.35:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        got = sorted((x[8], x[3], x[5]) for x in lines._page_lines(t, 1, False))
+        want = [[k for k in range(n) if root[k] == r] for r in sorted(set(root))]
+        assert got == sorted((len(w), min(t["along"][k] for k in w), max(t["along"][k] + 12 for k in w)) for w in want)
+
+
+def test_a_long_line_needs_no_pairs():
+    t = tables.page_tokens([0, 1], ["w " * 20_000, "x " * 20_000])
+    tracemalloc.start()
+    (line,) = lines._page_lines(t, -1, True)  # a heading takes the smaller line below it
+    assert line[8] == 40_000 and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_lines_of_text_shuffle_no_words(spark):
+    texts = ["Head  of it\nsecond \t line\n\n a  b\nc-\nd e", "", None, "\n" * 59 + "last\nnext page", "\t\nx \t", " one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = hygiene.with_boundary_counts(tables.emitted_items(docs), ["doc_id", "page"])
+    items = items.groupBy("doc_id", "page", "line_no", "word_no").agg(F.min_by(F.struct("idx", "str", "x", "width", "a", "f", "breaks"), "idx").alias("i")).select("doc_id", "page", "i.*")
+    font = F.when(F.col("a") == 14, "Head@14").otherwise("Body@10")
+    tokens = items.select("doc_id", "page", "idx", "str", F.col("x").alias("along"), F.col("f").alias("cross"), F.col("a").alias("size"), "width", F.lit(10.0).alias("height"), font.alias("font_key"), "breaks", F.col("breaks").alias("last_breaks"))
+    got = lines.cluster_text(tables.page_lines(docs), ["doc_id", "page"])
+    assert sorted(got.collect()) == sorted(lines.cluster_lines(tokens, ["doc_id", "page"]).collect())
+    plan = text_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan and plan.count("Generate") == 1  # words were made by Spark, and shuffled twice
